@@ -53,16 +53,16 @@ def eager_join_aggregate(
 def heavy_keys(df: DataFrame, fields: Sequence[str], share: float) -> DataFrame:
     """Values of ``fields`` that hold at least ``share`` of all rows: (key_field, key_value, n, n_rows).
 
-    One pass over the rows: each row gives one state per field, combined inside the map task. The two sides
-    of the final join are states already, one row per (field, value) and one per field. A null value is no
-    key, but its row counts in the total. An empty table has no heavy keys.
+    Each row gives one state per field, combined inside the map task; the number of rows comes from a scan that
+    reads no column. The two sides of the final join are states already, one row per (field, value) and one row.
+    A null value is no key, but its row counts in the total. An empty table has no heavy keys.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("key_field"), F.col(f).cast("string").alias("key_value")) for f in fields]))
     states = key_states(df.select(pairs.alias("k")).select("k.*"), ["key_field", "key_value"])
-    totals = states.groupBy("key_field").agg(F.sum("n").alias("n_rows"))
+    totals = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.explode(F.array(*map(F.lit, fields))).alias("key_field"), "n_rows")
     return (
         states.where(F.col("key_value").isNotNull())
-        .join(totals, "key_field")
+        .join(F.broadcast(totals), "key_field")  # one row per field
         .where(F.col("n") >= F.col("n_rows") * F.lit(share))
         .select("key_field", "key_value", "n", "n_rows")
     )
