@@ -1,0 +1,8 @@
+"""Queries of this subpackage, gathered from its modules."""
+
+from __future__ import annotations
+
+from quern.llm import queries as _queries
+
+QUERIES = dict(_queries.QUERIES)
+ORACLE = dict(_queries.ORACLE)
