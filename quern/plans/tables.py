@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SHIPPED: set[str] = set()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table (a file or a folder of files) of the data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,6 +35,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that Python workers can import it wherever they run."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="quern-")) / "quern.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"quern/{f.relative_to(root)}")
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions for a shuffle the caller sizes itself."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
