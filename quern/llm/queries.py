@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixture, split, tokens
+from quern.llm import mixture, neighbours, split, tokens
 from quern.plans.tables import table
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    vectors = table(spark, sf_dir, "chunk_vectors").select("model_id", F.col("symbol_id").alias("id"), "vec")
+    return vectors, table(spark, sf_dir, "model_specs").select(F.col("id").alias("model_id"), "dim")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors of a model with a cosine of at least 0.90, one among the 5 most similar of the other."""
+    near = neighbours.similar_vectors(*_vectors(spark, sf_dir), k=5, min_cos=0.9)
+    return near.select("model_id", F.least("id", "other").alias("symbol_id_a"), F.greatest("id", "other").alias("symbol_id_b")).distinct()
+
+
+def p1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most similar vectors of every vector whose symbol_id is divisible by 50, against all vectors."""
+    near = neighbours.similar_vectors(*_vectors(spark, sf_dir), k=5, probes=64, rerank=128, queries=F.col("id") % 50 == 0)
+    return near.select("model_id", F.col("id").alias("symbol_id"), F.col("other").alias("other_symbol_id"), F.round("cos", 6).alias("cosine"))
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk cut for every model: at most 4 bytes per token of max_tokens, a sixteenth of it overlapping."""
     specs = table(spark, sf_dir, "model_specs").select(F.col("id").alias("model_id"), (F.col("max_tokens") * 4).alias("limit"), F.expr("max_tokens * 4 div 16").cast("int").alias("overlap"))
@@ -43,6 +60,8 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_search": p1_search,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p8_ids": p8_ids,
