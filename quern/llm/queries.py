@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixture, neighbours, split, tokens
+from quern.llm import docpairs, mixture, neighbours, split, tokens
 from quern.plans.tables import table
 
 
@@ -39,6 +39,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_pieces(spark, sf_dir).where("n_pieces > 1 AND piece_no = 0").select("model_id", "symbol_id")
 
 
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("kind = 'source' AND file_id IS NOT NULL").select("file_id", "text")
+
+
+def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions and methods with an informative description."""
+    return docpairs.documented_functions(table(spark, sf_dir, "symbols"), _sources(spark, sf_dir), table(spark, sf_dir, "files"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of the pairs of p7_pairs."""
+    return p7_pairs(spark, sf_dir).select("symbol_id")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each document by byte_bpe_50k."""
     return tokens.encode(table(spark, sf_dir, "documents"), "text", "doc_id")
@@ -64,6 +78,8 @@ QUERIES = {
     "p1_search": p1_search,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p7_found": p7_found,
+    "p7_pairs": p7_pairs,
     "p8_ids": p8_ids,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
