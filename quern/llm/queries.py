@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import docpairs, mixture, neighbours, split, tokens
+from quern.llm import docpairs, handwritten, mixture, neighbours, split, tokens
 from quern.plans.tables import table
 
 
@@ -26,6 +26,17 @@ def p1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("model_id", F.col("id").alias("symbol_id"), F.col("other").alias("other_symbol_id"), F.round("cos", 6).alias("cosine"))
 
 
+def p3_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files nobody wrote by hand, with the reasons."""
+    files = table(spark, sf_dir, "files").select(F.col("id").alias("file_id"), F.split("path", "/")[0].alias("repository")).dropDuplicates(["file_id"])
+    return handwritten.not_handwritten(_sources(spark, sf_dir).join(files, "file_id"), table(spark, sf_dir, "library_files"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of p3_reasons."""
+    return p3_reasons(spark, sf_dir).select("file_id")
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk cut for every model: at most 4 bytes per token of max_tokens, a sixteenth of it overlapping."""
     specs = table(spark, sf_dir, "model_specs").select(F.col("id").alias("model_id"), (F.col("max_tokens") * 4).alias("limit"), F.expr("max_tokens * 4 div 16").cast("int").alias("overlap"))
@@ -76,6 +87,8 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_search": p1_search,
+    "p3_found": p3_found,
+    "p3_reasons": p3_reasons,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p7_found": p7_found,
