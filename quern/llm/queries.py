@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import docpairs, handwritten, mixture, neighbours, split, tokens
+from quern.llm import docpairs, handwritten, mixture, neighbours, personal, split, tokens
 from quern.plans.tables import table
 
 
@@ -84,6 +84,16 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each mention of personal information in the documents."""
+    return personal.personal_information(table(spark, sf_dir, "documents"), table(spark, sf_dir, "known_names"))
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with placeholders."""
+    return personal.redacted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "known_names"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_search": p1_search,
@@ -96,6 +106,8 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_redacted": p10_redacted,
 }
 
 ORACLE = {
