@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import docpairs, handwritten, mixture, neighbours, personal, split, tokens
+from quern.llm import docpairs, handwritten, mixture, neighbours, personal, split, syntax, tokens
 from quern.plans.tables import table
 
 
@@ -26,6 +26,26 @@ def p1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("model_id", F.col("id").alias("symbol_id"), F.col("other").alias("other_symbol_id"), F.round("cos", 6).alias("cosine"))
 
 
+def p2_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files that do not parse, with the number of impossible pairs and statements and whether brackets are left."""
+    return syntax.unparsable(_sources(spark, sf_dir), table(spark, sf_dir, "files"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of p2_flags."""
+    return p2_flags(spark, sf_dir).select("file_id")
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of files that do not parse per repository and language of the extension."""
+    files = table(spark, sf_dir, "files").select(F.col("id").alias("file_id"), "path").dropDuplicates(["file_id"])
+    have = _sources(spark, sf_dir).where("text IS NOT NULL").select("file_id").distinct().join(files, "file_id")
+    lang = F.create_map(*[F.lit(x) for kv in syntax.LANGUAGE.items() for x in kv])
+    rows = have.withColumn("language", lang[F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))]).where("language IS NOT NULL")
+    rows = rows.join(p2_found(spark, sf_dir).withColumn("bad", F.lit(1)), "file_id", "left")
+    return rows.groupBy(F.split("path", "/")[0].alias("repository"), "language").agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.coalesce("bad", F.lit(0))).alias("n_bad"), F.round(F.avg(F.coalesce("bad", F.lit(0))), 6).alias("rate"))
+
+
 def p3_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files nobody wrote by hand, with the reasons."""
     files = table(spark, sf_dir, "files").select(F.col("id").alias("file_id"), F.split("path", "/")[0].alias("repository")).dropDuplicates(["file_id"])
@@ -97,6 +117,9 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_search": p1_search,
+    "p2_found": p2_found,
+    "p2_flags": p2_flags,
+    "p2_rates": p2_rates,
     "p3_found": p3_found,
     "p3_reasons": p3_reasons,
     "p5_found": p5_found,
