@@ -74,17 +74,21 @@ def parse(query: str) -> Node | Phrase:
         pos += 1
         return items[pos - 1]
 
-    def phrase(columns: tuple[str, ...]) -> Phrase:
-        kind, text = take()
-        if kind not in ("word", "str") or (kind == "word" and text in ("AND", "OR", "NOT")):
+    def word() -> str:
+        if peek()[0] not in ("word", "str") or peek() in (("word", "AND"), ("word", "OR"), ("word", "NOT")):
             raise QueryError(query)
-        words = _split(text)
+        return take()[1]
+
+    def phrase(columns: tuple[str, ...]) -> Phrase:
+        words = _split(word())
         while peek() == ("mark", "+"):
             take()
-            words += _split(take()[1])
+            words += _split(word())
         prefix = peek() == ("mark", "*")
         if prefix:
             take()
+        if not words:
+            raise QueryError(query)
         return Phrase(words, prefix, columns)
 
     def unit() -> Phrase:

@@ -65,7 +65,7 @@ def scan_folder(spark: SparkSession, root: str, rules: Sequence[str] = DEFAULT_R
     prefix = root.rstrip("/") + "/"
     path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + glob_regex(prefix, True), "")
     rows = rows.withColumn("path", path).where(~ignored(F.col("path"), rules)).withColumn("language", language_of(F.col("path")))
-    text = F.expr("try_validate_utf8(decode(content, 'UTF-8'))")
+    text = F.expr("try_validate_utf8(cast(content AS string))")
     rows = rows.withColumn("hash", F.sha2("content", 256)).withColumn("content", F.when(F.col("language").isNotNull(), text))
     rows = rows.withColumn("language", objective_c_header(F.col("path"), F.col("language"), F.col("content")))
     error = F.when(F.col("language").isNull(), F.concat(F.lit("unsupported extension: "), extension(F.col("path")))).when(F.col("content").isNull(), "not UTF-8")
