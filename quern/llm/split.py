@@ -70,9 +70,9 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
         return out
     led = [out[0]]
     for (before, _, _), (s, e, own) in zip(out, out[1:]):
-        lead = s
+        lead, most = s, min(overlap, limit - len(text[s:e].encode("utf-8", "surrogatepass")))
         for us, _ue, _n in reversed(units(text, before, s, max(1, overlap // 4))):
-            if len(text[us:s].encode("utf-8", "surrogatepass")) > overlap:
+            if len(text[us:s].encode("utf-8", "surrogatepass")) > most:
                 break
             lead = us
         led.append((lead, e, own))

@@ -80,8 +80,8 @@ def _op(lang: str, t: str) -> str:
     if t in ("!", "~"):
         return "!"
     if t in ("...", "..", "<-"):
-        return "a"
-    if t in ("+", "-", "*", "&", "**") or (t in ("<", ">", "/") and lang not in ("python", "go", "c")) or (t == "<<" and lang == "ruby"):
+        return "V" if lang == "python" else "a"
+    if t in ("+", "-", "*", "&", "**") or (t in ("<", ">") and lang in ("typescript", "java", "cpp")) or (t == "<<" and lang == "ruby"):
         return "a"
     return "o"
 
@@ -197,7 +197,7 @@ _BRACES = """
 GRAMMAR = {
     "python": _EXPRESSIONS
     + """
-<value> = <value> K <value> E <value> | <value> K <value> W <value> | U : <value> | U <list> : <value> | [ <value> K <list> W <value> ] | ( <value> K <list> W <value> ) | <value> : <value> | <value> : | : <value> | s s | @ <value> | a , | , a | a ) | o | U K
+<value> = <value> K <value> E <value> | <value> K <value> W <value> | U : <value> | U <list> : <value> | [ <value> K <list> W <value> ] | ( <value> K <list> W <value> ) | <value> : <value> | <value> : | : <value> | s s | @ <value> | a , | , a | a ) | , o , | , o ) | U K
 <value> = <operand> [ : ] | <operand> [ <value> : ] | <operand> [ : <value> ] | <value> U W <value> | <value> W U <value> | R <value> | V K <value>
 <params> = <list> | n : <value> | <params> , <params> | ( <params> )
 <statement> = <list> N | R N | R <list> N | R . n R n N | R . R n N | R <value> R <list> N | R <value> R a N | R <value> W n N | V N | V ; | <list> ; <statement> | @ <value> N | F n ( <params> ) : N | F n ( ) : N | F n ( ) > <value> : N | H n : N | H n ( ) : N | H n ( <list> ) : N | K <list> : N | K <list> W <value> : N | K : N | E : N | E : <statement> | K <list> : <statement> | F n ( ) : <statement> | H n : <statement> | U F n | U K <list> | <statement> <statement> | <list> : <value> N | K P : | K ( <list> P : | K <list> P N | : V N
@@ -320,13 +320,13 @@ def reduce_nesting(marks: str) -> str:
 _ARGS = r"(?:[^(){};N]*,)?(?:n[n0s]|0[n0s]|s[n0])"  # operands side by side among arguments
 _UNENDED = r"|,,|\(,|R[^;{}]*\}|[;{}][n.]+\([^;{}]*\)\}|Tn=[^;{}V]*[}KRH]|Ta*n[n0s]|\)[RKVHED]|(?:[;{}=R])n\(" + _ARGS
 _NEVER = {
-    "python": r"nn|n0|0n|nF|nH",
-    "javascript": r"nnn|(?:^|[N;{}])nn[N;(]|[FnT]\((?:[^(){}\[\]?]*,)?n:|\):n|\)n|\([^()\[\]{}]*,,|\(,|Dn[n0s(\[{]|\(" + _ARGS,
-    "typescript": r"nnn[^=(]|(?:^|[N;{}])nn(?:N|\()|\)n|\([^()\[\]{}]*,,|\(,|Dn[n0s(\[{]|\(" + _ARGS,
-    "go": r"nnn|[(,]n:|F[^N{]*N|(?:^|N)K[^N{:]*N|,,|\(,|(?:^|N|=)n(?:\.n)*\(" + _ARGS,
-    "java": r"nnnn|nn\(n(?:,n)*[)P]\{|\)n|(?:^|[;{}])nn[;]n:|\)T|nI|[)n0s\]]R" + _UNENDED,
-    "c": r"nnnn|::|K\([^(){};?]*:[^()]*C|(?:^|[;}])n*nn\{|\)n|\)T|nR|0R|nn\(n(?:,n)*[)P]\{" + _UNENDED,
-    "cpp": r"nnnn|\)n(?!\()|nR|0R|sR|\)R|L[^:]|(?:^|[;{}])nn\.|nn\(n(?:,n)*[)P]\{|\)T" + _UNENDED,
+    "python": r"nn|n0|0n|nF|nH|,,|\(,",
+    "javascript": r"^N?\{N?s:|nnn|(?:^|[N;{}])nn[N;(]|[FnT]\((?:[^(){}\[\]?]*,)?n:|\):n|\)n|\([^()\[\]{}]*,,|\(,|Dn[n0s(\[{]|\(" + _ARGS,
+    "typescript": r"^N?\{N?s:|nnn[^=(]|(?:^|[N;{}])nn(?:N|\()|\)n|\([^()\[\]{}]*,,|\(,|Dn[n0s(\[{]|\(" + _ARGS,
+    "go": r"^N?[{\[]|nnn|[(,]n:|F[^N{]*N|(?:^|N)K[^N{:]*N|,,|\(,|(?:^|N|=)n(?:\.n)*\(" + _ARGS,
+    "java": r"^N?[{\[]|nnnn|nn\(n(?:,n)*[)P]\{|\)n|(?:^|[;{}])nn[;]n:|\)T|nI|[)n0s\]]R" + _UNENDED,
+    "c": r"^N?[{\[]|nnnn|::|K\([^(){};?]*:[^()]*C|(?:^|[;}])n*nn\{|\)n|\)T|nR|0R|nn\(n(?:,n)*[)P]\{" + _UNENDED,
+    "cpp": r"^N?[{\[]|nnnn|\)n(?!\()|nR|0R|sR|\)R|L[^:]|(?:^|[;{}])nn\.|nn\(n(?:,n)*[)P]\{|\)T" + _UNENDED,
     "ruby": r"nnn|[^K(,{?]n:N|\)n|,,|\(,|\((?:[^(){}N]*,)?(?:n0|0[n0s])",
 }
 _NEVER = {lang: re.compile(p) for lang, p in _NEVER.items()}
@@ -424,7 +424,7 @@ def unparsable(documents: DataFrame, files: DataFrame) -> DataFrame:
     pairs = pairs.groupBy("file_id").agg(F.countDistinct("pair").alias("pairs"))
     nested = rows.where("nesting <> ''").groupBy("file_id", "doc").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("window", "nesting"))), lambda x: x["nesting"]), "").alias("rest"))
     # a document has one row per WINDOW tokens, and only those count here that leave brackets open
-    cancel = F.udf(reduce_nesting, "string")
+    cancel = F.udf(lambda marks: reduce_nesting(marks), "string")
     rest = nested.where(F.length(cancel("rest")) > 0).groupBy("file_id").agg(F.lit(1).alias("nesting"))
     bad = rows.where("bad > 0").groupBy("file_id").agg(F.max("bad").alias("statements"))
     out = pairs.join(rest, "file_id", "full").join(bad, "file_id", "full")
