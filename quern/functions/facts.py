@@ -192,7 +192,7 @@ def python_facts(text: str) -> dict:
 
 _IMPORTS = {
     "c": re.compile(r"^[ \t]*#[ \t]*include[ \t]*(?:<([^>\n]+)>|\"([^\"\n]+)\")", re.M),
-    "python": re.compile(r"^[ \t]*(?:import[ \t]+([\w.]+)[ \t]*(?=$|,|#)|from[ \t]+([\w.]*\w[\w.]*)[ \t]+import\b)", re.M),
+    "python": re.compile(r"^[ \t]*(?:import[ \t]+([\w.]+)[ \t]*(?=\r?$|,|#)|from[ \t]+([\w.]*\w[\w.]*)[ \t]+import\b)", re.M),
     "javascript": re.compile(r"^[ \t]*import\b[^;\n]*?(?:from[ \t]*)?(?:\"([^\"\n]+)\"|'([^'\n]+)')", re.M),
 }
 _IMPORTS |= {"cpp": _IMPORTS["c"], "typescript": _IMPORTS["javascript"], "tsx": _IMPORTS["javascript"]}

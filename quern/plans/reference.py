@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import FOLD_FROM, FOLD_TO, extension, like_anywhere, token_estimate
-from quern.operators import context, graph, search, stats, store, vectors
+from quern.operators import context, extract, graph, search, stats, store, vectors
 from quern.plans.tables import table
 from quern.sources.scan import ignored, language_of
 from quern.streaming.debounce import debounced
@@ -276,6 +276,22 @@ def intra_file_last_wins(spark: SparkSession, d: str) -> DataFrame:
     return store.resolve_names(_calls(spark, d), _symbols(spark, d)).where("callee_id IS NOT NULL")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("kind = 'source' AND text IS NOT NULL").select("file_id", F.col("text").alias("content"))
+    rows = docs.join(_files(spark, d).withColumnRenamed("id", "file_id"), "file_id").withColumn("language", language_of(F.col("path")))
+    return rows.select("path", "language", "content").distinct()
+
+
+def extracted_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of each text by kind; those of texts that do not parse are one error."""
+    return extract.facts(_texts(spark, d)).groupBy("path", "fact", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def extracted_imports(spark: SparkSession, d: str) -> DataFrame:
+    """Imports and includes of each text."""
+    return extract.facts(_texts(spark, d)).where("fact = 'import'").select("path", "line", F.col("kind").alias("import_kind"), F.col("name").alias("target"))
+
+
 def ignore_filter_paths(spark: SparkSession, d: str) -> DataFrame:
     """Paths that ordered ignore rules leave out; paths count from below the repository."""
     rows = _files(spark, d).withColumn("rel", F.regexp_replace("path", "^[^/]+/", ""))
@@ -312,7 +328,7 @@ QUERIES = {
         search_fallback, search_text_fallback, kind_only_list, knn_l2, knn_l2_filtered, rrf_hybrid, mean_pool_norm, overview_counts, language_breakdown, index_health,
         latency_percentiles, crash_window, debounce_sessions, callees_located, callers_located, call_neighbours_depth2, call_reach_depth3, enclosing_symbol, definitions_between,
         incoming_callers_tiered, imports, imported_by, find_symbol_first, context_condensed, context_detailed, context_capped, token_estimates, code_chunks, content_hash,
-        changed_files, file_upsert_latest, per_file_replace, cascade_delete, set_null_delete, intra_file_last_wins, ignore_filter_paths, language_census, like_names, term_frequencies,
+        extracted_facts, extracted_imports, changed_files, file_upsert_latest, per_file_replace, cascade_delete, set_null_delete, intra_file_last_wins, ignore_filter_paths, language_census, like_names, term_frequencies,
     )
 }
 
@@ -369,6 +385,17 @@ SELECT label, pos, round(CASE WHEN norm >= 1e-12 THEN x / norm ELSE x END, 6) AS
     "code_chunks": _HEAD + ", t AS (SELECT file_id, min(text) AS text FROM documents WHERE kind = 'source' AND text IS NOT NULL GROUP BY file_id), k AS (SELECT *, string_split(text, chr(10)) AS ls, len(string_split(text, chr(10))) - CASE WHEN suffix(text, chr(10)) THEN 1 ELSE 0 END AS n FROM loc JOIN t USING (file_id) WHERE kind IN ('function', 'method') AND line_start >= 1 AND line_start <= line_end) SELECT symbol_id, sha256('// ' || path || chr(10) || '// ' || kind || ': ' || name || coalesce(signature, '') || chr(10) || chr(10) || array_to_string(ls[line_start:least(line_end, n)], chr(10))) AS chunk_hash FROM k WHERE line_start <= n",
     "content_hash": "SELECT doc_id, sha256(text) AS hash FROM documents WHERE text IS NOT NULL",
     "changed_files": "WITH o AS (SELECT DISTINCT id, content_hash FROM files), l AS (SELECT file_id, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY analysed_at DESC, coalesce(content_hash, '') DESC) AS r FROM analysis_results) WHERE r = 1) SELECT CAST(coalesce(id, file_id) AS VARCHAR) AS path, CASE WHEN id IS NULL THEN 'added' WHEN file_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM o FULL JOIN l ON id = file_id WHERE id IS NULL OR file_id IS NULL OR o.content_hash IS DISTINCT FROM l.content_hash",
+    "extracted_imports": r"""
+WITH f AS (SELECT DISTINCT id AS file_id, path FROM files), t AS (SELECT DISTINCT path, text FROM documents JOIN f USING (file_id) WHERE kind = 'source' AND text IS NOT NULL),
+l AS (SELECT path, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM t),
+x AS (
+  SELECT path, line, 'import' AS import_kind, coalesce(nullif(regexp_extract(s, '^[ \t]*import[ \t]+([\w.]+)[ \t]*(\r?$|,|#)', 1), ''), regexp_extract(s, '^[ \t]*from[ \t]+([\w.]*\w[\w.]*)[ \t]+import\b', 1)) AS target FROM l WHERE regexp_matches(path, '\.pyi?$')
+  UNION ALL
+  SELECT path, line, 'include', coalesce(nullif(regexp_extract(s, '^[ \t]*#[ \t]*include[ \t]*<([^>]+)>', 1), ''), regexp_extract(s, '^[ \t]*#[ \t]*include[ \t]*"([^"]+)"', 1)) FROM l WHERE regexp_matches(path, '\.(c|h|cpp|cc|hpp)$')
+  UNION ALL
+  SELECT path, line, 'import', regexp_extract(s, '^[ \t]*import\b[^;]*?(?:from[ \t]*)?["'']([^"'']+)["'']', 1) FROM l WHERE regexp_matches(path, '\.(js|mjs|ts)$')
+)
+SELECT path, line, import_kind, target FROM x WHERE target <> ''""",
     "file_upsert_latest": "SELECT file_id, symbols_count, calls_count FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY analysed_at DESC, symbols_count DESC, calls_count DESC) AS r FROM analysis_results) WHERE r = 1",
     "per_file_replace": _HEAD + " SELECT symbol_id AS id, file_id, kind, name FROM sym WHERE file_id % 2 <> 0 OR kind <> 'class'",
     "cascade_delete": _HEAD + " SELECT symbol_id AS id, file_id, name FROM sym WHERE file_id NOT IN (SELECT id FROM files WHERE deleted_at IS NOT NULL)",
