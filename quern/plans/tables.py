@@ -36,10 +36,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that Python workers can import it wherever they run."""
+    """Send this package to the executors, once per application, so that Python workers can import it wherever they run.
+
+    Each task has a core, so the linear algebra of a worker gets one thread unless the caller chose otherwise.
+    """
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
+        sc.environment.setdefault(name, "1")
     root = Path(__file__).resolve().parent.parent
     archive = Path(tempfile.mkdtemp(prefix="quern-")) / "quern.zip"
     with zipfile.ZipFile(archive, "w") as z:
