@@ -56,6 +56,18 @@ class AdditiveQuantiser:
         some = np.argpartition(-score, n - 1, axis=1)[:, :n]
         return np.take_along_axis(some, np.argsort(-np.take_along_axis(score, some, 1), axis=1, kind="stable"), 1)
 
+    def open_cells(self, x: np.ndarray, worst: np.ndarray, radii: np.ndarray) -> np.ndarray:
+        """Rows x cells: whether a cell may hold a unit vector whose cosine with the row is above ``worst``.
+
+        A vector of another cell lies beyond the plane halfway to the row's own centre, and within the radius of its cell.
+        """
+        reach = np.sqrt(np.maximum(2.0 - 2.0 * (worst - 2e-4), 0.0))[:, None] + 1e-3  # rounding of the cosines and of the cells
+        c = self.centres.astype(np.float64)
+        square = np.maximum((x**2).sum(1)[:, None] - 2.0 * x @ c.T + (c**2).sum(1), 0.0)
+        own = np.argmin(square, axis=1)
+        apart = np.sqrt(np.maximum((c**2).sum(1)[:, None] - 2.0 * c @ c.T + (c**2).sum(1), 1e-12))[own]
+        return (square - square[np.arange(len(x)), own][:, None] <= 2.0 * apart * reach) & (np.sqrt(square) - radii <= reach)
+
     def encode(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes (rows x books, uint8) and the norm of each approximation, by beam search over all codebooks."""
         n, books, beam = len(x), len(self.codebooks), self.beam

@@ -94,7 +94,10 @@ def nearest(points: DataFrame, queries: DataFrame | None, k: int, probes: int, r
 
     points: (model_id, id, same, vec) with unit vectors as packed float32, where points of one ``same`` may be
     repeated and the one of the smallest id stands for all; queries: (model_id, id) of the points asked for, distinct, or None for all. A point is
-    not its own neighbour. Queries travel as float16, which moves a cosine by less than 1e-4. Every point is encoded and indexed by its cell; a query visits ``probes`` cells. Within a cell the packed
+    not its own neighbour. A query that has k answers of min_cos and more goes on: it visits every cell that may
+    hold a nearer point than its worst answer, by the distance of the cell's border and by its radius, and is
+    scored exactly there, so that its answers are the true ones. A query with fewer answers ends after ``probes``.
+    Queries travel as float16, which moves a cosine by less than 1e-4. Every point is encoded and indexed by its cell; a query visits ``probes`` cells. Within a cell the packed
     codes are scored by lookup tables, the best ``rerank`` are scored exactly. A cell over LARGE_CELL rows is
     divided by its first code, of which a query visits the best eighth; index and queries of a cell meet in
     blocks of bounded size, so no task ever holds a whole hot cell.
@@ -108,13 +111,18 @@ def nearest(points: DataFrame, queries: DataFrame | None, k: int, probes: int, r
                 q = shared.value[model]
                 x = _matrix(g["vec"].tolist())
                 cell = q.cells_of(x)[:, 0]
+                far = np.linalg.norm(x - q.centres[cell], axis=1)
                 codes, norms = q.encode(x, cell)
-                yield pd.DataFrame({"model_id": model, "id": g["id"].to_numpy(), "same": g["same"].to_numpy(), "vec": g["vec"].to_numpy(), "cell": cell.astype(np.int32), "code": codes[:, 0].astype(np.int32), "codes": [c.tobytes() for c in codes], "norm": norms})
+                yield pd.DataFrame({"model_id": model, "id": g["id"].to_numpy(), "same": g["same"].to_numpy(), "vec": g["vec"].to_numpy(), "cell": cell.astype(np.int32), "code": codes[:, 0].astype(np.int32), "codes": [c.tobytes() for c in codes], "norm": norms, "far": far})
 
-    index = points.select("model_id", "id", "same", "vec").mapInPandas(encode, "model_id string, id bigint, same binary, vec binary, cell int, code int, codes binary, norm float")
+    index = points.select("model_id", "id", "same", "vec").mapInPandas(encode, "model_id string, id bigint, same binary, vec binary, cell int, code int, codes binary, norm float, far float")
     index = cut_lineage(index)
-    counts = index.groupBy("model_id", "cell").agg(F.count(F.lit(1)).alias("n"))
-    large = {(r["model_id"], r["cell"]) for r in counts.where(F.col("n") > LARGE_CELL).collect()}  # at most MOST_CELLS per model
+    counts = index.groupBy("model_id", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"))
+    sizes = counts.collect()  # at most MOST_CELLS per model
+    large = {(r["model_id"], r["cell"]) for r in sizes if r["n"] > LARGE_CELL}
+    radii = {model: np.full(len(q.centres), -np.inf) for model, q in quantisers.items()}  # empty cells hold nothing
+    for r in sizes:
+        radii[r["model_id"]][r["cell"]] = r["radius"]
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -134,6 +142,14 @@ def nearest(points: DataFrame, queries: DataFrame | None, k: int, probes: int, r
                         code += list(codes)
                 yield pd.DataFrame({"model_id": model, "id": g["id"].to_numpy()[rows], "vec": half[rows], "cell": np.array(cell, np.int32), "code": np.array(code, np.int32)})
 
+    def visit_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for model, g in b.groupby("model_id", sort=False):
+                for at in range(0, len(g), 512):
+                    part = g.iloc[at : at + 512]
+                    rows, cell = np.nonzero(shared.value[model].open_cells(_matrix(part["vec"].tolist()), part["worst"].to_numpy(), radii[model]))
+                    yield pd.DataFrame({"model_id": model, "id": part["id"].to_numpy()[rows], "vec": part["vec"].to_numpy()[rows], "cell": cell.astype(np.int32)})
+
     share = 1.0
     asked = index
     if queries is not None:
@@ -151,7 +167,7 @@ def nearest(points: DataFrame, queries: DataFrame | None, k: int, probes: int, r
     left = index.join(grid, ["model_id", "cell", "code"]).withColumn("ib", F.pmod(F.xxhash64("same"), "n_index").cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("n_query") - 1)))
     right = asked.join(grid, ["model_id", "cell", "code"]).withColumn("qb", F.pmod(F.xxhash64("id"), "n_query").cast("int")).withColumn("ib", F.explode(F.sequence(F.lit(0), F.col("n_index") - 1)))
 
-    def score(key, held: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
+    def score(key, held: pd.DataFrame, want: pd.DataFrame, whole: bool) -> pd.DataFrame:
         model, cell = key[0], int(key[1])
         if held.empty or want.empty:
             return pd.DataFrame({"model_id": [], "id": [], "other": [], "cos": []})
@@ -165,8 +181,8 @@ def nearest(points: DataFrame, queries: DataFrame | None, k: int, probes: int, r
         take = min(rerank, len(ids))
         for at in range(0, len(want), 512):
             part = want.iloc[at : at + 512]
-            mine, y = part["id"].to_numpy(), np.frombuffer(b"".join(part["vec"]), "<f2").reshape(len(part), -1).astype(np.float32)
-            s = q.scores(y, cell, codes, norms)
+            mine, y = part["id"].to_numpy(), np.frombuffer(b"".join(part["vec"]), "<f4" if whole else "<f2").reshape(len(part), -1).astype(np.float32)
+            s = y @ x.T if whole else q.scores(y, cell, codes, norms)
             s[mine[:, None] == ids[None, :]] = -np.inf
             top = np.argpartition(-s, take - 1, axis=1)[:, :take] if take < len(ids) else np.tile(np.arange(take), (len(mine), 1))
             exact = np.einsum("qd,qrd->qr", y, x[top])
@@ -178,12 +194,32 @@ def nearest(points: DataFrame, queries: DataFrame | None, k: int, probes: int, r
             got.append(pd.DataFrame({"model_id": model, "id": mine[r][fine], "other": other[fine], "cos": cos[fine].astype(np.float64)}))
         return pd.concat(got)
 
-    found = left.select(*here, "id", "same", "vec", "codes", "norm").groupBy(*here).cogroup(right.select(*here, "id", "vec").groupBy(*here)).applyInPandas(score, "model_id string, id bigint, other bigint, cos double")
+    def score_lookup(key, held: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
+        return score(key, held, want, False)
+
+    def score_whole(key, held: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
+        return score(key, held, want, True)
+
+    kinds = "model_id string, id bigint, other bigint, cos double"
+    found = left.select(*here, "id", "same", "vec", "codes", "norm").groupBy(*here).cogroup(right.select(*here, "id", "vec").groupBy(*here)).applyInPandas(score_lookup, kinds)
     best = Window.partitionBy("model_id", "id").orderBy(F.desc("cos"), "other")
-    return found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
+    found = cut_lineage(found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r"))
+
+    full = found.groupBy("model_id", "id").agg(F.count(F.lit(1)).alias("n"), F.min("cos").alias("worst")).where(F.col("n") >= k).drop("n")
+    more = index.select("model_id", "id", "vec").join(full, ["model_id", "id"]).mapInPandas(visit_on, "model_id string, id bigint, vec binary, cell int")
+    more = cut_lineage(more)
+    n_query = more.groupBy("model_id", "cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("n_query"))
+    grid = F.broadcast(cut_lineage(n_query.join(counts.select("model_id", "cell", F.ceil(F.col("n") / INDEX_BLOCK).cast("int").alias("n_index")), ["model_id", "cell"])))
+    here = ["model_id", "cell", "ib", "qb"]
+    left = index.join(grid, ["model_id", "cell"]).withColumn("ib", F.pmod(F.xxhash64("same"), "n_index").cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("n_query") - 1)))
+    right = more.join(grid, ["model_id", "cell"]).withColumn("qb", F.pmod(F.xxhash64("id"), "n_query").cast("int")).withColumn("ib", F.explode(F.sequence(F.lit(0), F.col("n_index") - 1)))
+
+    exact = left.select(*here, "id", "same", "vec", "codes", "norm").groupBy(*here).cogroup(right.select(*here, "id", "vec").groupBy(*here)).applyInPandas(score_whole, kinds)
+    exact = exact.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
+    return found.join(full, ["model_id", "id"], "left_anti").unionByName(exact)
 
 
-def similar_vectors(vectors: DataFrame, specs: DataFrame, k: int = 5, min_cos: float = -2.0, probes: int = 3, rerank: int = 32, queries: Column | None = None) -> DataFrame:
+def similar_vectors(vectors: DataFrame, specs: DataFrame, k: int = 5, min_cos: float = -2.0, probes: int = 4, rerank: int = 32, queries: Column | None = None) -> DataFrame:
     """(model_id, id, other, cos): the k most similar vectors of each vector of its model, ties by the smaller id.
 
     vectors: (model_id, id, vec); specs: (model_id, dim). queries: a condition on id that chooses the vectors

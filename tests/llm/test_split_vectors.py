@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -84,3 +86,16 @@ def test_lookup_scores_equal_decoded_vectors():
     narrow = AdditiveQuantiser(q.centres, q.codebooks, beam=1).encode(x, cell)
     loss = lambda c: ((x - q.centres[cell] - sum(q.codebooks[m][c[:, m]] for m in range(4))) ** 2).sum()
     assert loss(codes) <= loss(narrow[0])
+
+
+def test_neighbours_in_a_hot_group_of_near_copies_are_the_true_ones(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1_200, 24))
+    x[:800] = x[0] + rng.normal(size=(800, 24)) * 0.08  # differ, yet nearer to each other than cells and codes can tell
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    at = str(tmp_path / "points.parquet")
+    pq.write_table(pa.table({"model_id": ["m"] * len(x), "id": np.arange(len(x)), "same": [str(i).encode() for i in range(len(x))], "vec": [v.tobytes() for v in x]}), at)
+    near = neighbours.nearest(spark.read.parquet(at), None, 5, 4, 32, 0.9, {"m": AdditiveQuantiser.fit(x, 12)})
+    got = {(r.id, r.other) for r in near.collect()}
+    want = brute(dict(enumerate(x)), 5, 0.9)
+    assert len(want) >= 4_000 and len(got & want) >= 0.999 * len(want) and len(got - want) <= 0.001 * len(want)
