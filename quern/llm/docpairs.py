@@ -74,8 +74,46 @@ GRAMMARS = {name: _grammar(name) for name in ("python", "ruby", "go", "javascrip
 LANGUAGE = {"py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "ts": "typescript", "go": "go", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "rb": "ruby"}
 
 
+_PY_PIECE = re.compile(r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|" + _STRING + r"|#[^\n]*|\\\r?\n|[()\[\]{}]|\n|[^\s()\[\]{}\"'#\\]+|[\"'\\]")
+_BRACE_PIECE = re.compile(_STRING + r"|`(?:[^`\\]|\\[\s\S])*`|//[^\n]*|/\*[\s\S]*?\*/|[{}]")
+
+
+def body_end(text: str, language: str, begin: int, head: int) -> int:
+    """Where the definition that begins at ``begin`` ends: by indentation in Python, by its end in Ruby, by braces elsewhere. head: the end of its head."""
+    line = text.rfind("\n", 0, begin) + 1
+    indent = len(text[line:begin]) - len(text[line:begin].lstrip(" \t"))
+    if language == "ruby":
+        stop = text.find("\n", begin)
+        stop = len(text) if stop < 0 else stop
+        if re.match(r"[ \t]*=[ \t]|[^\n]*\bend[ \t\r]*$", text[head:stop]):
+            return stop
+        m = re.compile(r"^" + re.escape(text[line : line + indent]) + r"end\b", re.M).search(text, stop)
+        return m.end() if m else len(text)
+    if language == "python":
+        depth, last, fresh = 0, begin, False
+        for m in _PY_PIECE.finditer(text, begin):
+            t = m.group()
+            if t == "\n":
+                fresh = fresh or depth == 0
+                continue
+            if t[0] == "#" or t[0] == "\\":
+                continue
+            if fresh and m.start() - text.rfind("\n", 0, m.start()) - 1 <= indent:
+                break
+            fresh = False
+            depth = max(0, depth + (t in "([{") - (t in ")]}"))
+            last = m.end()
+        return last
+    depth = 1
+    for m in _BRACE_PIECE.finditer(text, head):
+        depth += (m.group() == "{") - (m.group() == "}")
+        if depth == 0:
+            return m.end()
+    return len(text)
+
+
 def functions(text: str, language: str) -> list[tuple[str, int, int, int, str | None, str | None]]:
-    """(name, line, start, end, params, doc) of each function and method; offsets in characters, lines from 1."""
+    """(name, line, start, end, params, doc) of each function and method; offsets in characters, from its comment to the end of its body, lines from 1."""
     got = GRAMMARS[language](Parse(text), 0)
     out, line, at = [], 1, 0
     for kind, start, end, parts in got[1] if got else ():
@@ -88,6 +126,7 @@ def functions(text: str, language: str) -> list[tuple[str, int, int, int, str |
         line += text.count("\n", at, begins)
         at = begins
         doc = named.get("docstring") or named.get("comment")
+        end = body_end(text, language, named["def"][0], end)
         out.append((text[slice(*named["name"])], line, start, end, text[slice(*named["params"])] if "params" in named else None, text[slice(*doc)] if doc else None))
     return out
 
@@ -230,36 +269,35 @@ def extract_functions(documents: DataFrame, files: DataFrame) -> DataFrame:
             out = []
             for fid, ext, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 for name, line, start, end, params, doc in functions(text, LANGUAGE[ext]):
-                    out.append((fid, name, line, start, end, params, doc))
-            cols = list(zip(*out)) if out else [()] * 7
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["file_id", "name", "line", "start_char", "end_char", "params", "doc"])
+                    out.append((fid, name, line, start, end, params, doc, text[start:end]))
+            cols = list(zip(*out)) if out else [()] * 8
+            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["file_id", "name", "line", "start_char", "end_char", "params", "doc", "code"])
 
         yield from by_slices(one, batches, 2)
 
-    return rows.mapInArrow(run, "file_id bigint, name string, line int, start_char int, end_char int, params string, doc string")
+    return rows.mapInArrow(run, "file_id bigint, name string, line int, start_char int, end_char int, params string, doc string, code string")
 
 
 def documented_functions(symbols: DataFrame, documents: DataFrame, files: DataFrame) -> DataFrame:
-    """(symbol_id, name, signature, description): functions and methods whose documentation tells something.
+    """(symbol_id, name, signature, description, code): functions and methods whose documentation tells something.
 
     The documentation is that of the symbol, or where it is null the docstring or comment of the definition of
-    that name nearest to the symbol's line in its file's text. Symbols without either are dropped, and so are
+    that name nearest to the symbol's line in its file's text. The code is the whole of that definition, with its comment and
+    body, null where the file has no text or no such definition. Symbols without either are dropped, and so are
     those whose documentation is trivial. Repeated symbols count once; empty tables give no rows.
     """
     rows = symbols.where(F.col("kind").isin("function", "method")).select("id", "file_id", "name", "signature", "line_start", "documentation").dropDuplicates(["id"])
-    found = extract_functions(documents, files).select("file_id", F.col("name").alias("_name"), "line", "params", "doc")
-    bare = rows.where("documentation IS NULL")
-    near = Window.partitionBy("id").orderBy(F.abs(F.col("line") - F.coalesce("line_start", "line")), F.desc(F.col("doc").isNotNull()), "line", "doc")
-    lent = bare.join(found, (bare["file_id"] == found["file_id"]) & (bare["name"] == found["_name"])).select("id", bare["name"], F.coalesce("signature", "params").alias("signature"), "line", "line_start", "doc")
-    lent = lent.withColumn("_r", F.row_number().over(near)).where("_r = 1 AND doc IS NOT NULL").select("id", "name", "signature", F.col("doc").alias("documentation"))
-    pairs = rows.where("documentation IS NOT NULL").select("id", "name", "signature", "documentation").unionByName(lent)
+    found = extract_functions(documents, files).select("file_id", F.col("name").alias("_name"), "line", "params", "doc", "code")
+    near = Window.partitionBy("id").orderBy(F.abs(F.col("line") - F.coalesce("line_start", "line")), F.desc(F.col("doc").isNotNull()), "line", "doc", "code")
+    met = rows.join(found, (rows["file_id"] == found["file_id"]) & (rows["name"] == found["_name"]), "left").withColumn("_r", F.row_number().over(near)).where("_r = 1")
+    pairs = met.select("id", "name", F.when(F.col("documentation").isNull(), F.coalesce("signature", "params")).otherwise(F.col("signature")).alias("signature"), F.coalesce("documentation", "doc").alias("documentation"), "code").where("documentation IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = [informative(d, n, s) for n, s, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())]
             text = ["\n".join(description(d)) for d in b.column(3).to_pylist()]
-            out = pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(text, pa.string())], ["symbol_id", "name", "signature", "description"])
+            out = pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(text, pa.string()), b.column(4)], ["symbol_id", "name", "signature", "description", "code"])
             yield out.filter(pa.array(keep))
 
-    return pairs.mapInArrow(run, "symbol_id bigint, name string, signature string, description string")
+    return pairs.mapInArrow(run, "symbol_id bigint, name string, signature string, description string, code string")

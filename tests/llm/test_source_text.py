@@ -115,3 +115,15 @@ def test_not_handwritten(spark):
     got = {r.file_id: r.reasons for r in handwritten.not_handwritten(df, lib).collect()}
     assert set(got) == {2, 3, 4, 5} and got[2] == ["library copy"] and got[5] == ["generated"]
     assert handwritten.not_handwritten(df.limit(0), lib).count() == 0
+
+
+def test_functions_come_with_their_bodies(spark):
+    ends = {"python": "return -x", "ruby": "    y\n  end", "go": "return 0\n}", "java": "return (int) y;\n    }", "c": "1 : 0;\n}", "cpp": "return 0;\n    }", "javascript": "{ a: 1, b };\n  }", "typescript": "return z;\n}"}
+    for lang, tail in ends.items():
+        code = [GOOD[lang][g[2] : g[3]] for g in functions(GOOD[lang], lang) if g[0] in "fF"]
+        assert len(code) == 1 and code[0].endswith(tail), (lang, code)
+    symbols = spark.createDataFrame([(1, 1, "function", "f", None, 4, None), (2, 1, "method", "g", None, 15, "Waits for the slow reader."), (3, 9, "function", "h", None, 1, "Waits for the slow reader.")], "id long, file_id long, kind string, name string, signature string, line_start int, documentation string")
+    files = spark.createDataFrame([(1, "a.py")], "id long, path string")
+    docs = spark.createDataFrame([(1, GOOD["python"].replace("doc (unclosed", "Walks rows from oldest to newest."))], "file_id long, text string")
+    got = {r.symbol_id: r.code for r in docpairs.documented_functions(symbols, docs, files).collect()}
+    assert set(got) == {1, 2, 3} and got[1].endswith("return -x") and got[2].strip() == "async def g(self):\n        await h(x)[0].y" and got[3] is None
