@@ -2,381 +2,24 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.lexing import LANGUAGE_OF as LANGUAGE
 from quern.llm.arrow import by_slices
+from quern.llm.grammars import lexer
+from quern.llm.parsing import WINDOW, neighbours, permitted, verdict, window_rest
+from quern.plans.tables import cut_lineage
 
-# ---- lexing ---------------------------------------------------------------------------------------------
 
-#: Language by the extension of the path.
-LANGUAGE = {"py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "ts": "typescript", "go": "go", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "rb": "ruby"}
+def lex_rows(documents: DataFrame, files: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(file_id, doc, language, window, pairs, rest): a row for each window of so many tokens of a document.
 
-# Classes of tokens, one character each:
-# n name  0 number  s string  ( ) [ ] { }  , ; : .  = assignment  o binary operator  a operator that may also stand
-# before an operand  ! operator before an operand only  i ++ --  ? question  > arrow  @ at sign  N end of line
-# X what is no token.  ) closes a call or parameters, P a group or cast, C the head of if, for, while and the like.
-# Words: K opens a statement  R return and the like  T type or modifier  V value  W operator word (in, is, and)
-# U word before an operand (not, new, await)  F function  E else, try, finally, do  H class, struct and the like
-_CONFLICT = r"(?:<{7}|={7}|>{7}|\|{7})(?=[ \t\r\n]|\Z)"
-_NUMBER = r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO]?[0-7_]+|\d[\d_]*\.?[\d_]*(?:[eE][+-]?\d+)?|\.\d[\d_]*(?:[eE][+-]?\d+)?)"
-_DQ, _SQ = r'"(?:[^"\\\n]|\\[\s\S])*"', r"'(?:[^'\\\n]|\\[\s\S])*'"
-_C_COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/"
-_NAME = r"[^\W\d]\w*"
-
-
-def _lexer(comment: str, string: str, suffix: str, ops: str, name: str = _NAME) -> re.Pattern:
-    return re.compile(rf"(?P<w>[ \t\r\f﻿]+|\\\r?\n)|(?P<l>\n)|(?P<x>(?m:^){_CONFLICT})|(?P<c>{comment})|(?P<s>{string})|(?P<d>{_NUMBER}{suffix}(?![\w]))|(?P<n>{name})|(?P<o>{ops})|(?P<z>[\s\S])")
-
-
-_C_OPS = r"<<=|>>=|\.\.\.|->\*?|\+\+|--|&&|\|\||[-+*/%&|^]=|<=>|<<|[<>=!]=|::|[-+*/%&|^<>=!~?:;,.(){}\[\]]"
-_JS_OPS = r">>>=|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|\.\.\.|=>|===|!==|\*\*|\+\+|--|&&|\|\||\?\?|\?\.(?!\d)|[-+*/%&|^]=|<<|[<>=!]=|[-+*/%&|^<>=!~?:;,.(){}\[\]@]"
-LEXERS = {
-    "python": _lexer(r"#[^\n]*", rf"(?:[rRuUbBfF]{{0,2}})(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|(?!\"\"\"|'''){_DQ}|(?!\"\"\"|'''){_SQ})", r"[jJ]?", r"\*\*=|//=|<<=|>>=|\.\.\.|->|:=|\*\*|//|[-+*/%&|^@]=|<<|>>|[<>=!]=|[-+*/%&|^<>=~:;,.(){}\[\]@]"),
-    "ruby": _lexer(r"#[^\n]*|(?m:^)=begin\b[\s\S]*?(?m:^)=end[^\n]*", rf"{_DQ}|{_SQ}|`(?:[^`\\]|\\[\s\S])*`|%[wWiIqQ]?(?:\([^)]*\)|\[[^\]]*\]|\{{[^}}]*\}})|:(?:[^\W\d]\w*[?!]?|\"[^\"\n]*\")(?!:)", r"[ri]?", r"\*\*=|\|\|=|&&=|<=>|===|\.\.\.|<<=|>>=|\.\.|=>|->|\*\*|&&|\|\||&\.|::|[-+*/%&|^]=|<<|>>|=~|!~|[<>=!]=|[-+*/%&|^<>=!~?:;,.(){}\[\]]", r"[@$]{0,2}[^\W\d]\w*[?!]?(?!=(?![=~>]))|[@$]{0,2}[^\W\d]\w*"),
-    "go": _lexer(_C_COMMENT, rf"{_DQ}|`[^`]*`|'(?:[^'\\\n]|\\[^\n]+?)'", r"i?", r"&\^=|<<=|>>=|\.\.\.|&\^|:=|<-|\+\+|--|&&|\|\||[-+*/%&|^]=|<<|>>|[<>=!]=|[-+*/%&|^<>=!:;,.(){}\[\]~]"),
-    "java": _lexer(_C_COMMENT, rf"\"\"\"[\s\S]*?\"\"\"|{_DQ}|'(?:[^'\\\n]|\\[^\n]+?)'", r"[lLfFdD]?", r"::|" + _C_OPS.replace("|::", "") + r"|@", r"[^\W\d][\w$]*|\$[\w$]*"),
-    "javascript": _lexer(_C_COMMENT + r"|\A#![^\n]*", rf"{_DQ}|{_SQ}|`(?:[^`\\]|\\[\s\S])*`", r"n?", _JS_OPS, r"#?(?:[^\W\d]|\$)[\w$]*"),
-    "c": _lexer(_C_COMMENT, rf"(?:u8|[LuU])?(?:{_DQ}|'(?:[^'\\\n]|\\[^\n])+')", r"[uUlLfF]{0,3}", r"#|" + _C_OPS.replace("|::", "").replace("|<=>", "")),
-    "cpp": _lexer(_C_COMMENT, rf"(?:u8|[LuU])?R\"(?P<q>\w*)\([\s\S]*?\)(?P=q)\"|(?:u8|[LuU])?(?:{_DQ}|'(?:[^'\\\n]|\\[^\n])+')", r"[uUlLfF]{0,3}", r"#|" + _C_OPS),
-}
-LEXERS["typescript"] = LEXERS["javascript"]
-
-
-def _words(**groups: str) -> dict[str, str]:
-    return {w: c for c, ws in groups.items() for w in ws.split()}
-
-
-WORDS = {
-    "python": _words(K="if while for with elif except match_", E="else try finally", R="return raise yield del assert global nonlocal import from", V="None True False pass break continue", W="in is and or as", U="not lambda await async", F="def", H="class"),
-    "ruby": _words(K="if unless while until case when for elsif rescue in_", E="else ensure begin do then", R="return yield raise puts require require_relative include extend", V="nil true false self break next redo retry", W="and or in", U="not", F="def", H="class module", Z="end"),
-    "go": _words(K="if for switch select case", E="else default", R="return go defer", V="nil true false break continue fallthrough iota", U="range", F="func", H="struct interface", T="map chan", D="var const type", I="import package"),
-    "java": _words(K="if for while switch catch synchronized case", E="else try finally do default", R="return throw assert yield_", V="null true false this super break continue", W="instanceof", U="new", H="class interface enum record_", T="public private protected static final abstract native transient volatile strictfp void int long short byte char boolean float double", W2="extends implements throws", I="import package"),
-    "javascript": _words(K="if for while switch catch with case", E="else try finally do default", R="return throw", V="null true false undefined this super break continue debugger", W="in of instanceof as", U="new typeof void delete await yield", F="function", H="class", T="static async", D="var let const", W2="extends", I="import export from"),
-    "c": _words(K="if for while switch case", E="else do default", R="return goto", V="break continue", U="sizeof", H="struct union enum", T="static const extern inline unsigned signed void int long short char float double volatile register typedef restrict bool auto"),
-    "cpp": _words(K="if for while switch catch case", E="else do default try", R="return goto throw", V="break continue this nullptr true false", U="sizeof new delete", H="struct union enum class namespace", T="static const extern inline unsigned signed void int long short char float double volatile typedef bool auto virtual explicit constexpr friend mutable override typename using template operator", Q="override noexcept final", L="public private protected"),
-}
-WORDS["typescript"] = WORDS["javascript"] | _words(T="static async public private protected readonly abstract declare", H="class interface enum namespace")
-_AMBIGUOUS, _BEFORE = {"+", "-", "*", "&", "<", ">", "**", "/"}, {"!", "~", "..."}
-_ASSIGN = re.compile(r"(?:[-+*/%&|^@]|\*\*|//|<<|>>>?|&&|\|\||\?\?|&\^|:)?=\Z")
-_ARROWS = {"=>": ">", "->": "."}
-
-
-def _op(lang: str, t: str) -> str:
-    if t in "()[]{},;:.?@#":
-        return t
-    if t in ("::", "?.", "&.", "->*") or (t == "->" and lang in ("c", "cpp")):
-        return "."
-    if t in ("=>", "->"):
-        return ">"
-    if _ASSIGN.match(t) and t not in ("==", "!=", "<=", ">="):
-        return "="
-    if t in ("++", "--"):
-        return "i"
-    if t in ("!", "~"):
-        return "!"
-    if t in ("...", "..", "<-"):
-        return "V" if lang == "python" else "a"
-    if t in ("+", "-", "*", "&", "**") or (t in ("<", ">") and lang in ("typescript", "java", "cpp")) or (t == "<<" and lang == "ruby"):
-        return "a"
-    return "o"
-
-
-_DIRECTIVE = re.compile(r"#[ \t]*(?:include[ \t]*(?:<[^>\n]+>|\"[^\"\n]+\"|\w+)|(?:define|undef|ifdef|ifndef)[ \t]+\w[^\n]*|(?:if|elif|pragma|error|warning|line)\b[^\n]*|(?:else|endif)\b[^\n]*)?(?:\\\r?\n[^\n]*)*")
-_PAIR_OF = {")": "(", "]": "[", "}": "{"}
-_NEWLINES = frozenset(("python", "ruby", "go", "javascript", "typescript"))
-_ACCESSOR = re.compile(r"[ \t]+[\w$#]")
-#: Tokens of one window of the nesting reduction.
-WINDOW = 512
-
-
-def lex(text: str, lang: str) -> tuple[str, list[tuple[int, str]], list[int]]:
-    """Classes of all tokens, the brackets as (token number, bracket), and the columns of the first token of each logical line of Python.
-
-    Ends of lines are kept where the language gives them meaning, and then only outside ( and [.
-    """
-    words = WORDS[lang]
-    out: list[str] = []
-    marks: list[tuple[int, str]] = []
-    columns: list[int] = []
-    stack: list[tuple[str, str]] = []
-    newlines = lang in _NEWLINES
-    preprocess = lang in ("c", "cpp")
-    scan = LEXERS[lang].match
-    at, n, line_start, loop = 0, len(text), 0, False
-    while at < n:
-        m = scan(text, at)
-        kind, end = m.lastgroup, m.end()
-        if kind == "q":
-            kind = "s"
-        if kind == "w" or kind == "c":
-            at = end
-            continue
-        if kind == "l":
-            line_start = end
-            if newlines and out and out[-1] != "N":
-                # Go ends a statement after an operand, whatever is open; the others do outside of brackets
-                if out[-1] in "n0sVi)]}CPR" if lang == "go" else not (stack and (lang == "python" or stack[-1][0] in "([")):
-                    out.append("N")
-                    loop = False
-            at = end
-            continue
-        if lang == "python" and (not out or out[-1] == "N"):
-            columns.append(len(text[line_start:at].expandtabs(8)))
-        if kind == "n":
-            word = m.group()
-            c = words.get(word, "n")
-            if c != "n" and out and out[-1] == "." and lang != "python":
-                c = "n"
-            elif word in ("get", "set") and lang in ("javascript", "typescript") and _ACCESSOR.match(text, end):
-                c = "T"
-            c = c[0] if c != "W2" else "W"
-            if lang == "ruby" and c in "KEFHZ":
-                opens = not out or out[-1] in "N;=(E"
-                if c == "Z":
-                    marks.append((len(out), "z"))
-                elif c in "FH" or word in ("begin", "case") or (c == "K" and opens and word not in ("when", "elsif", "rescue")) or (word == "do" and not loop):
-                    marks.append((len(out), "b"))
-                loop = loop or (word in ("while", "until", "for") and opens)
-        elif kind == "d":
-            c = "0"
-        elif kind == "s":
-            c = "s"
-        elif kind == "o":
-            c = _op(lang, m.group())
-            if c == "#" and preprocess:
-                d = _DIRECTIVE.match(text, at)
-                line = text[line_start:at]
-                if d and not line.strip() and d.end() > at + 1:
-                    at = d.end()
-                    continue
-                c = "X"
-            elif c == "/" or (m.group() == "/" and lang in ("javascript", "typescript", "ruby") and (not out or out[-1] in "(,=:[!&|?{};NoaRKUW>")):
-                r = re.compile(r"/(?:[^/\\\n\[]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-z]*").match(text, at)
-                if r:
-                    c, end = "s", r.end()
-            if c in "([{":
-                before = out[-1] if out else "N"
-                role = "C" if c == "(" and before == "K" else "P" if c == "(" and before not in "n)]F.sV" else c
-                stack.append((c, role))
-                marks.append((len(out), c))
-            elif c in ")]}":
-                marks.append((len(out), c))
-                if stack and stack[-1][0] == _PAIR_OF[c]:
-                    role = stack.pop()[1]
-                    if c == ")":
-                        c = {"C": "C", "P": "P"}.get(role, ")")
-                elif stack:
-                    stack.pop()
-        else:
-            c = "X"
-        out.append(c)
-        at = end
-    if newlines and out and out[-1] != "N":
-        out.append("N")
-    return "".join(out), marks, columns
-
-
-# ---- grammar-derived pairs ------------------------------------------------------------------------------
-
-#: Productions over classes; every symbol in lower-case angle brackets is another one of the grammar.
-_EXPRESSIONS = """
-<operand> = n | 0 | s | V | ( ) | ( <list> P | ( P | ( <list> ) | [ ] | [ <list> ] | { } | { <list> } | <operand> ( ) | <operand> ( <list> ) | <operand> [ <list> ] | <operand> . n | <operand> i | i <operand>
-<value> = <operand> | a <value> | ! <value> | U <value> | <value> o <value> | <value> a <value> | <value> W <value> | <value> ? <value> : <value> | <value> = <value>
-<list> = <value> | <list> , <value> | <list> ,
-"""
-_BRACES = """
-<head> = K ( <list> C | K ( <statement> C
-<block> = { <statement> } | { }
-<statement> = ; | <value> ; | R ; | R <value> ; | <head> <statement> | <head> <block> | E <statement> | E <block> | E <head> <statement> | <block> | <statement> <statement> | K <value> : <statement> | K <value> : | E : <statement> | n : <statement> | V ; | V n ;
-"""
-GRAMMAR = {
-    "python": _EXPRESSIONS
-    + """
-<value> = <value> K <value> E <value> | <value> K <value> W <value> | U : <value> | U <list> : <value> | [ <value> K <list> W <value> ] | ( <value> K <list> W <value> ) | <value> : <value> | <value> : | : <value> | s s | @ <value> | a , | , a | a ) | , o , | , o ) | U K
-<value> = <operand> [ : ] | <operand> [ <value> : ] | <operand> [ : <value> ] | <value> U W <value> | <value> W U <value> | R <value> | V K <value>
-<params> = <list> | n : <value> | <params> , <params> | ( <params> )
-<statement> = <list> N | R N | R <list> N | R . n R n N | R . R n N | R <value> R <list> N | R <value> R a N | R <value> W n N | V N | V ; | <list> ; <statement> | @ <value> N | F n ( <params> ) : N | F n ( ) : N | F n ( ) > <value> : N | H n : N | H n ( ) : N | H n ( <list> ) : N | K <list> : N | K <list> W <value> : N | K : N | E : N | E : <statement> | K <list> : <statement> | F n ( ) : <statement> | H n : <statement> | U F n | U K <list> | <statement> <statement> | <list> : <value> N | K P : | K ( <list> P : | K <list> P N | : V N
-""",
-    "go": _EXPRESSIONS
-    + _BRACES
-    + """
-<type> = n | a <type> | [ ] <type> | [ <value> ] <type> | T [ <type> ] <type> | T <type> | H { } | H { N } | <type> . n | F ( ) <type> | F ( <params> ) | F ( ) | a n
-<params> = n <type> | n | <params> , <params> | <type> | n a <type>
-<value> = <type> { <list> } | <type> { } | F ( <params> ) { <statement> } | F ( ) <type> { N } | <value> : <value> | <list> , N <list> | { N <list> , N } | ( N <list> ) | [ <value> : ] | [ : <value> ] | U <value> | = U <value> | <value> . ( <type> ) | <value> . ( T ) | . P
-<statement> = N | <list> N | R N | R <list> N | V N | I n N | I s N | I ( <strings> ) N | ) N | I ( N s N ) N | I ( s N P N | I n s N | I ( N P N | n s N | . s N | D n <type> N | D n <type> = <value> N | D n = <value> N | D n <type> { N } N | D n H { N <fields> } N | D ( N <fields> P N | D ( N <fields> ) N | D ( P N | D n , n <type> N | <fields> N | F n ( ) { N | F n ( <params> ) <type> { N | F ( <params> P n ( <params> ) <type> { N | F ( <params> ) n ( ) | F n ( ) ( <params> ) { N | F n ( ) ( <type> P { N | K <list> { N | K { N | K <list> ; <list> { N | K <list> ; <list> ; <list> { N | K ; ; { | K D n | K <value> : N | E : N | E { N | } E K | } E { N | } N | <statement> <statement> | { N <statement> } N | K <list> : <statement> | E : <statement> | <statement> } | ; N | : V N | N P | N )
-<strings> = s N | n s N | <strings> <strings>
-<fields> = n <type> N | n N | <fields> <fields> | n <type> s N | a n N | n = <value> N | n , n <type> N
-""",
-    "java": _EXPRESSIONS
-    + _BRACES
-    + """
-<type> = n | T | <type> [ ] | <type> a <type> a | <type> a a | <type> . n | <type> a <type> , <type> a | <type> a ? a | T T | T <type> | <type> a a a | a <type> a | <type> . a
-<params> = <type> n | <params> , <params> | T <type> n | <annot> <type> n | <type> . a n
-<annot> = @ n | @ n ( ) | @ n ( <list> ) | @ n . n | @ H n
-<value> = P <value> | U <type> ( ) | U <type> ( <list> ) | U <type> [ <value> ] | U <type> [ ] { <list> } | ( ) > <value> | ( ) > <block> | n > <value> | n > <block> | ( <params> ) > <block> | ( <params> P > <block> | P > <value> | P > <block> | <value> W <type> | V ( ) | V ( <list> ) | <value> . U n ( ) | <value> . V | <value> . H | <type> . H | a <value> | o o | <type> . U | s <value> | <value> { <statement> } | <value> o <type> | V . n | V [ <value> ]
-<statement> = I <value> ; | I T <value> ; | I <value> . a ; | <type> n ; | <type> n = <value> ; | <type> n , n ; | <type> n ( ) <block> | <type> n ( <params> ) <block> | <type> n ( ) ; | <type> n ( ) W <type> <block> | n ( <params> ) <block> | H n <block> | H n W <list> <block> | H n a <type> a { | T H n | <annot> <statement> | n , n | T { | T <statement> | } <statement> | { <statement> | { } <statement> | <statement> } | } ; | } ) | E K | ( T <type> n C | K ( <type> n : <value> C | K ( <type> n = <value> ; <value> ; <value> C | K ( ; ; C | K ( <type> o <type> n C | <head> <statement> | E ( <list> P <block> | K <value> > <statement> | n ( <list> ) , | n , | n ; | W <list> { | a <type> a n ( | <value> , <value> ; | } , | { n , n ; | R U n | K ( T n C | <type> n = { <list> } ; | { <list> , } | } } | V : | H n ( <params> )
-""",
-}
-_JS = (
-    _EXPRESSIONS
-    + _BRACES
-    + """
-<params> = n | <params> , <params> | n = <value> | { <list> } | [ <list> ] | a n | <params> ,
-<func> = F n ( <params> ) <block> | F ( <params> ) <block> | F ( ) <block> | F n ( ) <block> | F a n ( ) <block> | F ( <params> P <block> | F ( P <block>
-<value> = <func> | T <func> | T n > | n > <value> | n > <block> | ( ) > <value> | ( <params> ) > <value> | ( <params> P > <value> | ( P > <value> | ( P > <block> | ( <params> P > <block> | ( ) > <block> | H { | H n { | H n W <value> { | H W <value> { | <value> : <value> | s : <value> | n ( ) <block> | n ( <params> ) <block> | a <value> | <operand> s | U n . n | <value> . V | V ( ) | V ( <list> ) | V . n | V [ <value> ] | I ( <list> ) | I . n | n a <value> | , , | [ , | R <value> | K : | E : | { <list> , } | , } | n , n | n : F | U ( <list> P | s . n | T : | P ( ) | P ( <list> ) | P . n | P [ <value> ] | C | 0 : <value> | W : | n : n | i <operand>
-<pairs> = <list> , N <list> | { N <list> N } | ( N | N ) | N P | N C | N ] | [ N | <value> N . n | <value> N ? <value> N : <value> | <value> N o <value> | <value> o N <value> | <value> a N <value> | = N <value> | > N <value> | : N <value> | ( N <list> ) | <value> N a <value>
-<statement> = N | <list> N | <value> ; N | R N | R <value> N | R ; | V N | V n N | D n = <value> ; | D n = <value> N | D n ; | D n N | D n , n | D { <list> } = <value> | D [ <list> ] = <value> | D <value> , <value> ; | K ( D n W <value> C <statement> | K ( D n = <value> ; <value> ; <value> C <statement> | K ( ; ; C <statement> | K ( D { <list> } W <value> C | K ( D [ <list> ] W <value> C | K ( n W <value> C | K ( <list> ; <list> ; <list> C | K ( N | K { | I s ; | I s N | I n I s ; | I { <list> } I s ; | I a W n I s ; | I a I s | I n , { <list> } I s | I <statement> | I E <value> ; | I E <statement> | I T <func> | I { <list> } ; | I { <list> } N | I F n ( ) | I D n = | H n { <statement> } | H n W <value> { | T n ( <params> ) <block> | T n = <value> ; | n ( <params> ) <block> | n ( ) <block> | T a n ( ) | T { | a n ( ) <block> | n = <value> ; | n ; | } <statement> | { N <statement> } | { <statement> | <statement> <statement> | } N | } ; | } ) | } , | } . n | } ( ) | } } | } P | } C | E N <statement> | E ; | } E { | } E <statement> | } E K | } K ( | N K | N E | N W | E { N | ; } | n : N | K <value> : N <statement> | E : N | K s : | K n : | } ] | } : | } o | } a | } ? | } W | C N <statement> | C ; | : { | : V | : K | : R | : D | : F | : H | ; ; | ! <func> | U <func> | W { | . H | . K | . E | . U | . I | . D | . F | . T | . R | . W | @ n N | @ n ( ) N | @ <value> N <statement> | @ n <statement> | T H n
-"""
-)
-GRAMMAR["javascript"] = _JS
-GRAMMAR["typescript"] = (
-    _JS
-    + """
-<type> = n | V | U | s | 0 | <type> [ ] | <type> o <type> | <type> a <type> a | <type> a <type> , <type> a | { <statement> } | ( <params> ) > <type> | ( <params> P > <type> | ( P > <type> | <type> . n | U <type> | T <type> | n W <type> | [ <type> ] | [ <type> , <type> ] | H n | <type> a <type> o
-<params> = n : <type> | n ? : <type> | n : <type> = <value> | T n : <type> | T T n : <type> | a n : <type>
-<value> = <value> W <type> | <value> ! | a <type> a <value> | ( <params> ) : <type> > <value> | ( <params> P : <type> > | P : <type> > | n a <type> a ( ) | <value> ! . n | <value> ! [ | <value> ! ; | ) ! | ] ! | ! ) | ! , | ! ] | ! N
-<statement> = D n : <type> = <value> ; | D n : <type> ; | n : <type> ; | n ? : <type> ; | n : <type> N | n ? : <type> N | n : <type> = <value> ; | F n ( <params> ) : <type> <block> | F n ( ) : <type> <block> | F n a <type> a ( | n ( <params> ) : <type> <block> | n ( ) : <type> <block> | n ( ) : <type> ; | n ( ) : <type> N | T n : <type> ; | T T n | T n ( <params> ) : <type> <block> | H n a <type> a { | H n W <type> , <type> { | H n { N } N | n n = <type> ; | n n a <type> a = <type> ; | n n N | n n { | n s { | I n n = <type> | I H n | I T H n | T D n | T F n | T H n | n : <type> , | n = <value> , | a n a ( | I n { | ( ) : <type> | n a <type> a ( <params> ) : <type> | T I | V : | T n ? : | [ n : <type> ] : <type> ; | [ n W U n ] | > V | > { | : [ | W n <type> | n W n { | a { | a W
-"""
-)
-_C_DECLARATIONS = """
-<type> = n | T | T <type> | <type> a | <type> T | H n | <type> [ ] | <type> . n | T H n
-<params> = <type> n | <type> | <params> , <params> | <type> n [ ] | <type> n [ <value> ] | T | <type> a T n | <params> , a
-<value> = P <value> | U ( <type> ) | U ( <type> P | U <value> | ( <type> P <value> | s s | { <list> , } | . n = <value> | , . n | { . n | s n s | n s | s n | ( <type> a P | ( T P | ( T ) | ( a | n ( <type> ) | a P | T P | T ) | , T | , H n | ( T | ( H n | ( ) ( <list> ) | P ( <list> ) | P . n | P [ <value> ] | s [ <value> ] | a a | ( <type> ) <value> | <value> , } | T a
-<statement> = <type> n ; | <type> n = <value> ; | <type> n = { <list> } ; | <type> n [ ] = { <list> } ; | <type> n [ <value> ] ; | <type> n , n ; | <type> n , a n ; | <type> n ( <params> ) <block> | <type> n ( ) <block> | <type> n ( ) ; | <type> n ( <params> ) ; | H n { <statement> } ; | H { <statement> } n ; | H n <block> n ; | H { n , n } ; | H n { n = <value> , n } ; | T <statement> | K ( <type> n = <value> ; <value> ; <value> C | K ( ; ; C | K ( ; <value> | ; C | } <statement> | { <statement> | <statement> } | { } <statement> | } n | } ; | } a n ; | E K | } E | C ; | ( <type> ( a n P | T ( a n ) ( <params> ) ; | T ( a n P ( <params> ) ; | n : T | n n ( | ) n ( ) | } } | : } | : ; | T ; | n = <value> , n | n , } | } , { | { { <list> } , | ; } | s { | T s | ] [ | ] ; | a T | ) V | ( V ) | P {
-"""
-GRAMMAR["c"] = _EXPRESSIONS + _BRACES + _C_DECLARATIONS
-GRAMMAR["cpp"] = (
-    _EXPRESSIONS
-    + _BRACES
-    + _C_DECLARATIONS
-    + """
-<type> = <type> a <type> a | <type> a <type> , <type> a | <type> a <type> a a | <type> a a | H n | T a <type> a | <type> . <type> | <type> . ! n | . n
-<params> = <type> n = <value> | <type> a a n
-<value> = [ ] ( <params> ) { | [ ] ( ) { | [ a ] ( ) { | [ = ] ( ) { | [ n ] ( | [ V ] ( | ] { | ] ( <params> P { | ] ( P { | V . n | V ; | V , | U <type> ( ) | U <type> [ <value> ] | U [ ] <value> | n { <list> } | n a <type> a ( ) | a ( <list> ) | a P | a { | a . n | > <type> | o { | a ; | a , | . T n | . T o | . T a | V a | ( V | a a a | T a ( | ) . n | n a a . n | <value> . U | T ( <list> ) | T { <list> }
-<statement> = L : | L : <statement> | H n : L n { | H n : n { | H n : L <type> , L <type> { | T H n | K ( <type> n : <value> C <statement> | K ( <type> a n : <value> C | K ( T a n : | K ( T T a n : | K ( a C | K ( <type> a n C | ) Q ; | ) Q { | ) T { | ) T ; | ) Q = | ) : n ( <list> ) { | ) : n { | } , n { | ) , n ( <list> ) { | ) > <type> { | ) = 0 ; | ) = E ; | ) = U ; | T n = <type> ; | T H n . n ; | T n . n ; | ! n ( ) | T o = ( | T a ( | T ( ) ( | T [ ] ( | T = ( | T i ( | T ! ( | H { | H n . n { | H H n | H T n { | T a H n a | T a T n a | T a T | T s { | L H | E { } | a n ( | : L | a T | } } | } ) | } , | [ [ n ] ] | a H | a E | n H | T W | ] ] <statement> | T R | R T | = E ; | a U
-"""
-)
-GRAMMAR["ruby"] = (
-    _EXPRESSIONS
-    + """
-<params> = n | n = <value> | n : | n : <value> | a n | <params> , <params>
-<args> = <value> | <args> , <args> | n : <value> | s > <value> | <value> > <value> | a <value> | s : <value>
-<value> = n <args> | n s | n n | n 0 | n [ | n { | n V | n : | : s | : n | V . n | <value> ? <value> : <value> | <operand> { o n o <statement> } | E o n o N | > { | > E N | <operand> E N | <operand> E o <params> o N | <operand> { N | . H | . F | . K | . R | . Z | . E | s s | n > | n ! <value> | n a <value> | n U | ( <args> ) | ( <args> P | [ <args> ] | { <args> } | { N <args> N } | , N <args> | ( N <args> N ) | [ N <args> N ] | ( N | N ) | N P | N ] | N } | <value> N . n | N . | o N <value> | a N <value> | = N <value> | . n = <value> | { o | o n , n o | o } | a o | o a | o o | 0 . n | <value> W <value> | a N | W N | ! N | , N | i | 0 a 0 | ? n | a } | . ( <args> )
-<tail> = K <value>
-<statement> = N | <value> N | <value> <tail> N | R N | R <args> N | R <tail> N | R ( <args> ) N | V N | V <tail> N | R V <tail> N | F n N | F n ( ) N | F n ( <params> ) N | F n <params> N | F V . n N | F V . n ( <params> ) N | F n . n | F a n | F o n N | F a ( | F o ( | F n ( ) = <value> | F [ ] ( | H n N | H n o n N | H n a n N | H n . n N | H a V N | H n a n . n | K <value> N | K <args> E <value> | K <args> E N | K N | K <value> W <value> N | K <value> , <value> N | E N | E <value> N | E <statement> | K n > n N | K > n N | Z N | Z . n | Z ) | Z P | Z , | Z ] | Z } | Z ; | Z <tail> N | Z a | Z o | = K <value> N | = E N | = K N | ; N | ; <statement> | <statement> ; | <value> ; | R n | R s N | R ( <args> P | n = <value> N | <value> , <value> = <value> N | <statement> <statement> | N . n | Z = | R K <value> | F K | R U | a V | R [ | R { | R ! | : : | R . | R = | K ( <args> C N | K ( <args> C <statement> | C o <value> | C a <value> | C . n | C W <value> | K <value> E | E K | R N | n F n | n H n | C ? | C )
-"""
-)
-
-
-def permissible(grammar: str) -> set[str]:
-    """Pairs of classes that can stand side by side: last symbols of each part of a production with first symbols of the next, by fixpoint."""
-    rules: dict[str, list[list[str]]] = {}
-    for line in grammar.strip().splitlines():
-        if not line.strip():
-            continue
-        name, _, right = line.partition(" = ")
-        for alternative in right.split(" | "):
-            rules.setdefault(name.strip(), []).append(alternative.split())
-    ends: dict[int, dict[str, set[str]]] = {0: {r: set() for r in rules}, -1: {r: set() for r in rules}}
-
-    def of(symbol: str, side: int) -> set[str]:
-        return ends[side][symbol] if symbol in rules else {symbol}
-
-    grown = True
-    while grown:
-        grown = False
-        for name, alternatives in rules.items():
-            for parts in alternatives:
-                for side in (0, -1):
-                    new = of(parts[side], side) - ends[side][name]
-                    if new:
-                        ends[side][name] |= new
-                        grown = True
-    return {a + b for alternatives in rules.values() for parts in alternatives for x, y in zip(parts, parts[1:]) for a in of(x, -1) for b in of(y, 0)}
-
-
-# ---- nesting and statements -----------------------------------------------------------------------------
-
-_CLOSES = {")": "(", "]": "[", "}": "{", "z": "b"}
-
-
-def reduce_nesting(marks: str) -> str:
-    """What is left of brackets when matching neighbours cancel out; a wrong close leaves both. Associative over concatenation."""
-    left: list[str] = []
-    for c in marks:
-        if left and c in _CLOSES and left[-1] == _CLOSES[c]:
-            left.pop()
-        else:
-            left.append(c)
-    return "".join(left)
-
-
-#: Productions of statements, as patterns over classes that no valid statement has.
-_ARGS = r"(?:[^(){};N]*,)?(?:n[n0s]|0[n0s]|s[n0])"  # operands side by side among arguments
-_UNENDED = r"|,,|\(,|R[^;{}]*\}|[;{}][n.]+\([^;{}]*\)\}|Tn=[^;{}V]*[}KRH]|Ta*n[n0s]|\)[RKVHED]|(?:[;{}=R])n\(" + _ARGS
-_NEVER = {
-    "python": r"nn|n0|0n|nF|nH|,,|\(,",
-    "javascript": r"^N?\{N?s:|nnn|(?:^|[N;{}])nn[N;(]|[FnT]\((?:[^(){}\[\]?]*,)?n:|\):n|\)n|\([^()\[\]{}]*,,|\(,|Dn[n0s(\[{]|\(" + _ARGS,
-    "typescript": r"^N?\{N?s:|nnn[^=(]|(?:^|[N;{}])nn(?:N|\()|\)n|\([^()\[\]{}]*,,|\(,|Dn[n0s(\[{]|\(" + _ARGS,
-    "go": r"^N?[{\[]|nnn|[(,]n:|F[^N{]*N|(?:^|N)K[^N{:]*N|,,|\(,|(?:^|N|=)n(?:\.n)*\(" + _ARGS,
-    "java": r"^N?[{\[]|nnnn|nn\(n(?:,n)*[)P]\{|\)n|(?:^|[;{}])nn[;]n:|\)T|nI|[)n0s\]]R" + _UNENDED,
-    "c": r"^N?[{\[]|nnnn|::|K\([^(){};?]*:[^()]*C|(?:^|[;}])n*nn\{|\)n|\)T|nR|0R|nn\(n(?:,n)*[)P]\{" + _UNENDED,
-    "cpp": r"^N?[{\[]|nnnn|\)n(?!\()|nR|0R|sR|\)R|L[^:]|(?:^|[;{}])nn\.|nn\(n(?:,n)*[)P]\{|\)T" + _UNENDED,
-    "ruby": r"nnn|[^K(,{?]n:N|\)n|,,|\(,|\((?:[^(){}N]*,)?(?:n0|0[n0s])",
-}
-_NEVER = {lang: re.compile(p) for lang, p in _NEVER.items()}
-
-
-def bad_statements(classes: str, columns: list[int], lang: str) -> int:
-    """Statements that follow no production: forbidden runs, and for Python the colon of a compound statement and the indents."""
-    bad = sum(1 for _ in _NEVER[lang].finditer(classes))
-    if lang in ("java", "c", "cpp") and len(classes) >= 5 and not re.search(r"[;}]", classes):
-        bad += 1
-    if lang != "python":
-        return bad
-    indents, opened = [0], False
-    for line, column in zip((x for x in classes.split("N") if x), columns):
-        if opened and column <= indents[-1] or not opened and column > indents[-1]:
-            bad += 1
-        if column > indents[-1]:
-            indents.append(column)
-        while column < indents[-1]:
-            indents.pop()
-        if column != indents[-1]:
-            bad += 1
-        start = line[1:] if line[0] == "U" and len(line) > 1 and line[1] in "FK" else line
-        compound = start[0] in "KEFH"
-        if compound:
-            depth, colon = 0, -1
-            for i, c in enumerate(start):
-                depth += (c in "([{") - (c in ")]}CP")
-                if c == ":" and depth == 0:
-                    colon = i
-                    break
-            if colon < 0 or start[0] == "E" and colon != 1:
-                bad += 1
-            opened = colon == len(start) - 1
-        else:
-            opened = False
-    return bad + opened
-
-
-PAIRS = {lang: permissible(g) for lang, g in GRAMMAR.items()}
-
-
-# ---- operator -------------------------------------------------------------------------------------------
-
-
-def lex_rows(documents: DataFrame, files: DataFrame) -> DataFrame:
-    """(file_id, doc, language, window, pairs, nesting, bad): a row for each window of WINDOW tokens of a document.
-
-    pairs are the distinct adjacent classes of the window and its next token, nesting what its brackets leave when
-    reduced, bad the statements of the document that follow no production (in its first window).
+    pairs are the distinct classes side by side in the document (in its first window), rest is what the window
+    leaves when its complete brackets are reduced by the productions.
     """
     paths = files.select(F.col("id").alias("file_id"), F.lower(F.regexp_extract("path", r"\.(\w+)$", 1)).alias("ext")).where(F.col("ext").isin(list(LANGUAGE))).dropDuplicates(["file_id"])
     rows = documents.select("file_id", "text").where("text IS NOT NULL").join(paths, "file_id").select("file_id", F.xxhash64("text").alias("doc"), "ext", "text")
@@ -386,46 +29,51 @@ def lex_rows(documents: DataFrame, files: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for fid, doc, ext, text in zip(*(c.to_pylist() for c in b.columns)):
                 lang = LANGUAGE[ext]
-                classes, marks, columns = lex(text, lang)
-                bad, at = bad_statements(classes, columns, lang), 0
-                for w in range(0, max(1, len(classes)), WINDOW):
-                    start = at
-                    while at < len(marks) and marks[at][0] < w + WINDOW:
-                        at += 1
-                    part = classes[w : w + WINDOW + 1]
-                    out.append((fid, doc, lang, w // WINDOW, list(set(map("".join, zip(part, part[1:])))) + (["X"] if part == "X" else []), reduce_nesting("".join(c for _, c in marks[start:at])), bad if w == 0 else 0))
-            cols = list(zip(*out)) if out else [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.int32()]
-            names = ["file_id", "doc", "language", "window", "pairs", "nesting", "bad"]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+                classes = lexer(lang)(text)
+                for w in range(0, max(1, len(classes)), window):
+                    pairs = (sorted(neighbours(lang, classes)) if len(classes) > 1 else []) if w == 0 else []
+                    out.append((fid, doc, lang, w // window, pairs, window_rest(lang, classes[w : w + window])))
+            cols = list(zip(*out)) if out else [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["file_id", "doc", "language", "window", "pairs", "rest"])
 
         yield from by_slices(one, batches, 3)
 
-    return rows.mapInArrow(run, "file_id bigint, doc bigint, language string, window int, pairs array<string>, nesting string, bad int")
+    return rows.mapInArrow(run, "file_id bigint, doc bigint, language string, window int, pairs array<string>, rest string")
 
 
-def unparsable(documents: DataFrame, files: DataFrame) -> DataFrame:
+def unparsable(documents: DataFrame, files: DataFrame, window: int = WINDOW) -> DataFrame:
     """(file_id, pairs, nesting, statements): files with a document that is no valid text of its extension's language, and why.
 
-    The pairs of tokens are anti-joined against the permissible pairs, which the grammars fix (some hundred per
-    language, so they are broadcast). The windows of a document are reduced to what their brackets leave, and
-    these rests are reduced again in the order of the windows.
+    The grammars fix everything: the pairs of classes that can stand side by side, against which the pairs of the
+    documents are anti-joined (some thousands per language, so they are broadcast), and the productions by which
+    brackets, blocks and statements are reduced, first within each window, then over the rests of a document's
+    windows in their order. pairs counts the impossible pairs; nesting and statements are 1 where brackets or
+    indents stay open and where the reduced text is no file of the language.
 
     Null texts and files of other extensions give no row; an empty text is valid. A file fetched twice is judged
     by all its documents; repeated rows count once. Documents without a file are left out.
     """
     spark = documents.sparkSession
-    rows = lex_rows(documents, files)
-    from quern.plans.tables import cut_lineage
-
-    rows = cut_lineage(rows)  # each text is read and lexed once
-    allowed = spark.createDataFrame([(lang, p) for lang, pairs in PAIRS.items() for p in sorted(pairs)], "language string, pair string")
+    rows = cut_lineage(lex_rows(documents, files, window))  # each text is read and lexed once
+    allowed = spark.createDataFrame([(lang, p) for lang in sorted(set(LANGUAGE.values())) for p in sorted(permitted(lang))], "language string, pair string")
     pairs = rows.select("file_id", "language", F.explode("pairs").alias("pair")).join(F.broadcast(allowed), ["language", "pair"], "left_anti")
     pairs = pairs.groupBy("file_id").agg(F.countDistinct("pair").alias("pairs"))
-    nested = rows.where("nesting <> ''").groupBy("file_id", "doc").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("window", "nesting"))), lambda x: x["nesting"]), "").alias("rest"))
-    # a document has one row per WINDOW tokens, and only those count here that leave brackets open
-    cancel = F.udf(lambda marks: reduce_nesting(marks), "string")
-    rest = nested.where(F.length(cancel("rest")) > 0).groupBy("file_id").agg(F.lit(1).alias("nesting"))
-    bad = rows.where("bad > 0").groupBy("file_id").agg(F.max("bad").alias("statements"))
-    out = pairs.join(rest, "file_id", "full").join(bad, "file_id", "full")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fids, nesting, statements = [], [], []
+            for fid, lang, rest in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                bad = verdict(lang, rest)
+                if bad:
+                    fids.append(fid)
+                    nesting.append(int(bad == "nesting"))
+                    statements.append(int(bad == "statement"))
+            yield pa.RecordBatch.from_arrays([pa.array(fids, pa.int64()), pa.array(nesting, pa.int32()), pa.array(statements, pa.int32())], ["file_id", "nesting", "statements"])
+
+    # a document has one row per window; its rests are put side by side in their order
+    whole = rows.groupBy("file_id", "doc", "language").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("window", "rest"))), lambda x: x["rest"]), "").alias("rest"))
+    judged = whole.select("file_id", "language", "rest").mapInArrow(judge, "file_id bigint, nesting int, statements int")
+    judged = judged.groupBy("file_id").agg(F.max("nesting").alias("nesting"), F.max("statements").alias("statements"))
+    out = pairs.join(judged, "file_id", "full")
     return out.select("file_id", *[F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in ("pairs", "nesting", "statements")])

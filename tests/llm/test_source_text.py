@@ -1,8 +1,6 @@
-import ast
-
 import pytest
 
-from quern.llm import docpairs, handwritten, syntax
+from quern.llm import docpairs, handwritten
 from quern.llm.docpairs import functions, informative
 from quern.llm.winnow import Codes, fingerprints, token_codes
 
@@ -18,50 +16,6 @@ GOOD = {
 }
 
 
-def invalid(text, lang):
-    classes, marks, columns = syntax.lex(text, lang)
-    return bool({a + b for a, b in zip(classes, classes[1:])} - syntax.PAIRS[lang] or syntax.reduce_nesting("".join(c for _, c in marks)) or syntax.bad_statements(classes, columns, lang)) or classes == "X"
-
-
-@pytest.mark.parametrize("lang", GOOD)
-def test_syntax_of_good_and_broken_texts(lang):
-    text = GOOD[lang]
-    assert not invalid(text, lang) and not invalid("", lang) and not invalid(text.replace("\n", "\r\n"), lang)
-    half = text[: text.rindex("g(") + 2] if "g(" in text else text[: len(text) // 2].rstrip() + " ("
-    for bad in (half, text + "\n)", "<<<<<<< HEAD\n" + text + "=======\n>>>>>>> x\n", '<!DOCTYPE html>\n<html lang="en">\n<body>\n<p>The file could not be served.</p>\n</body>\n</html>', '{"a": 1, "b": null}\n{' if lang == "python" else '{"a": 1,, }', "Notes on the thing\n\nIt walks from here to there.", text + '\nx = "open\n', GOOD["ruby" if lang != "ruby" else "go"]):
-        assert invalid(bad, lang), bad[:60]
-
-
-def test_python_agrees_with_its_parser():
-    lines = GOOD["python"].split("\n")
-    for i in range(len(lines)):
-        text = "\n".join(lines[:i] + lines[i + 1 :]) + "\n"
-        try:
-            ast.parse(text)
-            ok = True
-        except SyntaxError:
-            ok = False
-        assert invalid(text, "python") is not ok, text
-
-
-def test_nesting_is_associative():
-    import random
-
-    rng = random.Random(1)
-    for _ in range(500):
-        t = "".join(rng.choice("([{)]}bz") for _ in range(30))
-        k = rng.randint(0, 30)
-        assert syntax.reduce_nesting(syntax.reduce_nesting(t[:k]) + syntax.reduce_nesting(t[k:])) == syntax.reduce_nesting(t)
-
-
-def test_unparsable(spark):
-    files = spark.createDataFrame([(1, "r/a.py"), (2, "r/b.java"), (3, "r/c.py"), (4, "r/d.xyz"), (5, "r/e.go"), (1, "r/a.py"), (6, "r/long.py")], "id long, path string")
-    long = "x = [" + "1, (2), " * 20_000
-    docs = spark.createDataFrame([(1, GOOD["python"], "c"), (2, GOOD["python"], "c"), (3, None, "c"), (4, "((", "c"), (5, "", "c"), (2, GOOD["java"], "c"), (6, long, "c"), (7, "((", "c")], "file_id long, text string, path string")
-    assert sorted(r.file_id for r in syntax.unparsable(docs, files).collect()) == [2, 6]
-    assert syntax.unparsable(docs.limit(0), files).count() == 0
-
-
 def test_functions_and_their_documentation():
     got = functions(GOOD["python"], "python")
     assert [(g[0], g[1], g[5]) for g in got] == [("f", 4, "'''doc (unclosed'''"), ("g", 15, None)]
