@@ -8,7 +8,12 @@ import numpy as np
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
-    """Lloyd's centres; an empty centre is put on a random row."""
+    """Lloyd's centres; an empty centre is put on a random row. Many centres are found in two steps, each near a first centre."""
+    if k > 1024:
+        first = _kmeans(x, int(k**0.5), rounds, rng)
+        near = np.argmax(x @ first.T - 0.5 * (first**2).sum(1), axis=1)
+        parts = [x[near == i] for i in range(len(first))]
+        return np.concatenate([_kmeans(p, max(1, round(k * len(p) / len(x))), rounds, rng) for p in parts if len(p)])
     centres = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
         near = np.argmax(x @ centres.T - 0.5 * (centres**2).sum(1), axis=1)
@@ -31,7 +36,7 @@ class AdditiveQuantiser:
     beam: int = 4
 
     @classmethod
-    def fit(cls, sample: np.ndarray, cells: int, books: int = 8, entries: int = 64, beam: int = 4, rounds: int = 8, seed: int = 5) -> AdditiveQuantiser:
+    def fit(cls, sample: np.ndarray, cells: int, books: int = 4, entries: int = 256, beam: int = 4, rounds: int = 8, seed: int = 5) -> AdditiveQuantiser:
         """Codebooks of the residuals of a bounded sample of unit vectors, one after the other."""
         rng = np.random.default_rng(seed)
         sample = np.ascontiguousarray(sample, np.float32)
@@ -56,20 +61,8 @@ class AdditiveQuantiser:
         some = np.argpartition(-score, n - 1, axis=1)[:, :n]
         return np.take_along_axis(some, np.argsort(-np.take_along_axis(score, some, 1), axis=1, kind="stable"), 1)
 
-    def open_cells(self, x: np.ndarray, worst: np.ndarray, radii: np.ndarray) -> np.ndarray:
-        """Rows x cells: whether a cell may hold a unit vector whose cosine with the row is above ``worst``.
-
-        A vector of another cell lies beyond the plane halfway to the row's own centre, and within the radius of its cell.
-        """
-        reach = np.sqrt(np.maximum(2.0 - 2.0 * (worst - 2e-4), 0.0))[:, None] + 1e-3  # rounding of the cosines and of the cells
-        c = self.centres.astype(np.float64)
-        square = np.maximum((x**2).sum(1)[:, None] - 2.0 * x @ c.T + (c**2).sum(1), 0.0)
-        own = np.argmin(square, axis=1)
-        apart = np.sqrt(np.maximum((c**2).sum(1)[:, None] - 2.0 * c @ c.T + (c**2).sum(1), 1e-12))[own]
-        return (square - square[np.arange(len(x)), own][:, None] <= 2.0 * apart * reach) & (np.sqrt(square) - radii <= reach)
-
-    def encode(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes (rows x books, uint8) and the norm of each approximation, by beam search over all codebooks."""
+    def encode(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes (rows x books, uint8), the norm of each approximation and its distance from the vector, by beam search over all codebooks."""
         n, books, beam = len(x), len(self.codebooks), self.beam
         rest = (x - self.centres[cell])[:, None, :]  # rows x beam x dim
         codes = np.zeros((n, 1, 0), np.uint8)
@@ -86,11 +79,12 @@ class AdditiveQuantiser:
         best = np.argmin(left, axis=1)
         row = np.arange(n)
         norms = np.linalg.norm(x - rest[row, best], axis=1)
-        return codes[row, best].reshape(n, books), np.maximum(norms, 1e-6).astype(np.float32)
+        return codes[row, best].reshape(n, books), np.maximum(norms, 1e-6).astype(np.float32), np.sqrt(left[row, best]).astype(np.float32)
 
     def scores(self, q: np.ndarray, cell: int, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
         """Approximate cosines (queries x rows): sums of looked-up inner products over stored norms."""
-        total = np.repeat((q @ self.centres[cell])[:, None], len(codes), 1)
-        for m, book in enumerate(self.codebooks):
-            total += np.take(q @ book.T, codes[:, m], axis=1)
-        return total / norms
+        total = np.take(q @ self.codebooks[0].T + (q @ self.centres[cell])[:, None], codes[:, 0], axis=1)
+        for m in range(1, len(self.codebooks)):
+            total += np.take(q @ self.codebooks[m].T, codes[:, m], axis=1)
+        total /= norms
+        return total

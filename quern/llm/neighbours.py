@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,235 +14,292 @@ from quern.llm.additive import AdditiveQuantiser
 from quern.operators.skew import salt_of
 from quern.plans.tables import cut_lineage
 
-#: Rows per model the codebooks are fitted on, at most (a bounded sample; every row is indexed).
-SAMPLE = 8_192
-#: Wanted rows in a cell, most cells of a model, and the size from which a cell is divided by its first code.
-CELL_ROWS, MOST_CELLS, LARGE_CELL = 400, 2_048, 4_096
+#: Rows per model the codebooks are fitted on: at least so many, more where there are many cells, at most so many (a bounded sample; every row is indexed).
+SAMPLE, MOST_SAMPLE = 8_192, 262_144
+#: Wanted rows in a cell, and vectors of a model with which the number of visited cells is measured.
+CELL_ROWS, MEASURED = 4_000, 256
 #: Rows of the index and of the queries one task scores at a time.
-INDEX_BLOCK, QUERY_BLOCK = 4_096, 4_096
+INDEX_BLOCK, QUERY_BLOCK = 8_192, 65_536
 SALTS = 16
 
 
-def clean_vectors(vectors: DataFrame, specs: DataFrame, only_firsts: bool = False) -> DataFrame:
-    """(model_id, id, same, vec): unit vectors as packed float32. same: a fingerprint that vectors share which agree to five decimals.
+def _unit(flat: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows that are finite and not all zero, their unit vectors, fingerprints that vectors share which agree to five decimals)."""
+    x = flat.reshape(-1, dim)
+    top = np.abs(x).max(axis=1)
+    ok = np.flatnonzero(np.isfinite(top) & (top > 0))
+    x = x[ok] / top[ok, None]
+    x /= np.sqrt((x**2).sum(axis=1))[:, None]
+    whole = (np.round(x * 1e5) + 0.0).astype(np.int64).astype(np.uint64)
+    odd = np.random.default_rng(17).integers(0, 1 << 63, (2, dim), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    prints = np.stack([(whole * o).sum(axis=1, dtype=np.uint64) for o in odd], axis=1)
+    return ok, x, prints
 
-    A vector takes part if its model is known, it has exactly dim entries, all finite and not all zero. specs has
-    a row per model; its size is the number of models. only_firsts: of the vectors of an input task that agree,
-    only the one of the smallest id seen first is given, so that a large group of copies shrinks to a few rows
-    before anything is shuffled. Nothing is shuffled here; repeated rows may remain.
-    """
-    rows = vectors.join(F.broadcast(specs), "model_id").where(F.size("vec") == F.col("dim")).select("model_id", "id", "vec")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple, int] = {}
-        for b in batches:
-            keep, packed, same = [], [], []
-            vecs, models, ids = b.column(2), b.column(0).to_pylist(), b.column(1).to_pylist()
-            flat = np.asarray(vecs.values.to_numpy(zero_copy_only=False), np.float64)
-            ends = vecs.offsets.to_numpy()
-            for i in range(len(b)):
-                v = flat[ends[i] : ends[i + 1]]
-                top = np.abs(v).max() if len(v) else 0.0
-                if not np.isfinite(top) or top == 0.0:
-                    continue
-                v = v / top
-                v = v / np.sqrt(v @ v)
-                print_ = hashlib.blake2b((np.round(v * 1e5) + 0.0).astype("<i4").tobytes(), digest_size=12).digest()
-                if only_firsts:
-                    key = (models[i], print_)
-                    if seen.get(key, ids[i] + 1) <= ids[i]:
-                        continue
-                    seen[key] = ids[i]
-                keep.append(i)
-                packed.append(v.astype("<f4").tobytes())
-                same.append(print_)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(same, pa.binary()), pa.array(packed, pa.binary())], ["model_id", "id", "same", "vec"])
-
-    return rows.mapInArrow(run, "model_id string, id bigint, same binary, vec binary")
+def _by_model(b: pa.RecordBatch) -> Iterator[tuple[str, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(model, dim, ids, unit vectors, fingerprints) of a batch of (model_id, id, vec) whose vectors have the length of their model."""
+    vecs, models = b.column(2), np.asarray(b.column(0).to_pylist(), object)
+    ids = b.column(1).to_numpy(zero_copy_only=False)
+    flat = np.asarray(vecs.values.to_numpy(zero_copy_only=False), np.float64)
+    starts = vecs.offsets.to_numpy()
+    for model in dict.fromkeys(models):
+        at = np.flatnonzero(models == model)
+        dim = int(starts[at[0] + 1] - starts[at[0]])
+        ok, x, prints = _unit(flat[(starts[at][:, None] + np.arange(dim)).ravel()], dim)
+        if len(ok):
+            yield model, dim, ids[at[ok]], x, prints
 
 
-def _heads(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """The first n rows of each key, in two steps so that a hot key is first cut down in many tasks."""
-    salted = rows.withColumn("_salt", salt_of(SALTS, "id"))
-    some = salted.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))).where(F.col("_r") <= n)
-    return some.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= n).drop("_r", "_salt")
+def usable(vectors: DataFrame, specs: DataFrame) -> DataFrame:
+    """(model_id, id, vec): vectors of a known model with as many entries as it has. specs has a row per model; its size is the number of models."""
+    return vectors.join(F.broadcast(specs), "model_id").where("id IS NOT NULL").where(F.size("vec") == F.col("dim")).select("model_id", "id", "vec")
 
 
 def _matrix(packed: pd.Series | list) -> np.ndarray:
     return np.frombuffer(b"".join(packed), "<f4").reshape(len(packed), -1)
 
 
-def fit_quantisers(points: DataFrame, sample: int = SAMPLE, cell_rows: int = CELL_ROWS) -> dict[str, AdditiveQuantiser]:
-    """One quantiser per model, fitted in the driver on at most about ``sample`` rows of each, chosen by a hash of the id."""
-    sizes = {r["model_id"]: r["count"] for r in points.groupBy("model_id").count().collect()}  # one row per model
+def fit_quantisers(rows: DataFrame, sample: int = SAMPLE, cell_rows: int = CELL_ROWS) -> dict[str, AdditiveQuantiser]:
+    """One quantiser per model, fitted in the driver on a bounded sample of its vectors, chosen by a hash of the id.
+
+    The sample has about four vectors for each cell wanted, at least ``sample`` and at most MOST_SAMPLE. ``sizes`` of
+    the result estimates the different vectors of each cell.
+    """
+    counts = {r["model_id"]: r["count"] for r in rows.groupBy("model_id").count().collect()}  # one row per model
     share = F.lit(0.0)
-    for model, n in sizes.items():
-        share = F.when(F.col("model_id") == model, min(1.0, sample / n)).otherwise(share)
-    chosen = points.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20)).select("model_id", "id", "vec").toPandas()
+    for model, n in counts.items():
+        share = F.when(F.col("model_id") == model, min(1.0, min(MOST_SAMPLE, max(sample, 4 * n // cell_rows)) / n)).otherwise(share)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for model, _, ids, x, prints in _by_model(b) if len(b) else ():
+                yield pa.RecordBatch.from_arrays([pa.array([model] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array([p.tobytes() for p in prints], pa.binary()), pa.array([v.tobytes() for v in x.astype("<f4")], pa.binary())], ["model_id", "id", "same", "vec"])
+
+    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20)).mapInArrow(clean, "model_id string, id bigint, same binary, vec binary").toPandas()
     made = {}
     for model, g in chosen.groupby("model_id"):
-        x = _matrix(g.sort_values("id")["vec"].tolist())
-        cells = int(np.clip(sizes[model] // cell_rows, 1, min(MOST_CELLS, max(1, len(x) // 4))))
-        made[model] = AdditiveQuantiser.fit(x, cells)
+        one = g.sort_values("id").drop_duplicates("same")
+        x = _matrix(one["vec"].tolist())
+        n = counts[model] * len(x) // max(1, g["id"].nunique())
+        q = AdditiveQuantiser.fit(x, int(np.clip(n // cell_rows, 1, max(1, len(x) // 4))))
+        q.sizes = np.bincount(q.cells_of(x)[:, 0], minlength=len(q.centres)) * (n / len(x))
+        q.measured = x[np.linspace(0, len(x) - 1, min(MEASURED, len(x))).astype(int)]
+        made[model] = q
     return made
 
 
-def nearest(points: DataFrame, queries: DataFrame | None, k: int, probes: int, rerank: int = 16, min_cos: float = -2.0, quantisers: dict[str, AdditiveQuantiser] | None = None) -> DataFrame:
-    """(model_id, id, other, cos): for each query the k most similar points of its model found, best first by (cos, other).
+def measure_visits(rows: DataFrame, quantisers: dict[str, AdditiveQuantiser], k: int, coverage: float) -> dict[str, int]:
+    """Per model, the cells a query must visit so that at least ``coverage`` of the true k most similar vectors lie in them.
 
-    points: (model_id, id, same, vec) with unit vectors as packed float32, where points of one ``same`` may be
-    repeated and the one of the smallest id stands for all; queries: (model_id, id) of the points asked for, distinct, or None for all. A point is
-    not its own neighbour. A query that has k answers of min_cos and more goes on: it visits every cell that may
-    hold a nearer point than its worst answer, by the distance of the cell's border and by its radius, and is
-    scored exactly there, so that its answers are the true ones. A query with fewer answers ends after ``probes``.
-    Queries travel as float16, which moves a cosine by less than 1e-4. Every point is encoded and indexed by its cell; a query visits ``probes`` cells. Within a cell the packed
-    codes are scored by lookup tables, the best ``rerank`` are scored exactly. A cell over LARGE_CELL rows is
-    divided by its first code, of which a query visits the best eighth; index and queries of a cell meet in
-    blocks of bounded size, so no task ever holds a whole hot cell.
+    MEASURED vectors of each model are compared with every row, exactly, in the batches of one pass; each task keeps the
+    k best of each and how many cells are nearer than theirs.
     """
-    quantisers = quantisers if quantisers is not None else fit_quantisers(points)
-    shared = points.sparkSession.sparkContext.broadcast(quantisers)  # at most MOST_CELLS + 512 vectors per model
+    shared = rows.sparkSession.sparkContext.broadcast(quantisers)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, list] = {}
         for b in batches:
-            for model, g in b.groupby("model_id", sort=False):
+            for model, _, _, x, prints in _by_model(b) if len(b) else ():
                 q = shared.value[model]
-                x = _matrix(g["vec"].tolist())
-                cell = q.cells_of(x)[:, 0]
-                far = np.linalg.norm(x - q.centres[cell], axis=1)
-                codes, norms = q.encode(x, cell)
-                yield pd.DataFrame({"model_id": model, "id": g["id"].to_numpy(), "same": g["same"].to_numpy(), "vec": g["vec"].to_numpy(), "cell": cell.astype(np.int32), "code": codes[:, 0].astype(np.int32), "codes": [c.tobytes() for c in codes], "norm": norms, "far": far})
-
-    index = points.select("model_id", "id", "same", "vec").mapInPandas(encode, "model_id string, id bigint, same binary, vec binary, cell int, code int, codes binary, norm float, far float")
-    index = cut_lineage(index)
-    counts = index.groupBy("model_id", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"))
-    sizes = counts.collect()  # at most MOST_CELLS per model
-    large = {(r["model_id"], r["cell"]) for r in sizes if r["n"] > LARGE_CELL}
-    radii = {model: np.full(len(q.centres), -np.inf) for model, q in quantisers.items()}  # empty cells hold nothing
-    for r in sizes:
-        radii[r["model_id"]][r["cell"]] = r["radius"]
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                x = x.astype(np.float32)
+                cos = q.measured @ x.T
+                held = best.setdefault(model, [[] for _ in q.measured])
+                take = min(k + 1, len(x))
+                top = np.argpartition(-cos, take - 1, axis=1)[:, :take]
+                for i in range(len(q.measured)):
+                    held[i] += [(float(cos[i, j]), prints[j].tobytes(), x[j]) for j in top[i]]
+                    if len(held[i]) > 8 * k:
+                        held[i] = _first(held[i], k)
+        for model, held in best.items():
+            q = shared.value[model]
+            rank = np.argsort(np.argsort(-(q.measured @ q.centres.T - 0.5 * (q.centres**2).sum(1)), axis=1), axis=1)
+            out = [(i, c, p, int(rank[i, q.cells_of(v[None])[0, 0]])) for i, h in enumerate(held) for c, p, v in _first(h, k)]
+            yield pa.RecordBatch.from_arrays([pa.array([model] * len(out)), *(pa.array(list(col), t) for col, t in zip(zip(*out), (pa.int32(), pa.float64(), pa.binary(), pa.int32())))], ["model_id", "query", "cos", "same", "rank"])
+
+    found = rows.mapInArrow(run, "model_id string, query int, cos double, same binary, rank int")
+    found = found.groupBy("model_id", "query", "same").agg(F.max("cos").alias("cos"), F.first("rank").alias("rank"))
+    order = Window.partitionBy("model_id", "query").orderBy(F.desc("cos"), "same")
+    ranks = found.where("cos < 0.9999999").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).groupBy("model_id", "rank").count().collect()  # at most MEASURED * k rows per model
+    visits = {}
+    for model in quantisers:
+        mine = sorted((r["rank"], r["count"]) for r in ranks if r["model_id"] == model)
+        total, seen, visits[model] = sum(n for _, n in mine), 0, 1
+        for rank, n in mine:
+            if seen >= coverage * total:
+                break
+            seen += n
+            visits[model] = rank + 1
+    return visits
+
+
+def _first(held: list, k: int) -> list:
+    """The k best different ones but for the vector itself."""
+    out, seen = [], set()
+    for h in sorted(held, key=lambda h: (-h[0], h[1])):
+        if h[1] not in seen:
+            seen.add(h[1])
+            out.append(h)
+    return out[: k + 1]
+
+
+def similar_vectors(
+    vectors: DataFrame, specs: DataFrame, k: int = 5, min_cos: float = -2.0, coverage: float = 0.97, rerank: int = 48, queries: Column | None = None, quantisers: dict[str, AdditiveQuantiser] | None = None, probes: int | None = None
+) -> DataFrame:
+    """(model_id, id, other, cos): the k most similar vectors of each vector of its model, ties by the smaller id.
+
+    vectors: (model_id, id, vec); specs: (model_id, dim). queries: a condition on id that chooses the vectors
+    asked for (all by default); the index always holds every vector.
+
+    Every vector is encoded by beam search over additive codebooks and indexed in the cell of its nearest centre. A
+    query visits its nearest cells, as many as hold ``coverage`` of the true neighbours of some measured vectors, at
+    any size of the table (``probes`` sets their number instead). Within a cell lookup tables score the codes and the best ``rerank`` are scored exactly, in
+    full precision. Where more rows than those may be better than the worst answer, by three deviations of what the
+    codes leave out, the query is scored exactly against the whole block. Index and queries of a cell meet in blocks
+    of bounded size, so no task ever holds a whole hot cell; only vectors of the blocks are shuffled, once.
+
+    Vectors that agree are searched once: in each input task the first of them stands for the others, one of these for
+    the whole group, and the answers are then widened by the smallest ids of each group, which is all that ties at
+    the top can bring. A group of any size thus costs k + 1 rows. Null, odd-sized, non-finite and all-zero vectors
+    and null ids take no part; empty tables give no rows; repeated rows count once; extra columns are not read.
+    """
+    vectors, specs = vectors.select("model_id", "id", "vec"), specs.select("model_id", "dim")
+    rows = usable(vectors, specs)
+    quantisers = fit_quantisers(rows) if quantisers is None else quantisers
+    visits = measure_visits(rows, quantisers, k, coverage) if probes is None else dict.fromkeys(quantisers, probes)
+    # centres and codebooks: at most MOST_SAMPLE / 4 + 1,024 vectors a model
+    shared = rows.sparkSession.sparkContext.broadcast((quantisers, visits))
+    asked = rows.withColumn("wanted", F.lit(True) if queries is None else queries)
+    share = 1.0 if queries is None else asked.where("wanted").count() / max(1, asked.count())
+
+    # groups of vectors that agree: those with more than one id, the smallest of which stands for them
+    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for model, g in b.groupby("model_id", sort=False):
-                q = shared.value[model]
-                x = _matrix(g["vec"].tolist())
-                half = np.array([v.tobytes() for v in x.astype("<f2")], object)
-                cells = q.cells_of(x, probes)
-                rows, cell, code = [], [], []
-                first = x @ q.codebooks[0].T
-                best = np.argsort(-first, axis=1)[:, : max(1, first.shape[1] // 8)]
-                for i, visited in enumerate(cells):
-                    for c in visited:
-                        codes = best[i] if (model, int(c)) in large else (-1,)
-                        rows += [i] * len(codes)
-                        cell += [c] * len(codes)
-                        code += list(codes)
-                yield pd.DataFrame({"model_id": model, "id": g["id"].to_numpy()[rows], "vec": half[rows], "cell": np.array(cell, np.int32), "code": np.array(code, np.int32)})
-
-    def visit_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for model, _, ids, _, prints in _by_model(b) if len(b) else ():
+                yield pa.RecordBatch.from_arrays([pa.array([model] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array([p.tobytes() for p in prints], pa.binary())], ["model_id", "id", "same"])
+
+    members = rows.mapInArrow(prints_of, "model_id string, id bigint, same binary")
+    groups = cut_lineage(members.groupBy("model_id", "same").agg(F.min("id").alias("rep"), F.max("id").alias("_last")).where("rep < _last").select("model_id", "same", "rep"))
+    some = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = cut_lineage(members.withColumn("_salt", salt_of(SALTS, "id")).join(some, ["model_id", "same", "_salt"]).select("model_id", "same", "rep", "id").distinct())
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector to the blocks that index it and to those of the cells it visits as a query."""
+        quantisers, visits = shared.value
+        seen: dict[tuple, int] = {}
+        done: set[tuple] = set()
         for b in batches:
-            for model, g in b.groupby("model_id", sort=False):
-                for at in range(0, len(g), 512):
-                    part = g.iloc[at : at + 512]
-                    rows, cell = np.nonzero(shared.value[model].open_cells(_matrix(part["vec"].tolist()), part["worst"].to_numpy(), radii[model]))
-                    yield pd.DataFrame({"model_id": model, "id": part["id"].to_numpy()[rows], "vec": part["vec"].to_numpy()[rows], "cell": cell.astype(np.int32)})
-
-    share = 1.0
-    asked = index
-    if queries is not None:
-        asked = index.join(queries, ["model_id", "id"], "left_semi")
-        share = queries.count() / max(1, index.count())
-    asked = asked.select("model_id", "id", "vec").mapInPandas(visit, "model_id string, id bigint, vec binary, cell int, code int")
-    is_large = F.lit(False)
-    for model, cell in large:
-        is_large = is_large | ((F.col("model_id") == model) & (F.col("cell") == cell))
-    index = index.withColumn("code", F.when(is_large, F.col("code")).otherwise(-1))
-    # rows per cell and first code in use: at most MOST_CELLS * 64 rows per model
-    blocks = index.groupBy("model_id", "cell", "code").agg(F.ceil(F.count(F.lit(1)) / INDEX_BLOCK).cast("int").alias("n_index"), F.ceil(F.count(F.lit(1)) * (probes * share) / QUERY_BLOCK).cast("int").alias("n_query"))
-    grid = F.broadcast(cut_lineage(blocks))
-    here = ["model_id", "cell", "code", "ib", "qb"]
-    left = index.join(grid, ["model_id", "cell", "code"]).withColumn("ib", F.pmod(F.xxhash64("same"), "n_index").cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("n_query") - 1)))
-    right = asked.join(grid, ["model_id", "cell", "code"]).withColumn("qb", F.pmod(F.xxhash64("id"), "n_query").cast("int")).withColumn("ib", F.explode(F.sequence(F.lit(0), F.col("n_index") - 1)))
-
-    def score(key, held: pd.DataFrame, want: pd.DataFrame, whole: bool) -> pd.DataFrame:
+            wanted = dict(zip(b.column(1).to_pylist(), b.column(3).to_pylist()))
+            for model, _, ids, x, prints in _by_model(b) if len(b) else ():
+                q = quantisers[model]
+                x = x.astype("<f4")
+                role = np.zeros(len(ids), int)
+                for i, (p, mine) in enumerate(zip([p.tobytes() for p in prints], ids.tolist())):
+                    if seen.get((model, p), mine + 1) > mine:
+                        seen[model, p] = mine
+                        role[i] = 1
+                    if wanted[mine] and (model, p) not in done:
+                        done.add((model, p))
+                        role[i] |= 2
+                at = np.flatnonzero(role)
+                if not len(at):
+                    continue
+                x, prints, ids, role = x[at], prints[at], ids[at], role[at]
+                cells = q.cells_of(x, visits.get(model, 1))
+                codes, norms, lost = q.encode(x, cells[:, 0])
+                n_index = np.maximum(1, np.ceil(q.sizes / INDEX_BLOCK)).astype(int)
+                n_query = np.maximum(1, np.ceil(q.sizes * cells.shape[1] * share / QUERY_BLOCK)).astype(int)
+                out: list[tuple] = []
+                for i, mine in enumerate(ids.tolist()):
+                    c0, places = int(cells[i, 0]), {}
+                    if role[i] & 1:
+                        here = int(prints[i, 0] % np.uint64(n_index[c0]))
+                        places = {(c0, here, j): 1 for j in range(n_query[c0])}
+                    if role[i] & 2:
+                        for c in cells[i].tolist():
+                            j = int(prints[i, 1] % np.uint64(n_query[c]))
+                            for ib in range(n_index[c]):
+                                places[c, ib, j] = places.get((c, ib, j), 0) | 2
+                    p, vec, code, norm, left = prints[i].tobytes(), x[i].tobytes(), codes[i].tobytes(), float(norms[i]), float(lost[i])
+                    for (c, ib, j), r in places.items():
+                        out.append((model, c, ib, j, r, mine, p, vec, code, norm, left) if r & 1 else (model, c, ib, j, r, mine, p, vec, None, None, None))
+                kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int8(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float32(), pa.float32())
+                yield pa.RecordBatch.from_arrays([pa.array(list(col), t) for col, t in zip(zip(*out), kinds)], ["model_id", "cell", "ib", "qb", "role", "id", "same", "vec", "codes", "norm", "lost"])
+
+    def score(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         model, cell = key[0], int(key[1])
+        q = shared.value[0][model]
+        held = g[g["role"].to_numpy() & 1 > 0].sort_values("id").drop_duplicates("same")
+        want = g[g["role"].to_numpy() & 2 > 0].drop_duplicates("id")
         if held.empty or want.empty:
-            return pd.DataFrame({"model_id": [], "id": [], "other": [], "cos": []})
-        held = held.sort_values("id").drop_duplicates("same")
-        want = want.drop_duplicates("id")
-        q = shared.value[model]
-        ids, x = held["id"].to_numpy(), _matrix(held["vec"].tolist())
+            return pd.DataFrame({"model_id": [], "id": [], "same": [], "other": [], "cos": []})
+        ids, x, prints = held["id"].to_numpy(), _matrix(held["vec"].tolist()), held["same"].to_numpy()
         codes = np.frombuffer(b"".join(held["codes"]), np.uint8).reshape(len(held), -1)
-        norms = held["norm"].to_numpy()
+        norms = held["norm"].to_numpy(np.float32)
+        margin = 3.0 * held["lost"].to_numpy(np.float32) / np.sqrt(x.shape[1])
+        number = {p: i for i, p in enumerate(prints)}
         got = []
         take = min(rerank, len(ids))
-        for at in range(0, len(want), 512):
-            part = want.iloc[at : at + 512]
-            mine, y = part["id"].to_numpy(), np.frombuffer(b"".join(part["vec"]), "<f4" if whole else "<f2").reshape(len(part), -1).astype(np.float32)
-            s = y @ x.T if whole else q.scores(y, cell, codes, norms)
-            s[mine[:, None] == ids[None, :]] = -np.inf
+        for at in range(0, len(want), 256):
+            part = want.iloc[at : at + 256]
+            mine, y = part["id"].to_numpy(), _matrix(part["vec"].tolist())
+            own = np.array([number.get(p, -1) for p in part["same"]])
+            have = np.flatnonzero(own >= 0)
+            s = q.scores(y, cell, codes, norms)
+            s[have, own[have]] = -np.inf
             top = np.argpartition(-s, take - 1, axis=1)[:, :take] if take < len(ids) else np.tile(np.arange(take), (len(mine), 1))
             exact = np.einsum("qd,qrd->qr", y, x[top])
-            exact[mine[:, None] == ids[top]] = -np.inf
-            order = np.lexsort((ids[top], -exact), axis=1)[:, :k]
-            r, c = np.repeat(np.arange(len(mine)), order.shape[1]), order.ravel()
-            cos, other = exact[r, c], ids[top[r, c]]
-            fine = cos >= max(min_cos, -1.5)
-            got.append(pd.DataFrame({"model_id": model, "id": mine[r][fine], "other": other[fine], "cos": cos[fine].astype(np.float64)}))
+            exact[own[:, None] == top] = -np.inf
+            worst = np.partition(-exact, min(k, take) - 1, axis=1)[:, min(k, take) - 1] * -1.0 if take else np.full(len(mine), -np.inf)
+            s *= norms
+            s += margin
+            open_ = np.flatnonzero((s > np.maximum(worst, min_cos)[:, None]).sum(axis=1) > take) if take < len(ids) else np.array([], int)
+            rest = np.setdiff1d(np.arange(len(mine)), open_)
+            chosen = [(rest, top[rest], exact[rest])]
+            if len(open_):
+                full = y[open_] @ x.T
+                full[own[open_][:, None] == np.arange(len(ids))[None, :]] = -np.inf
+                few = np.argpartition(-full, take - 1, axis=1)[:, :take]
+                chosen.append((open_, few, np.take_along_axis(full, few, 1)))
+            for which, cols, cos in chosen:
+                if not len(which):
+                    continue
+                order = np.lexsort((ids[cols], -cos), axis=1)[:, :k]
+                r, c = np.repeat(np.arange(len(which)), order.shape[1]), order.ravel()
+                value, other = cos[r, c], cols[r, c]
+                fine = value >= max(min_cos - 1e-6, -1.5)
+                r, other = r[fine], other[fine]
+                value = np.einsum("qd,qd->q", y[which[r]].astype(np.float64), x[other].astype(np.float64))
+                got.append(pd.DataFrame({"model_id": model, "id": mine[which[r]], "same": part["same"].to_numpy()[which[r]], "other": ids[other], "cos": value}))
         return pd.concat(got)
 
-    def score_lookup(key, held: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
-        return score(key, held, want, False)
-
-    def score_whole(key, held: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
-        return score(key, held, want, True)
-
-    kinds = "model_id string, id bigint, other bigint, cos double"
-    found = left.select(*here, "id", "same", "vec", "codes", "norm").groupBy(*here).cogroup(right.select(*here, "id", "vec").groupBy(*here)).applyInPandas(score_lookup, kinds)
-    best = Window.partitionBy("model_id", "id").orderBy(F.desc("cos"), "other")
-    found = cut_lineage(found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r"))
-
-    full = found.groupBy("model_id", "id").agg(F.count(F.lit(1)).alias("n"), F.min("cos").alias("worst")).where(F.col("n") >= k).drop("n")
-    more = index.select("model_id", "id", "vec").join(full, ["model_id", "id"]).mapInPandas(visit_on, "model_id string, id bigint, vec binary, cell int")
-    more = cut_lineage(more)
-    n_query = more.groupBy("model_id", "cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("n_query"))
-    grid = F.broadcast(cut_lineage(n_query.join(counts.select("model_id", "cell", F.ceil(F.col("n") / INDEX_BLOCK).cast("int").alias("n_index")), ["model_id", "cell"])))
+    schema = "model_id string, cell int, ib int, qb int, role byte, id bigint, same binary, vec binary, codes binary, norm float, lost float"
+    routed = asked.select("model_id", "id", "vec", "wanted").mapInArrow(route, schema)
     here = ["model_id", "cell", "ib", "qb"]
-    left = index.join(grid, ["model_id", "cell"]).withColumn("ib", F.pmod(F.xxhash64("same"), "n_index").cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("n_query") - 1)))
-    right = more.join(grid, ["model_id", "cell"]).withColumn("qb", F.pmod(F.xxhash64("id"), "n_query").cast("int")).withColumn("ib", F.explode(F.sequence(F.lit(0), F.col("n_index") - 1)))
-
-    exact = left.select(*here, "id", "same", "vec", "codes", "norm").groupBy(*here).cogroup(right.select(*here, "id", "vec").groupBy(*here)).applyInPandas(score_whole, kinds)
-    exact = exact.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
-    return found.join(full, ["model_id", "id"], "left_anti").unionByName(exact)
-
-
-def similar_vectors(vectors: DataFrame, specs: DataFrame, k: int = 5, min_cos: float = -2.0, probes: int = 4, rerank: int = 32, queries: Column | None = None) -> DataFrame:
-    """(model_id, id, other, cos): the k most similar vectors of each vector of its model, ties by the smaller id.
-
-    vectors: (model_id, id, vec); specs: (model_id, dim). queries: a condition on id that chooses the vectors
-    asked for (all by default); the index always holds every vector.
-
-    Vectors that agree are searched once: one of them stands for its group in the index, and the answers are
-    then widened by the smallest ids of each group, which is all that ties at the top can bring. A group of any
-    size thus costs k + 1 rows. Null, odd-sized, non-finite and all-zero vectors take no part; empty tables
-    give no rows; repeated rows count once; extra columns are not read.
-    """
-    vectors, specs = vectors.select("model_id", "id", "vec"), specs.select("model_id", "dim")
-    rows = cut_lineage(clean_vectors(vectors, specs).select("model_id", "id", "same").dropDuplicates(["model_id", "id"]))
-    heads = cut_lineage(_heads(rows, ["model_id", "same"], [F.col("id")], k + 1))
-    stands = heads.groupBy("model_id", "same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_heads"))
-    members = (rows if queries is None else rows.where(queries)).withColumn("_salt", salt_of(SALTS, "id"))
-    many = stands.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    members = members.join(many, ["model_id", "same", "_salt"]).drop("_salt")
-    wanted = None if queries is None else cut_lineage(members.select("model_id", F.col("rep").alias("id")).distinct())
-    near = cut_lineage(nearest(clean_vectors(vectors, specs, only_firsts=True), wanted, k, probes, rerank, min_cos))
-    group = heads.join(stands, ["model_id", "same"]).select("model_id", F.col("rep").alias("other"), F.col("id").alias("member"))
-    wide = near.join(group, ["model_id", "other"]).select("model_id", F.col("id").alias("rep"), F.col("member").alias("other"), "cos")
-    own = group.select("model_id", F.col("other").alias("rep"), F.col("member").alias("other"), F.lit(1.0).alias("cos"))
-    # few rows stand for a group: at most k + 1 heads and k * (k + 1) neighbours
-    answers = wide.unionByName(own.join(stands.where("n_heads > 1").select("model_id", "rep"), ["model_id", "rep"], "left_semi")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pairs = members.withColumn("_salt", salt_of(SALTS, "id")).join(answers, ["model_id", "rep", "_salt"]).where("id <> other")
+    near = routed.groupBy(*here).applyInPandas(score, "model_id string, id bigint, same binary, other bigint, cos double").where(F.col("cos") >= min_cos)
+    heads = _heads(copies, ["model_id", "same"], [F.col("id")], k + 1)
+    # answers to and of whichever vector of a group was searched are put under the name of the one that stands for it
     best = Window.partitionBy("model_id", "id").orderBy(F.desc("cos"), "other")
+    name = copies.where("id <> rep").select("model_id", F.col("id").alias("_id"), F.col("rep").alias("_rep"))
+    for side in ("id", "other"):
+        near = near.withColumnRenamed(side, "_id").join(name, ["model_id", "_id"], "left").withColumn(side, F.coalesce("_rep", "_id")).drop("_id", "_rep")
+    near = near.where("id <> other").groupBy("model_id", "id", "other").agg(F.max("cos").alias("cos"))
+    near = cut_lineage(near.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r"))
+    # each answer widened by the ids that agree with it
+    wide = near.join(heads.select("model_id", F.col("rep").alias("other"), F.col("id").alias("_member")), ["model_id", "other"], "left").withColumn("other", F.coalesce("_member", "other")).drop("_member")
+    own = heads.select("model_id", F.col("rep").alias("id"), F.col("id").alias("other"), F.lit(1.0).alias("cos"))
+    answers = wide.unionByName(own)  # at most k + 1 heads and k * (k + 1) neighbours for a group
+    single = answers.join(groups.select("model_id", F.col("rep").alias("id")), ["model_id", "id"], "left_anti")
+    if queries is not None:
+        copies = copies.where(queries)
+        single = single.where(queries)
+    shared_answers = answers.withColumnRenamed("id", "rep").join(groups.select("model_id", "rep"), ["model_id", "rep"], "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    grouped = copies.withColumn("_salt", salt_of(SALTS, "id")).join(shared_answers, ["model_id", "rep", "_salt"]).select("model_id", "id", "other", "cos")
+    pairs = single.unionByName(grouped).where("id <> other")
     return pairs.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).where(F.col("cos") >= min_cos).select("model_id", "id", "other", "cos")
+
+
+def _heads(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each key, in two steps so that a hot key is first cut down in many tasks."""
+    salted = rows.withColumn("_salt", salt_of(SALTS, "id"))
+    some = salted.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))).where(F.col("_r") <= n)
+    return some.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= n).drop("_r", "_salt")

@@ -77,11 +77,12 @@ def test_lookup_scores_equal_decoded_vectors():
     x /= np.linalg.norm(x, axis=1)[:, None]
     q = AdditiveQuantiser.fit(x, 4, books=4, entries=16)
     cell = q.cells_of(x)[:, 0]
-    codes, norms = q.encode(x, cell)
+    codes, norms, lost = q.encode(x, cell)
     one = int(cell[0])
     rows = np.flatnonzero(cell == one)
     decoded = q.centres[one] + sum(q.codebooks[m][codes[rows, m]] for m in range(4))
     assert np.allclose(norms[rows], np.linalg.norm(decoded, axis=1), atol=1e-4)
+    assert np.allclose(lost[rows], np.linalg.norm(x[rows] - decoded, axis=1), atol=1e-4)
     assert np.allclose(q.scores(x[:5], one, codes[rows], norms[rows]), (x[:5] @ decoded.T) / norms[rows], atol=1e-4)
     narrow = AdditiveQuantiser(q.centres, q.codebooks, beam=1).encode(x, cell)
     loss = lambda c: ((x - q.centres[cell] - sum(q.codebooks[m][c[:, m]] for m in range(4))) ** 2).sum()
@@ -94,8 +95,15 @@ def test_neighbours_in_a_hot_group_of_near_copies_are_the_true_ones(spark, tmp_p
     x[:800] = x[0] + rng.normal(size=(800, 24)) * 0.08  # differ, yet nearer to each other than cells and codes can tell
     x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
     at = str(tmp_path / "points.parquet")
-    pq.write_table(pa.table({"model_id": ["m"] * len(x), "id": np.arange(len(x)), "same": [str(i).encode() for i in range(len(x))], "vec": [v.tobytes() for v in x]}), at)
-    near = neighbours.nearest(spark.read.parquet(at), None, 5, 4, 32, 0.9, {"m": AdditiveQuantiser.fit(x, 12)})
-    got = {(r.id, r.other) for r in near.collect()}
+    pq.write_table(pa.table({"model_id": ["m"] * len(x), "id": np.arange(len(x)), "vec": pa.array(x.tolist(), pa.list_(pa.float32()))}), at)
+    specs = spark.createDataFrame([("m", 24)], "model_id string, dim int")
+    rows = neighbours.usable(spark.read.parquet(at), specs)
+    fitted = neighbours.fit_quantisers(rows, cell_rows=100)
+    assert len(fitted["m"].centres) == 12
     want = brute(dict(enumerate(x)), 5, 0.9)
-    assert len(want) >= 4_000 and len(got & want) >= 0.999 * len(want) and len(got - want) <= 0.001 * len(want)
+    for coverage, least in ((1.0, 0.999), (0.97, 0.95)):
+        near = neighbours.similar_vectors(spark.read.parquet(at), specs, 5, 0.9, coverage, 32, quantisers=fitted)
+        got = {(r.id, r.other) for r in near.collect()}
+        assert len(want) >= 4_000 and len(got & want) >= least * len(want)
+    visits = neighbours.measure_visits(rows, fitted, 5, 0.97)["m"]
+    assert 1 < visits < 12
