@@ -81,10 +81,19 @@ class AdditiveQuantiser:
         norms = np.linalg.norm(x - rest[row, best], axis=1)
         return codes[row, best].reshape(n, books), np.maximum(norms, 1e-6).astype(np.float32), np.sqrt(left[row, best]).astype(np.float32)
 
+    def products(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
+        """Inner products of rows' approximations with queries (rows x queries): sums of looked-up ones. codes: books x rows."""
+        tables = [np.ascontiguousarray(book @ q.T) for book in self.codebooks]
+        tables[0] += self.centres[cell] @ q.T
+        out = np.empty((codes.shape[1], len(q)), np.float32)
+        held = np.empty((512, len(q)), np.float32)
+        for at in range(0, len(out), 512):
+            part = out[at : at + 512]
+            np.take(tables[0], codes[0, at : at + 512], axis=0, out=part, mode="clip")
+            for table, code in zip(tables[1:], codes[1:]):
+                part += np.take(table, code[at : at + 512], axis=0, out=held[: len(part)], mode="clip")
+        return out
+
     def scores(self, q: np.ndarray, cell: int, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
         """Approximate cosines (queries x rows): sums of looked-up inner products over stored norms."""
-        total = np.take(q @ self.codebooks[0].T + (q @ self.centres[cell])[:, None], codes[:, 0], axis=1)
-        for m in range(1, len(self.codebooks)):
-            total += np.take(q @ self.codebooks[m].T, codes[:, m], axis=1)
-        total /= norms
-        return total
+        return (self.products(q, cell, codes.T.astype(np.intp)) / norms[:, None]).T

@@ -233,7 +233,7 @@ def similar_vectors(
         if held.empty or want.empty:
             return pd.DataFrame({"model_id": [], "id": [], "same": [], "other": [], "cos": []})
         ids, x, prints = held["id"].to_numpy(), _matrix(held["vec"].tolist()), held["same"].to_numpy()
-        codes = np.frombuffer(b"".join(held["codes"]), np.uint8).reshape(len(held), -1)
+        codes = np.ascontiguousarray(np.frombuffer(b"".join(held["codes"]), np.uint8).reshape(len(held), -1).T.astype(np.intp))
         norms = held["norm"].to_numpy(np.float32)
         margin = 3.0 * held["lost"].to_numpy(np.float32) / np.sqrt(x.shape[1])
         number = {p: i for i, p in enumerate(prints)}
@@ -244,12 +244,19 @@ def similar_vectors(
             mine, y = part["id"].to_numpy(), _matrix(part["vec"].tolist())
             own = np.array([number.get(p, -1) for p in part["same"]])
             have = np.flatnonzero(own >= 0)
-            s = q.scores(y, cell, codes, norms)
-            s[have, own[have]] = -np.inf
+            products = q.products(y, cell, codes)
+            products[own[have], have] = -np.inf
+            # no row of this cell is an answer to a query whose bound is below the least cosine asked for
+            near = np.flatnonzero((products + margin[:, None]).max(axis=0) >= min_cos)
+            if not len(near):
+                continue
+            part, mine, y, own = part.iloc[near], mine[near], y[near], own[near]
+            s = np.ascontiguousarray(products[:, near].T)
+            s /= norms
             top = np.argpartition(-s, take - 1, axis=1)[:, :take] if take < len(ids) else np.tile(np.arange(take), (len(mine), 1))
             exact = np.einsum("qd,qrd->qr", y, x[top])
             exact[own[:, None] == top] = -np.inf
-            worst = np.partition(-exact, min(k, take) - 1, axis=1)[:, min(k, take) - 1] * -1.0 if take else np.full(len(mine), -np.inf)
+            worst = np.partition(-exact, min(k, take) - 1, axis=1)[:, min(k, take) - 1] * -1.0
             s *= norms
             s += margin
             open_ = np.flatnonzero((s > np.maximum(worst, min_cos)[:, None]).sum(axis=1) > take) if take < len(ids) else np.array([], int)
@@ -270,7 +277,7 @@ def similar_vectors(
                 r, other = r[fine], other[fine]
                 value = np.einsum("qd,qd->q", y[which[r]].astype(np.float64), x[other].astype(np.float64))
                 got.append(pd.DataFrame({"model_id": model, "id": mine[which[r]], "same": part["same"].to_numpy()[which[r]], "other": ids[other], "cos": value}))
-        return pd.concat(got)
+        return pd.concat(got) if got else pd.DataFrame({"model_id": [], "id": [], "same": [], "other": [], "cos": []})
 
     schema = "model_id string, cell int, ib int, qb int, role byte, id bigint, same binary, vec binary, codes binary, norm float, lost float"
     routed = asked.select("model_id", "id", "vec", "wanted").mapInArrow(route, schema)
