@@ -21,6 +21,8 @@ CELL_ROWS, MEASURED = 4_000, 256
 #: Rows of the index and of the queries one task scores at a time.
 INDEX_BLOCK, QUERY_BLOCK = 8_192, 65_536
 SALTS = 16
+#: Standard deviations of the estimated cosines within which a row that was not scored exactly may still be an answer.
+DEVIATIONS = 4.0
 
 
 def _unit(flat: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,8 +155,8 @@ def similar_vectors(
     Every vector is encoded by beam search over additive codebooks and indexed in the cell of its nearest centre. A
     query visits its nearest cells, as many as hold ``coverage`` of the true neighbours of some measured vectors, at
     any size of the table (``probes`` sets their number instead). Within a cell lookup tables score the codes and the best ``rerank`` are scored exactly, in
-    full precision. Where more rows than those may be better than the worst answer, by three deviations of what the
-    codes leave out, the query is scored exactly against the whole block. Index and queries of a cell meet in blocks
+    full precision. Where more rows than those may be better than the worst answer, by DEVIATIONS of what the codes
+    leave out, the query is scored exactly against the whole block. Index and queries of a cell meet in blocks
     of bounded size, so no task ever holds a whole hot cell; only vectors of the blocks are shuffled, once.
 
     Vectors that agree are searched once: in each input task the first of them stands for the others, one of these for
@@ -230,12 +232,15 @@ def similar_vectors(
         q = shared.value[0][model]
         held = g[g["role"].to_numpy() & 1 > 0].sort_values("id").drop_duplicates("same")
         want = g[g["role"].to_numpy() & 2 > 0].drop_duplicates("id")
+        nothing = pd.DataFrame({"model_id": np.array([], object), "id": np.array([], np.int64), "same": np.array([], object), "other": np.array([], np.int64), "cos": np.array([], np.float64)})
         if held.empty or want.empty:
-            return pd.DataFrame({"model_id": [], "id": [], "same": [], "other": [], "cos": []})
+            return nothing
         ids, x, prints = held["id"].to_numpy(), _matrix(held["vec"].tolist()), held["same"].to_numpy()
         codes = np.ascontiguousarray(np.frombuffer(b"".join(held["codes"]), np.uint8).reshape(len(held), -1).T.astype(np.intp))
         norms = held["norm"].to_numpy(np.float32)
-        margin = 3.0 * held["lost"].to_numpy(np.float32) / np.sqrt(x.shape[1])
+        # the product of a vector with its approximation scales the estimate; what the codes leave out scatters it
+        scale = np.maximum((1.0 + norms**2 - held["lost"].to_numpy(np.float32) ** 2) / 2.0, 1e-3).astype(np.float32)
+        scatter = (DEVIATIONS * np.sqrt(np.maximum((norms / scale) ** 2 - 1.0, 0.0)) / np.sqrt(x.shape[1])).astype(np.float32)
         number = {p: i for i, p in enumerate(prints)}
         got = []
         take = min(rerank, len(ids))
@@ -246,20 +251,19 @@ def similar_vectors(
             have = np.flatnonzero(own >= 0)
             products = q.products(y, cell, codes)
             products[own[have], have] = -np.inf
-            # no row of this cell is an answer to a query whose bound is below the least cosine asked for
-            near = np.flatnonzero((products + margin[:, None]).max(axis=0) >= min_cos)
+            products /= scale[:, None]
+            # no row of this cell is an answer to a query whose rows all stay below the least cosine asked for
+            near = np.flatnonzero((products + (scatter * np.sqrt(max(0.0, 1.0 - min_cos**2)))[:, None]).max(axis=0) >= min_cos)
             if not len(near):
                 continue
             part, mine, y, own = part.iloc[near], mine[near], y[near], own[near]
             s = np.ascontiguousarray(products[:, near].T)
-            s /= norms
             top = np.argpartition(-s, take - 1, axis=1)[:, :take] if take < len(ids) else np.tile(np.arange(take), (len(mine), 1))
             exact = np.einsum("qd,qrd->qr", y, x[top])
             exact[own[:, None] == top] = -np.inf
-            worst = np.partition(-exact, min(k, take) - 1, axis=1)[:, min(k, take) - 1] * -1.0
-            s *= norms
-            s += margin
-            open_ = np.flatnonzero((s > np.maximum(worst, min_cos)[:, None]).sum(axis=1) > take) if take < len(ids) else np.array([], int)
+            worst = np.clip(np.maximum(np.partition(-exact, min(k, take) - 1, axis=1)[:, min(k, take) - 1] * -1.0, min_cos), -1.0, 1.0)[:, None]
+            s += scatter * np.sqrt(1.0 - worst**2)
+            open_ = np.flatnonzero((s >= worst).sum(axis=1) > take) if take < len(ids) else np.array([], int)
             rest = np.setdiff1d(np.arange(len(mine)), open_)
             chosen = [(rest, top[rest], exact[rest])]
             if len(open_):
@@ -277,7 +281,7 @@ def similar_vectors(
                 r, other = r[fine], other[fine]
                 value = np.einsum("qd,qd->q", y[which[r]].astype(np.float64), x[other].astype(np.float64))
                 got.append(pd.DataFrame({"model_id": model, "id": mine[which[r]], "same": part["same"].to_numpy()[which[r]], "other": ids[other], "cos": value}))
-        return pd.concat(got) if got else pd.DataFrame({"model_id": [], "id": [], "same": [], "other": [], "cos": []})
+        return pd.concat(got) if got else nothing
 
     schema = "model_id string, cell int, ib int, qb int, role byte, id bigint, same binary, vec binary, codes binary, norm float, lost float"
     routed = asked.select("model_id", "id", "vec", "wanted").mapInArrow(route, schema)
