@@ -23,6 +23,8 @@ INDEX_BLOCK, QUERY_BLOCK = 8_192, 65_536
 SALTS = 16
 #: Standard deviations of the estimated cosines within which a row that was not scored exactly may still be an answer.
 DEVIATIONS = 4.0
+#: Rows of a block from which all of them are scored for a query.
+WHOLE = 512
 
 
 def _unit(flat: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,36 +253,45 @@ def similar_vectors(
             have = np.flatnonzero(own >= 0)
             products = q.products(y, cell, codes)
             products[own[have], have] = -np.inf
-            products /= scale[:, None]
-            # no row of this cell is an answer to a query whose rows all stay below the least cosine asked for
-            near = np.flatnonzero((products + (scatter * np.sqrt(max(0.0, 1.0 - min_cos**2)))[:, None]).max(axis=0) >= min_cos)
-            if not len(near):
+            if min_cos > 0.0:
+                # whatever may reach the least cosine is scored exactly, pair by pair, or row by row where there is much of it
+                fits = products >= ((min_cos - scatter * np.sqrt(1.0 - min_cos**2)) * scale)[:, None]
+                many = np.flatnonzero(fits.sum(axis=0) > WHOLE)
+                fits[:, many] = False
+                other, which = np.nonzero(fits)
+                cos = np.einsum("pd,pd->p", y[which], x[other])
+                if len(many):
+                    full = y[many] @ x.T
+                    full[own[many][:, None] == np.arange(len(ids))[None, :]] = -np.inf
+                    r, c = np.nonzero(full >= min_cos - 1e-6)
+                    which, other, cos = np.concatenate([which, many[r]]), np.concatenate([other, c]), np.concatenate([cos, full[r, c]])
+                fine = cos >= min_cos - 1e-6
+                which, other, cos = which[fine], other[fine], cos[fine]
+            else:
+                s = np.ascontiguousarray((products / scale[:, None]).T)
+                top = np.argpartition(-s, take - 1, axis=1)[:, :take] if take < len(ids) else np.tile(np.arange(take), (len(mine), 1))
+                exact = np.einsum("qd,qrd->qr", y, x[top])
+                exact[own[:, None] == top] = -np.inf
+                worst = np.clip(-np.partition(-exact, min(k, take) - 1, axis=1)[:, min(k, take) - 1], -1.0, 1.0)[:, None]
+                s += scatter * np.sqrt(1.0 - worst**2)
+                open_ = np.flatnonzero((s >= worst).sum(axis=1) > take) if take < len(ids) else np.array([], int)
+                if len(open_):
+                    full = y[open_] @ x.T
+                    full[own[open_][:, None] == np.arange(len(ids))[None, :]] = -np.inf
+                    top[open_] = np.argpartition(-full, take - 1, axis=1)[:, :take]
+                    exact[open_] = np.take_along_axis(full, top[open_], 1)
+                which, other, cos = np.repeat(np.arange(len(mine)), take), top.ravel(), exact.ravel()
+                fine = cos >= max(min_cos - 1e-6, -1.5)
+                which, other, cos = which[fine], other[fine], cos[fine]
+            if not len(which):
                 continue
-            part, mine, y, own = part.iloc[near], mine[near], y[near], own[near]
-            s = np.ascontiguousarray(products[:, near].T)
-            top = np.argpartition(-s, take - 1, axis=1)[:, :take] if take < len(ids) else np.tile(np.arange(take), (len(mine), 1))
-            exact = np.einsum("qd,qrd->qr", y, x[top])
-            exact[own[:, None] == top] = -np.inf
-            worst = np.clip(np.maximum(np.partition(-exact, min(k, take) - 1, axis=1)[:, min(k, take) - 1] * -1.0, min_cos), -1.0, 1.0)[:, None]
-            s += scatter * np.sqrt(1.0 - worst**2)
-            open_ = np.flatnonzero((s >= worst).sum(axis=1) > take) if take < len(ids) else np.array([], int)
-            rest = np.setdiff1d(np.arange(len(mine)), open_)
-            chosen = [(rest, top[rest], exact[rest])]
-            if len(open_):
-                full = y[open_] @ x.T
-                full[own[open_][:, None] == np.arange(len(ids))[None, :]] = -np.inf
-                few = np.argpartition(-full, take - 1, axis=1)[:, :take]
-                chosen.append((open_, few, np.take_along_axis(full, few, 1)))
-            for which, cols, cos in chosen:
-                if not len(which):
-                    continue
-                order = np.lexsort((ids[cols], -cos), axis=1)[:, :k]
-                r, c = np.repeat(np.arange(len(which)), order.shape[1]), order.ravel()
-                value, other = cos[r, c], cols[r, c]
-                fine = value >= max(min_cos - 1e-6, -1.5)
-                r, other = r[fine], other[fine]
-                value = np.einsum("qd,qd->q", y[which[r]].astype(np.float64), x[other].astype(np.float64))
-                got.append(pd.DataFrame({"model_id": model, "id": mine[which[r]], "same": part["same"].to_numpy()[which[r]], "other": ids[other], "cos": value}))
+            order = np.lexsort((ids[other], -cos, which))
+            which, other = which[order], other[order]
+            first = np.r_[0, np.flatnonzero(np.diff(which)) + 1]
+            place = np.arange(len(which)) - np.repeat(first, np.diff(np.r_[first, len(which)]))
+            which, other = which[place < k], other[place < k]
+            value = np.einsum("qd,qd->q", y[which].astype(np.float64), x[other].astype(np.float64))
+            got.append(pd.DataFrame({"model_id": model, "id": mine[which], "same": part["same"].to_numpy()[which], "other": ids[other], "cos": value}))
         return pd.concat(got) if got else nothing
 
     schema = "model_id string, cell int, ib int, qb int, role byte, id bigint, same binary, vec binary, codes binary, norm float, lost float"
