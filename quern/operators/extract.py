@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.facts import imports, python_facts
+from quern.functions.outline import LANGUAGES, outline
 
 FACTS = (
     "path string, fact string, kind string, name string, owner string, signature string, documentation string, value string, line int, line_end int, depth int, error string"
@@ -16,20 +17,22 @@ FACTS = (
 _COLUMNS = [c.split()[0] for c in FACTS.split(", ")]
 
 
-def facts(texts: DataFrame) -> DataFrame:
+def facts(texts: DataFrame, members: bool = False) -> DataFrame:
     """One row per fact of each text (path, language, content): symbol, call, cfg, dfg, import or error.
 
-    owner is the outermost symbol a fact lies in, an empty text if none. Python texts are parsed in full; of other
-    languages the imports are taken. A text that does not parse gives an error row and its imports, and never
-    fails the job. Null texts give no row. Nothing is shuffled.
+    owner is the outermost symbol a fact lies in, an empty text if none. Python texts are parsed in full, those of
+    the other thirteen languages are outlined by their tokens and brackets, whether they are valid or not. A Python
+    text that does not parse gives an error row and its outline. Null texts give no row. Nothing is shuffled.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for path, language, text in b.itertuples(index=False):
-                if language == "python":
-                    got = python_facts(text)
+                if language in LANGUAGES:
+                    got = python_facts(text) if language == "python" else outline(text, language, members)
+                    if got["error"]:
+                        got = outline(text, language, members) | {"error": got["error"]}
                     out += [(path, "symbol", s["kind"], s["name"], "", s["signature"], s["documentation"], None, s["line_start"], s["line_end"], None, None) for s in got["symbols"]]
                     out += [(path, "call", "call", name, owner, None, None, None, line, line, None, None) for owner, name, line in got["calls"]]
                     out += [(path, "cfg", kind, None, owner, None, None, test, line, line, depth, None) for owner, kind, test, line, depth in got["cfg"]]

@@ -68,4 +68,4 @@ def test_facts_of_a_table(spark):
     rows = spark.createDataFrame([("a.py", "python", TEXT), ("b.py", "python", "def f(:"), ("c.h", "c", "#include <x>\n"), ("d.py", "python", None), ("e.py", "python", "")], "path string, language string, content string")
     got = facts(rows).collect()
     assert {r.path for r in got if r.fact == "error"} == {"b.py"}
-    assert sum(r.fact == "symbol" for r in got) == 4 and sum(r.fact == "import" for r in got) == 3
+    assert sum(r.fact == "symbol" for r in got) == 5 and sum(r.fact == "import" for r in got) == 3
