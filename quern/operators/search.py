@@ -5,11 +5,15 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import like_anywhere, tokens
+from quern.functions.text import FOLD_FROM, FOLD_TO, like_anywhere, tokens
+
+if TYPE_CHECKING:
+    from quern.operators.fulltext import SearchIndex
 
 COLUMNS = ("name", "signature", "documentation")
 K1, B = 1.2, 0.75
@@ -137,10 +141,8 @@ def parse(query: str) -> Node | Phrase:
 
 
 def _split(text: str) -> list[str]:
-    import unicodedata
-
-    plain = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
-    return re.findall(r"[^\W_]+", plain)
+    """The words of a query text, folded as stored texts are."""
+    return re.findall(r"(?:[^\W_]|[\ue000-\uf8ff])+", text.lower().translate(str.maketrans(FOLD_FROM, FOLD_TO)))
 
 
 def _phrases(q: Node | Phrase, scored: bool = True) -> list[tuple[Phrase, bool]]:
@@ -195,14 +197,14 @@ def bm25(symbols: DataFrame, query: Node | Phrase) -> DataFrame:
     rows = rows.select("symbol_id", sum((F.size(f"t_{c}") for c in COLUMNS), F.lit(0)).alias("dl"), *[_count(p).alias(f"tf{k}") for k, (p, _) in enumerate(phrases)])
     stats = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("dl").alias("avgdl"), *[F.count(F.when(F.col(f"tf{k}") > 0, 1)).alias(f"df{k}") for k in range(len(phrases))])
     rows = rows.where(_match(query, index)).crossJoin(F.broadcast(stats))  # one row
-    score = F.lit(0.0)
-    for k, (_, scored) in enumerate(phrases):
-        if scored:
-            tf, df = F.col(f"tf{k}"), F.col(f"df{k}")
-            idf = F.log((F.col("n_rows") - df + 0.5) / (df + 0.5))
-            idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-            score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return rows.select("symbol_id", (-score).alias("rank"))
+    from quern.operators.fulltext import score
+
+    return rows.select("symbol_id", (-score([s for _, s in phrases])).alias("rank"))
+
+
+def _ranked(symbols: DataFrame, query: Node | Phrase, index: SearchIndex | None) -> DataFrame:
+    """Ranks by the index if there is one, else by a scan of the symbols."""
+    return bm25(symbols, query) if index is None else index.bm25(query)
 
 
 def limited(df: DataFrame, order: list, limit: int) -> DataFrame:
@@ -210,7 +212,7 @@ def limited(df: DataFrame, order: list, limit: int) -> DataFrame:
     return df.orderBy(*order) if limit < 0 else df.orderBy(*order).limit(limit)
 
 
-def search_symbols(symbols: DataFrame, query: str, kind: str = "", limit: int = 20) -> DataFrame:
+def search_symbols(symbols: DataFrame, query: str, kind: str = "", limit: int = 20, index: SearchIndex | None = None) -> DataFrame:
     """The best matches with rank; an empty query lists a kind; without a match, names that contain the text.
 
     symbols: (symbol_id, kind, name, signature, documentation, path, line_start). A query that does not parse
@@ -224,18 +226,18 @@ def search_symbols(symbols: DataFrame, query: str, kind: str = "", limit: int =
         parsed = parse(text)
     except QueryError:
         return held.withColumn("rank", F.lit(0.0)).limit(0)
-    best = limited(held.join(bm25(symbols, parsed), "symbol_id"), ["rank", "symbol_id"], limit)
+    best = limited(held.join(_ranked(symbols, parsed, index), "symbol_id"), ["rank", "symbol_id"], limit)
     none = best.agg(F.count(F.lit(1)).alias("hits")).where("hits = 0").select(F.lit(1).alias("_none"))
     other = held.where(like_anywhere(F.col("name"), query)).crossJoin(F.broadcast(none)).drop("_none")  # one row or none
     return best.unionByName(limited(other.withColumn("rank", F.lit(0.0)), ["name", "symbol_id"], limit))
 
 
-def search_text(symbols: DataFrame, query: str, limit: int = 20) -> DataFrame:
+def search_text(symbols: DataFrame, query: str, limit: int = 20, index: SearchIndex | None = None) -> DataFrame:
     """As search_symbols without a kind, but the fallback, also of a query that does not parse, looks into names and documentation."""
     text = prepare(query)
     nothing = symbols.withColumn("rank", F.lit(0.0)).limit(0)
     try:
-        best = limited(symbols.join(bm25(symbols, parse(text)), "symbol_id"), ["rank", "symbol_id"], limit) if text else nothing
+        best = limited(symbols.join(_ranked(symbols, parse(text), index), "symbol_id"), ["rank", "symbol_id"], limit) if text else nothing
     except QueryError:
         best = nothing
     none = best.agg(F.count(F.lit(1)).alias("hits")).where("hits = 0").select(F.lit(1).alias("_none"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import FOLD_FROM, FOLD_TO, extension, like_anywhere, token_estimate
 from quern.operators import context, extract, graph, search, stats, store, vectors
-from quern.plans.tables import table
+from quern.operators.fulltext import SearchIndex, index_of
+from quern.plans.tables import shared_dir, table
 from quern.sources.scan import ignored, language_of
 from quern.streaming.debounce import debounced
 
@@ -56,9 +57,13 @@ def _bm25_sql(patterns: list[tuple[str, str, bool]], match: str, top: int = 20)
 _ALL = "xn xs xd"
 
 
+def _index(spark: SparkSession, d: str) -> SearchIndex:
+    return index_of(spark, shared_dir(spark), _symbols(spark, d).withColumnRenamed("id", "symbol_id"), f"{d}/symbols.parquet")
+
+
 def _search(query: str, top: int = 20):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = search.bm25(_symbols(spark, d).withColumnRenamed("id", "symbol_id"), search.parse(query))
+        rows = _index(spark, d).bm25(search.parse(query))
         return rows.select("symbol_id", F.round("rank", 6).alias("rank")).orderBy("rank", "symbol_id").limit(top)
 
     run.__doc__ = f"BM25 over symbols: {query}"
@@ -67,12 +72,12 @@ def _search(query: str, top: int = 20):
 
 def search_fallback(spark: SparkSession, d: str) -> DataFrame:
     """A search without a hit falls back to a substring of the name."""
-    return search.search_symbols(_located(spark, d), "ake_spoo OR zzzqqq", "", 15).select("symbol_id", "name").unionByName(search.search_symbols(_located(spark, d), "andle_all", "", 15).select("symbol_id", "name"))
+    return search.search_symbols(_located(spark, d), "ake_spoo OR zzzqqq", "", 15, _index(spark, d)).select("symbol_id", "name").unionByName(search.search_symbols(_located(spark, d), "andle_all", "", 15, _index(spark, d)).select("symbol_id", "name"))
 
 
 def search_text_fallback(spark: SparkSession, d: str) -> DataFrame:
     """A query that does not parse still looks into names and documentation."""
-    return search.search_text(_located(spark, d), "oldest.to", 20).unionByName(search.search_text(_located(spark, d), "lder than 1", 20)).select("symbol_id", "name")
+    return search.search_text(_located(spark, d), "oldest.to", 20, _index(spark, d)).unionByName(search.search_text(_located(spark, d), "lder than 1", 20, _index(spark, d))).select("symbol_id", "name")
 
 
 def kind_only_list(spark: SparkSession, d: str) -> DataFrame:
@@ -100,8 +105,8 @@ def knn_l2_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """Reciprocal-rank fusion of symbols by a word of the documentation and by name."""
-    syms = _symbols(spark, d).withColumnRenamed("id", "symbol_id")
-    leg = lambda q: vectors.positions(search.bm25(syms, search.parse(q)).select("symbol_id", F.round("rank", 6).alias("rank")).orderBy("rank", "symbol_id").limit(50), ["rank", "symbol_id"]).select("symbol_id", "position")
+    held = _index(spark, d)
+    leg = lambda q: vectors.positions(held.bm25(search.parse(q)).select("symbol_id", F.round("rank", 6).alias("rank")).orderBy("rank", "symbol_id").limit(50), ["rank", "symbol_id"]).select("symbol_id", "position")
     return vectors.fuse(leg("documentation : retries*"), leg("name : spool*"), 30).select("symbol_id", F.round("score", 9).alias("score"), "provenance")
 
 
