@@ -270,7 +270,7 @@ class Outline:
             if self.w(first - 1) in ("*", "&", "&&"):
                 continue  # the declarator of a pointer or reference is none of a function
             begin = first
-            while begin > 0 and self.word[begin - 1] not in (";", "}", "{", ")", ":") and not self.word[begin - 1].startswith("#") and self.line(begin - 1) >= self.line(first) - 1:
+            while begin > 0 and self.word[begin - 1] not in (";", "}", "{", ")", ":") and not self.word[begin - 1].startswith("#") and self.kind[begin - 1] != "text" and self.line(begin - 1) >= self.line(first) - 1:
                 begin -= 1
             self.add("method" if member else "function", i, begin, self.close(b), -1, b)
             self.lists.append((p, self.close(p)))

@@ -33,6 +33,28 @@ def detailed(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     return rows.select("symbol_id", text.alias("text"))
 
 
+def build(symbols: DataFrame, files: DataFrame, calls: DataFrame | None = None, mode: str = "all", paths: DataFrame | None = None, detail: bool = False, max_symbols: int = 200) -> DataFrame:
+    """(path, symbol_count, text, estimated_tokens) of a context.
+
+    mode: 'all' takes the first max_symbols of all files, 'files' the given paths with known files that have no
+    symbols, 'diff_aware' the given changed paths only, and nothing without any. paths: (path). detail: describe each
+    symbol with its calls and callers instead of a line for each.
+    """
+    if mode == "diff_aware" and paths is None:
+        held, shown = symbols.limit(0), None
+    elif mode == "all" or paths is None:
+        held, shown = capped(symbols, max_symbols), None
+    else:
+        held = symbols.join(paths.select("path").distinct(), "path", "left_semi")
+        shown = files.join(paths.select("path").distinct(), "path", "left_semi") if mode == "files" else None
+    rows = condensed(held, shown)
+    if detail and calls is not None:
+        parts = detailed(symbols, calls).join(held.select("symbol_id", "path", "line_start"), "symbol_id")
+        parts = parts.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_start", "symbol_id", "text"))), lambda x: x["text"]), "").alias("body"))
+        rows = rows.join(parts, "path", "left").select("path", "symbol_count", F.concat(F.substring_index("text", "\n", 1), F.lit("\n"), F.coalesce("body", F.lit(""))).alias("text"))
+    return rows.withColumn("estimated_tokens", token_estimate(F.col("text")))
+
+
 def capped(symbols: DataFrame, most: int = 200) -> DataFrame:
     """The first symbols by (path, line_start, symbol_id): the limit of a summary of all files."""
     return symbols.orderBy("path", "line_start", "symbol_id").limit(most)
@@ -53,8 +75,11 @@ def chunks(symbols: DataFrame, texts: DataFrame) -> DataFrame:
 
     symbols: (symbol_id, file_id, path, kind, name, signature, line_start, line_end); texts: (file_id, text).
     """
-    rows = symbols.where(F.col("kind").isin("function", "method") & (F.col("line_start") >= 1) & (F.col("line_start") <= F.col("line_end"))).join(texts, "file_id")
-    lines = F.split("text", "\n")
-    rows = rows.withColumn("_n", F.size(lines) - F.when(F.col("text").endswith("\n"), 1).otherwise(0)).where("line_start <= _n")
-    body = F.array_join(F.slice(lines, F.col("line_start"), F.least("line_end", "_n") - F.col("line_start") + 1), "\n")
-    return rows.select("symbol_id", "path", chunk_text(F.col("path"), F.col("kind"), F.col("name"), F.col("signature"), body).alias("text"))
+    spans = symbols.where(F.col("kind").isin("function", "method") & (F.col("line_start") >= 1) & (F.col("line_start") <= F.col("line_end")))
+    # a text is split once and meets the list of its file's spans, not every span by itself
+    held = spans.groupBy("file_id").agg(F.collect_list(F.struct("symbol_id", "path", "kind", "name", "signature", "line_start", "line_end")).alias("spans"))
+    cut = texts.join(held, "file_id").select("spans", F.split("text", "\n").alias("lines"), F.col("text").endswith("\n").cast("int").alias("_end"))
+    cut = cut.withColumn("_n", F.size("lines") - F.col("_end"))
+    body = lambda s: F.array_join(F.slice(F.col("lines"), s["line_start"], F.least(s["line_end"], F.col("_n")) - s["line_start"] + 1), "\n")
+    cut = cut.select(F.transform(F.filter("spans", lambda s: s["line_start"] <= F.col("_n")), lambda s: F.struct(s["symbol_id"].alias("symbol_id"), s["path"].alias("path"), chunk_text(s["path"], s["kind"], s["name"], s["signature"], body(s)).alias("text"))).alias("made"))
+    return cut.select(F.explode("made").alias("m")).select("m.*")

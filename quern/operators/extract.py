@@ -49,4 +49,4 @@ def facts(texts: DataFrame, members: bool = False) -> DataFrame:
 def symbols_of(rows: DataFrame) -> DataFrame:
     """Symbol rows of facts with ids in the order of path, line and name."""
     held = rows.where("fact = 'symbol'").select("path", "kind", "name", "signature", F.col("line").alias("line_start"), "line_end", "documentation")
-    return held.withColumn("symbol_id", F.xxhash64("path", "kind", "name", "line_start"))
+    return held.withColumn("symbol_id", F.xxhash64("path", "kind", "name", "line_start").bitwiseAND((1 << 63) - 1))

@@ -29,11 +29,39 @@ def callers(calls: DataFrame, symbols: DataFrame, files: DataFrame, name: Column
 
 
 def neighbours(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(caller, callee, depth2): callees of each caller's callees by name, one further level, names sorted."""
+    """(caller, callee, depth2): callees of each caller's callees by name, one further level, names sorted.
+
+    The list of a name's callees is made once per name and then joined, not once per caller.
+    """
     names = symbols.select(F.col("id").alias("caller_id"), F.col("name").alias("caller")).distinct()
     edges = calls.join(names, "caller_id").select("caller", F.col("callee_name").alias("callee")).distinct()
-    onward = edges.select(F.col("caller").alias("callee"), F.col("callee").alias("next"))
-    return edges.join(onward, "callee", "left").groupBy("caller", "callee").agg(F.array_sort(F.collect_set("next")).alias("depth2"))
+    onward = edges.groupBy(F.col("caller").alias("callee")).agg(F.array_sort(F.collect_list("callee")).alias("depth2"))
+    return edges.join(onward, "callee", "left").select("caller", "callee", F.coalesce("depth2", F.array().cast("array<string>")).alias("depth2"))
+
+
+def call_graph(calls: DataFrame, symbols: DataFrame, files: DataFrame, definitions: DataFrame | None = None) -> DataFrame:
+    """(symbol_id, direction, name, path, line, source): callees and callers of each symbol, for each direction of the first tier that has any.
+
+    symbols: (id, file_id, name, line_start, line_end). Callees come from resolved definitions within the symbol's
+    lines, else from the call edges; callers from the symbols around resolved calls to it, else from the edges that
+    name it. A caller that is not known is 'unknown', a file that is not known an empty text.
+    """
+    named = symbols.select(F.col("id").alias("symbol_id"), F.col("name").alias("own"))
+    place = files.select(F.col("id").alias("file_id"), "path")
+    out = callees(calls, files).select(F.col("caller_id").alias("symbol_id"), F.col("callee_name").alias("name"), "path", "line")
+    who = calls.join(symbols.select(F.col("id").alias("caller_id"), F.col("name").alias("caller"), F.col("file_id").alias("caller_file")), "caller_id", "left")
+    who = who.join(place.withColumnRenamed("file_id", "caller_file"), "caller_file", "left").select(F.col("callee_name").alias("own"), F.coalesce("caller", F.lit("unknown")).alias("name"), F.coalesce("path", F.lit("")).alias("path"), "line").distinct()
+    tiers = [("tree-sitter-approximate", out.withColumn("direction", F.lit("callees")).unionByName(named.join(who, "own").drop("own").withColumn("direction", F.lit("callers"))))]
+    if definitions is not None:
+        held = definitions_between(definitions, symbols).where("def_file_id >= 0").join(place.withColumnRenamed("file_id", "def_file_id"), "def_file_id", "left")
+        first = held.select("symbol_id", F.lit("callees").alias("direction"), F.col("callee_name").alias("name"), F.coalesce("path", F.lit("")).alias("path"), F.col("def_line").alias("line")).distinct()
+        points = definitions.where("def_file_id IS NOT NULL").select(F.col("id").alias("point_id"), F.col("caller_file_id").alias("file_id"), F.col("call_line").alias("line"))
+        around = enclosing(points, symbols).select("point_id", "symbol", "file_id", "line").join(place, "file_id", "left")
+        to = definitions.where("def_file_id IS NOT NULL").select(F.col("id").alias("point_id"), F.col("callee_name").alias("own"), F.col("def_file_id").alias("own_file"))
+        mine = symbols.select(F.col("id").alias("symbol_id"), F.col("name").alias("own"), F.col("file_id").alias("own_file"))
+        second = around.join(to, "point_id").join(mine, ["own", "own_file"]).select("symbol_id", F.lit("callers").alias("direction"), F.col("symbol").alias("name"), F.coalesce("path", F.lit("")).alias("path"), "line").distinct()
+        tiers.insert(0, ("lsp", first.unionByName(second)))
+    return tiered(tiers, ["symbol_id", "direction"]).select("symbol_id", "direction", "name", "path", "line", "source")
 
 
 def reachable(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
@@ -60,10 +88,15 @@ def enclosing(points: DataFrame, symbols: DataFrame, bin_lines: int = 64) -> Dat
     return points.join(best, "point_id", "left").select("point_id", "file_id", "line", F.col("s.symbol_id").alias("symbol_id"), F.coalesce(F.col("s.name"), F.lit("<unknown>")).alias("symbol"))
 
 
-def definitions_between(definitions: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(symbol_id, call_line, callee_name, def_file_id, def_line): resolved calls whose line lies within a symbol of the calling file."""
-    spans = symbols.select(F.col("id").alias("symbol_id"), F.col("file_id").alias("caller_file_id"), "line_start", "line_end")
-    return definitions.join(spans, "caller_file_id").where("call_line BETWEEN line_start AND line_end").select("symbol_id", "call_line", "callee_name", F.coalesce("def_file_id", F.lit(-1)).alias("def_file_id"), F.coalesce("def_line", F.lit(0)).alias("def_line"))
+def definitions_between(definitions: DataFrame, symbols: DataFrame, bin_lines: int = 64) -> DataFrame:
+    """(symbol_id, call_line, callee_name, def_file_id, def_line): resolved calls whose line lies within a symbol of the calling file.
+
+    Joined by file and bin of lines, as in ``enclosing``.
+    """
+    spans = symbols.where("line_start <= line_end").select(F.col("id").alias("symbol_id"), F.col("file_id").alias("caller_file_id"), "line_start", "line_end")
+    spans = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("line_start") / bin_lines), F.floor(F.col("line_end") / bin_lines))))
+    rows = definitions.withColumn("_bin", F.floor(F.col("call_line") / bin_lines)).join(spans, ["caller_file_id", "_bin"]).where("call_line BETWEEN line_start AND line_end")
+    return rows.select("symbol_id", "call_line", "callee_name", F.coalesce("def_file_id", F.lit(-1)).alias("def_file_id"), F.coalesce("def_line", F.lit(0)).alias("def_line"))
 
 
 def tiered(tiers: list[tuple[str, DataFrame]], keys: list[str]) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -47,8 +50,82 @@ def candidates(limit: int, configured: int = 100) -> int:
 
 
 def mean_pool(tokens: DataFrame, key: str) -> DataFrame:
-    """(key, vec): unit mean of the unmasked vectors of each key; a zero vector if all are masked. tokens: (key, mask, vec)."""
-    cells = tokens.select(key, "mask", F.posexplode("vec").alias("at", "x"))
-    mean = cells.groupBy(key, "at").agg(F.coalesce(F.sum(F.when(F.col("mask") > 0, F.col("x").cast("double"))) / F.sum(F.when(F.col("mask") > 0, 1)), F.lit(0.0)).alias("x"))
-    rows = mean.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda c: c["x"]).alias("v"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return rows.select(key, F.when(F.col("norm") >= 1e-12, F.transform("v", lambda x: x / F.col("norm"))).otherwise(F.col("v")).alias("vec"))
+    """(key, vec): unit mean of the unmasked vectors of each key; a zero vector if all are masked. tokens: (key, mask, vec).
+
+    Each task first adds up its own vectors per key, so a key costs one vector a task however many it has.
+    """
+    kind = tokens.schema[key].dataType.simpleString()
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for b in batches:
+            for k, mask, vec in zip(b[key].tolist(), b["mask"].tolist(), b["vec"].tolist()):
+                if vec is None:
+                    continue
+                at = sums.setdefault((k, len(vec)), [0, np.zeros(len(vec))])
+                if mask and mask > 0:
+                    at[0] += 1
+                    at[1] += np.asarray(vec, float)
+        yield pd.DataFrame({key: [k for k, _ in sums], "size": [d for _, d in sums], "n": [n for n, _ in sums.values()], "total": [v.tolist() for _, v in sums.values()]})
+
+    parts = tokens.where(F.col(key).isNotNull()).select(key, "mask", "vec").mapInPandas(add, f"{key} {kind}, size int, n bigint, total array<double>")
+
+    def merge(g: pd.DataFrame) -> pd.DataFrame:
+        total, n = np.sum(np.stack(g["total"].tolist()), axis=0), int(g["n"].sum())
+        mean = total / n if n else total
+        norm = float(np.sqrt((mean**2).sum()))
+        return pd.DataFrame({key: g[key].iloc[:1], "vec": [(mean / norm if norm >= 1e-12 else mean).tolist()]})
+
+    return parts.groupBy(key, "size").applyInPandas(merge, f"{key} {kind}, vec array<double>")
+
+
+@dataclass
+class VectorStore:
+    """Vectors of one length by id, kept as a table."""
+
+    vectors: DataFrame  # id long, vec array<float>
+    dim: int
+
+    def _checked(self, rows: DataFrame) -> DataFrame:
+        wrong = F.raise_error(F.concat(F.lit(f"a vector of {self.dim} entries is wanted, not of "), F.size("vec").cast("string")))
+        return rows.select("id", F.when(F.size("vec") == self.dim, F.col("vec")).otherwise(wrong.cast("array<float>")).alias("vec"))
+
+    def upsert(self, rows: DataFrame) -> VectorStore:
+        """With the vectors of rows (id, vec) in place of those of their ids; another length raises an error."""
+        return VectorStore(self.remove(rows).vectors.unionByName(self._checked(rows)), self.dim)
+
+    def remove(self, ids: DataFrame) -> VectorStore:
+        """Without the given ids (id)."""
+        return VectorStore(self.vectors.join(ids.select("id").distinct(), "id", "left_anti").select("id", "vec"), self.dim)
+
+    def search(self, query: Sequence[float], k: int, allowed: DataFrame | None = None) -> DataFrame:
+        """(id, dist) of the nearest vectors; a query of another length raises an error."""
+        if len(query) != self.dim:
+            raise ValueError(f"a query of {self.dim} entries is wanted, not of {len(query)}")
+        return nearest(self.vectors, query, k, allowed)
+
+    def save(self, folder: str) -> None:
+        """Writes the vectors to a folder."""
+        self.vectors.withColumn("dim", F.lit(self.dim)).write.mode("overwrite").parquet(folder)
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str, dim: int) -> VectorStore:
+        """The store of a folder; one of other columns raises an error."""
+        rows = spark.read.parquet(folder)
+        if not {"id", "vec"} <= set(rows.columns):
+            raise ValueError(f"{folder} holds no vectors")
+        return cls(rows.select("id", "vec"), dim)
+
+
+def embedded(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]], prefix: str = "", most: int = 2_048) -> DataFrame:
+    """(id, vec): vectors of texts (id, text) by a function over lists of texts, in Arrow batches; null texts give no row.
+
+    prefix: what precedes each text, as models want it for queries. most: characters a text is cut to before the
+    model's own limit of tokens.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "vec": embed([prefix + t[:most] for t in b["text"]]) if len(b) else []})
+
+    return texts.where("text IS NOT NULL").select("id", "text").mapInPandas(run, "id bigint, vec array<float>")

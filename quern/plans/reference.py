@@ -129,7 +129,7 @@ def language_breakdown(spark: SparkSession, d: str) -> DataFrame:
 
 def index_health(spark: SparkSession, d: str) -> DataFrame:
     """Stored symbols against chunks with a text."""
-    return stats.index_health(_symbols(spark, d).where("kind <> 'class'").select("id"), table(spark, d, "chunks").select("symbol_id", "text").distinct().where("text IS NOT NULL"))
+    return stats.index_health(_symbols(spark, d).where("kind <> 'class'").select("id"), table(spark, d, "chunks").select("symbol_id", "text").distinct().where("text IS NOT NULL")).drop("message")
 
 
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
