@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.arrow import by_slices
-from quern.llm.peg import Parse, Rule, first, many, maybe, seq, take, term
+from quern.llm.peg import Parse, Rule, balanced, first, many, maybe, seq, take, term
 
 # ---- grammars -------------------------------------------------------------------------------------------
 
@@ -25,11 +25,7 @@ def _grammar(language: str) -> Rule:
     followed by blank lines and by decorators or annotations.
     """
     hashes = language in ("python", "ruby")
-    nested = Rule("nested")
-    text = [term(_STRING), term(r"[^()\"'\n]+"), term(r"[\"'\n]")]
-    if not hashes:
-        text.insert(0, term(r"//[^\n]*|/\*[\s\S]*?\*/"))
-    nested.expr = seq(term(r"\("), many(first(nested, *text)), term(r"\)"))
+    nested = balanced((_STRING if hashes else _STRING + r"|//[^\n]*|/\*[\s\S]*?\*/") + r"|[^()\"'/\n]+")
     params = Rule("params", lambda t, a, b, got: (("params", a, b),))
     params.expr = nested
     if language == "python":

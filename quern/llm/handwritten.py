@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.arrow import by_slices
 from quern.llm.winnow import COMMENT, NAME, NUMBER, STRING, TOKENS, Codes, fingerprints, self_repetition, token_codes
-from quern.operators.skew import salted_semi_join
+from quern.operators.skew import salt_of, salted_semi_join
+from quern.plans.tables import cut_lineage
 
 #: Thresholds; all apply alike to every file.
 CONTAINED, LEAST_SHARED = 0.5, 6
@@ -22,6 +23,8 @@ REPEATED, LEAST_TOKENS = 0.8, 90
 LITERAL, LEAST_LITERALS = 0.6, 10
 LONG_LINE, SHORT_NAME = 250, 2.6
 
+#: Fingerprints of libraries up to which they are broadcast (16 bytes each).
+MOST_BROADCAST = 1_000_000
 #: Wordings by which programs mark what they write, in the languages of the corpus.
 GENERATED = re.compile(
     r"@generated\b|<auto-?generated\b|\bauto-?generated (?:file|code|by|from)\b|\bgenerated (?:by|from|with|using) \S+.*(?:do not|don't|never|not be) (?:edit|modif|change)"
@@ -36,6 +39,15 @@ _NO_MARK = re.compile(r"[{}%$]|\bstub\b|\b(?:first|initial(?:ly)?|draft|once|ori
 _COMMENT_LINE = re.compile(r"^[ \t]*(?:///?|#+|/\*+|\*|--|<!--|\"\"\"|''')[ \t!]*(.*)$")
 
 
+def _sentence(line: str, part: str) -> str:
+    """The sentence of a line in which a part begins."""
+    at = line.find(part[: len(line)])
+    for m in re.finditer(r".+?(?:[.!?;](?=\s)|\Z)", line):
+        if m.start() <= at < m.end():
+            return m.group()
+    return line
+
+
 def marked(text: str) -> bool:
     """Whether a comment line of its own says that a program wrote the file. A mark with placeholders is a template; a stub or a draft since kept by hand is no mark."""
     low = text.lower()
@@ -45,7 +57,7 @@ def marked(text: str) -> bool:
         start = text.rfind("\n", 0, m.start()) + 1
         end = text.find("\n", m.end())
         line = _COMMENT_LINE.match(text[start : end if end >= 0 else len(text)].rstrip())
-        if line and not _NO_MARK.search(line.group(1)):
+        if line and not _NO_MARK.search(_sentence(line.group(1), m.group())):
             return True
     return False
 
@@ -102,7 +114,7 @@ def not_handwritten(documents: DataFrame, library: DataFrame) -> DataFrame:
     hash: states per (fingerprint, repository) are combined inside the map tasks, and what recurs is joined back
     in salted pieces, so that boilerplate found in a third of all files makes no long task.
 
-    Null and empty texts give no row; repeated documents of a file count once; a file of too few tokens for a
+    Null and empty texts give no row; each document of a file is judged by itself, repeated ones once; a file of too few tokens for a
     fingerprint is judged by itself alone; an empty library leaves the other rules.
     """
 
@@ -111,31 +123,36 @@ def not_handwritten(documents: DataFrame, library: DataFrame) -> DataFrame:
 
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             why, prints = [], []
-            for t in b.column(2).to_pylist():
+            for t in b.column(3).to_pylist():
                 w, f = features(t, codes)
                 why.append(w)
                 prints.append(f)
             offsets = np.zeros(len(prints) + 1, np.int32)
             np.cumsum([len(f) for f in prints], out=offsets[1:])
             packed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prints) if prints else np.zeros(0, np.int64)))
-            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(why, pa.list_(pa.string())), packed], ["file_id", "repository", "why", "prints"])
-
-        yield from by_slices(one, batches, 2)
+            return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(why, pa.list_(pa.string())), packed], ["file_id", "doc", "repository", "why", "prints"])
 
-    rows = documents.select("file_id", "repository", "text").where("text IS NOT NULL AND text <> ''")
-    seen = rows.mapInArrow(look, "file_id bigint, repository string, why array<string>, prints array<bigint>")
-    from quern.plans.tables import cut_lineage
+        yield from by_slices(one, batches, 3)
 
+    schema = "file_id bigint, doc bigint, repository string, why array<string>, prints array<bigint>"
+    rows = documents.where("text IS NOT NULL AND text <> ''").select("file_id", F.xxhash64("text").alias("doc"), "repository", "text")
+    seen = rows.mapInArrow(look, schema)
     seen = cut_lineage(seen)  # each text is read and lexed once
-    lib = library.select(F.col("lib_file_id").alias("file_id"), F.lit("").alias("repository"), "text").where("text IS NOT NULL")
-    lib = lib.mapInArrow(look, "file_id bigint, repository string, why array<string>, prints array<bigint>").select(F.col("file_id").alias("lib_file_id"), F.explode("prints").alias("fp")).distinct()
-    prints = seen.select("file_id", "repository", F.explode("prints").alias("fp"))
-    sizes = seen.select("file_id", F.size("prints").alias("n_prints")).groupBy("file_id").agg(F.max("n_prints").alias("n_prints"))
-    shared = prints.join(lib, "fp").groupBy("file_id", "lib_file_id").agg(F.countDistinct("fp").alias("n"))
-    copies = shared.groupBy("file_id").agg(F.max("n").alias("n")).join(sizes, "file_id").where((F.col("n") >= LEAST_SHARED) & (F.col("n") >= CONTAINED * F.col("n_prints")))
+    lib = library.select(F.col("lib_file_id").alias("file_id"), F.lit(0).cast("bigint").alias("doc"), F.lit("").alias("repository"), "text").where("text IS NOT NULL")
+    lib = cut_lineage(lib.mapInArrow(look, schema).select(F.col("file_id").alias("lib_file_id"), F.explode("prints").alias("fp")).distinct())
+    prints = seen.select("file_id", "doc", "repository", F.explode("prints").alias("fp"))
+    sizes = seen.select("file_id", "doc", F.size("prints").alias("n_prints")).groupBy("file_id", "doc").agg(F.max("n_prints").alias("n_prints"))
+    if lib.count() <= MOST_BROADCAST:
+        met = prints.join(F.broadcast(lib), "fp")  # at most MOST_BROADCAST rows
+    else:
+        # a fingerprint that a library shares with a third of all files is met in pieces
+        many = lib.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        met = prints.withColumn("_salt", salt_of(16, "file_id")).join(many, ["fp", "_salt"])
+    shared = met.groupBy("file_id", "doc", "lib_file_id").agg(F.countDistinct("fp").alias("n"))
+    copies = shared.groupBy("file_id", "doc").agg(F.max("n").alias("n")).join(sizes, ["file_id", "doc"]).where((F.col("n") >= LEAST_SHARED) & (F.col("n") >= CONTAINED * F.col("n_prints")))
     wide = prints.select("fp", "repository").distinct().groupBy("fp").agg(F.count("repository").alias("n")).where(F.col("n") >= LEAST_REPOSITORIES).select("fp")
-    recurring = salted_semi_join(prints.select("file_id", "fp"), wide, ["fp"], ["file_id"]).groupBy("file_id").agg(F.countDistinct("fp").alias("n"))
-    recurring = recurring.join(sizes, "file_id").where((F.col("n_prints") >= LEAST_PRINTS) & (F.col("n") >= RECURS * F.col("n_prints")))
+    recurring = salted_semi_join(prints.select("file_id", "doc", "fp"), wide, ["fp"], ["file_id"]).groupBy("file_id", "doc").agg(F.countDistinct("fp").alias("n"))
+    recurring = recurring.join(sizes, ["file_id", "doc"]).where((F.col("n_prints") >= LEAST_PRINTS) & (F.col("n") >= RECURS * F.col("n_prints")))
     reasons = (
         seen.select("file_id", F.explode("why").alias("reason"))
         .unionByName(copies.select("file_id", F.lit("library copy").alias("reason")))

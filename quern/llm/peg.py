@@ -93,6 +93,24 @@ def many(part: Expr, least: int = 0) -> Expr:
     return run
 
 
+def balanced(pieces: str, opens: str = "(", closes: str = ")") -> Expr:
+    """What lies between an opening bracket and its partner, nested to any depth, without recursion. pieces: strings, comments and other text that is passed over whole."""
+    rx = re.compile(f"{pieces}|[\\s\\S]")
+
+    def run(p: Parse, at: int):
+        if not p.text.startswith(opens, at):
+            return None
+        depth = 0
+        for m in rx.finditer(p.text, at):
+            t = m.group()
+            depth += (t == opens) - (t == closes)
+            if depth == 0:
+                return m.end(), ()
+        return None
+
+    return run
+
+
 def maybe(part: Expr) -> Expr:
     """The part, or nothing."""
 

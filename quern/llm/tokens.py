@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,17 +20,18 @@ TOKENIZERS = "/opt/tokenizers"
 _MADE: dict = {}
 
 
-def _here(tables: tuple, kind: type):
-    """The word table of this worker, made once from the broadcast automaton."""
-    key = (kind, len(tables[0]))
-    if key not in _MADE:
-        _MADE[key] = kind(MergeAutomaton(*tables))
-    return _MADE[key]
+def _here(shared: tuple, kind: type):
+    """The word table of this worker, made once from the broadcast automaton of a vocabulary."""
+    digest, tables = shared
+    if (kind, digest) not in _MADE:
+        _MADE[kind, digest] = kind(MergeAutomaton(*tables))
+    return _MADE[kind, digest]
 
 
 def _shared(df: DataFrame, ranks: str):
-    """The automaton's table, built once in the driver; its size is that of the vocabulary (about 1 MB)."""
-    return df.sparkSession.sparkContext.broadcast(load_ranks(ranks).tables())
+    """(digest, the automaton's table), built once in the driver; its size is that of the vocabulary (about 1 MB)."""
+    tables = load_ranks(ranks).tables()
+    return df.sparkSession.sparkContext.broadcast((hashlib.sha256(pickle.dumps(tables)).hexdigest(), tables))
 
 
 def encode(df: DataFrame, text: str, key: str, ranks: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:

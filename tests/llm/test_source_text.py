@@ -81,3 +81,21 @@ def test_functions_come_with_their_bodies(spark):
     docs = spark.createDataFrame([(1, GOOD["python"].replace("doc (unclosed", "Walks rows from oldest to newest."))], "file_id long, text string")
     got = {r.symbol_id: r.code for r in docpairs.documented_functions(symbols, docs, files).collect()}
     assert set(got) == {1, 2, 3} and got[1].endswith("return -x") and got[2].strip() == "async def g(self):\n        await h(x)[0].y" and got[3] is None
+
+
+def test_parameters_nested_to_any_depth():
+    deep = "def f(a=" + "(" * 3_000 + "1" + ")" * 3_000 + "):\n    '''Adds the widgets of a tray.'''\n    return a\n"
+    assert [(g[0], g[5]) for g in functions(deep, "python")] == [("f", "'''Adds the widgets of a tray.'''")]
+
+
+def test_marks_are_judged_by_their_sentence():
+    assert handwritten.marked("# This file was automatically generated. Originally from the tray kit.\nx = 1\n")
+    assert not handwritten.marked("# The first draft of this file was generated by a tool.\nx = 1\n")
+
+
+def test_documents_of_a_file_are_judged_one_by_one(spark):
+    body = "\n".join(f"def walk_{i}(tray, size):\n    item{i} = tray.take({i}) + size * {i + 3}\n    return fold(item{i}, size - {i}, tray)[{i}:]" for i in range(40))
+    docs = spark.createDataFrame([(1, "r", body), (1, "r", "x = 1\n" * 3), (2, "r", None), (None, "r", "x"), (3, None, "y = 2\n")], "file_id long, repository string, text string")
+    library = spark.createDataFrame([(9, body)], "lib_file_id long, text string")
+    assert "library copy" in {r.file_id: r.reasons for r in handwritten.not_handwritten(docs, library).collect()}[1]
+    assert handwritten.not_handwritten(docs, library.limit(0)).where("array_contains(reasons, 'library copy')").count() == 0

@@ -86,3 +86,18 @@ def test_mixture(spark):
     assert sorted(map(tuple, big.collect())) == sorted(map(tuple, mixture.mix(df.where("source <> 'c'"), targets)[0].collect()))
     none, none_shares = mixture.mix(df.limit(0), targets)
     assert none.count() == 0 and none_shares.count() == 5
+
+
+def test_vocabularies_of_one_size_are_told_apart(spark, tmp_path):
+    import base64
+
+    from quern.llm import tokens
+
+    def ranks(name, merges):
+        words = [bytes([i]) for i in range(256)] + merges
+        (tmp_path / name).write_text("".join(f"{base64.b64encode(w).decode()} {i}\n" for i, w in enumerate(words)))
+        return str(tmp_path / name)
+
+    df = spark.createDataFrame([(1, "abc")], "k int, text string").coalesce(1)
+    for name, merges, ids in (("a", [b"ab"], [256, 99]), ("b", [b"bc"], [97, 256])):
+        assert tokens.encode(df, "text", "k", ranks(name, merges)).first().ids == ids
