@@ -28,7 +28,7 @@ MOST_BROADCAST = 1_000_000
 #: Wordings by which programs mark what they write, in the languages of the corpus.
 GENERATED = re.compile(
     r"@generated\b|<auto-?generated\b|\bauto-?generated (?:file|code|by|from)\b|\bgenerated (?:by|from|with|using) \S+.*(?:do not|don't|never|not be) (?:edit|modif|change)"
-    r"|\bcode generated by\b|\b(?:file|code|source|module) (?:was|is|has been) (?:auto-?)?(?:produced|generated|created|written|made) (?:by|with|from)\b|\bmachine[- ](?:made|generated|written) by\b|\b(?:this is )?(?:an? )?(?:automatically|auto-?)generated\b.*(?:edit|modif|change|lost)"
+    r"|\b(?:file|code|source|module) (?:was|is|has been) (?:automatically |auto-?)(?:generated|produced|created|written)\b|\bcode generated by\b|\b(?:file|code|source|module) (?:was|is|has been) (?:auto-?)?(?:produced|generated|created|written|made) (?:by|with|from)\b|\bmachine[- ](?:made|generated|written) by\b|\b(?:this is )?(?:an? )?(?:automatically|auto-?)generated\b.*(?:edit|modif|change|lost)"
     r"|\b(?:automatisch|maschinell) (?:erzeugt|generiert|erstellt)\b|\b(?:erzeugt|generiert) (?:von|mit|aus)\b.*nicht (?:von hand )?(?:ändern|bearbeiten)|\barchivo (?:creado|generado|producido) (?:por|con|automáticamente)\b|\b(?:código|fichero) (?:creado|generado)\b.*\b(?:por|con|no editar|no modificar)\b"
     r"|\bfichier (?:est |a été )?(?:produit|généré|créé) (?:par|avec|à partir|automatiquement)\b|\bcode (?:est |a été )?généré\b",
     re.I,
