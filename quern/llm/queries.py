@@ -70,6 +70,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_pieces(spark, sf_dir).where("n_pieces > 1 AND piece_no = 0").select("model_id", "symbol_id")
 
 
+def p5_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each chunk's pieces give when their own parts are put together again, by hash, and how many are over the limit."""
+    specs = table(spark, sf_dir, "model_specs").select(F.col("id").alias("model_id"), (F.col("max_tokens") * 4).alias("limit"))
+    own = F.substring("piece", F.col("own_start") - F.col("start_char") + 1, F.col("end_char") - F.col("own_start"))
+    rows = p5_pieces(spark, sf_dir).join(F.broadcast(specs), "model_id")
+    rows = rows.groupBy("model_id", "symbol_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", own.alias("own")))).alias("parts"), F.sum((F.octet_length("piece") > F.col("limit")).cast("int")).alias("n_over"))
+    return rows.select("model_id", "symbol_id", F.sha2(F.array_join(F.transform("parts", lambda x: x["own"]), ""), 256).alias("hash"), "n_over")
+
+
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("kind = 'source' AND file_id IS NOT NULL").select("file_id", "text")
 
@@ -89,6 +98,12 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
+def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash of each document's text after encoding and decoding."""
+    ids = p8_ids(spark, sf_dir)
+    return tokens.decode(ids, "ids", "doc_id").select("doc_id", F.sha2("text", 256).alias("hash"))
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = tokens.count_tokens(table(spark, sf_dir, "documents"), "text", ["doc_id", "source"])
     return mixture.mix(docs, table(spark, sf_dir, "mix_targets"))
@@ -124,9 +139,11 @@ QUERIES = {
     "p3_reasons": p3_reasons,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p5_joined": p5_joined,
     "p7_found": p7_found,
     "p7_pairs": p7_pairs,
     "p8_ids": p8_ids,
+    "p8_roundtrip": p8_roundtrip,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
     "p10_found": p10_found,
@@ -134,5 +151,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "p5_joined": "SELECT DISTINCT m.id AS model_id, c.symbol_id, sha256(c.text) AS hash, CAST(0 AS BIGINT) AS n_over FROM chunks c, model_specs m WHERE c.text IS NOT NULL",
+    "p8_roundtrip": "SELECT doc_id, sha256(coalesce(text, '')) AS hash FROM documents",
     "p5_found": "SELECT DISTINCT m.id AS model_id, c.symbol_id FROM chunks c, model_specs m WHERE c.text IS NOT NULL AND octet_length(encode(c.text)) > 4 * m.max_tokens",
 }
