@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import pickle
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ from quern.llm.arrow import by_slices
 from quern.llm.bpe import MergeAutomaton, WordCodes, WordCounts, load_ranks, split_words
 
 #: Where the public vocabularies lie; a parameter of every operator here.
-TOKENIZERS = "/opt/tokenizers"
+TOKENIZERS = os.environ.get("QUERN_TOKENIZERS", "/opt/tokenizers")
 _MADE: dict = {}
 
 
