@@ -8,8 +8,10 @@ been merged further: the arcs a state lacks are those removed along the right sp
 for the tokens along the left spine of its label. So the table holds one entry per merge, and a transition is
 decided by walking two short spines and remembered.
 
-A word is encoded by the table in one pass over its bytes: the last token of each prefix is the one token that
-ends there and may follow the last token of the prefix before it. Decoding emits the arcs' labels.
+The labels of the arcs are compiled into one table of transitions over bytes: its state after a byte is the longest
+end of the text that begins a label, and names the tokens that end there, longest first. A word is encoded by the
+tables in one pass over its bytes: the last token of each prefix is the one token that ends there and may follow the
+last token of the prefix before it. Decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ def split_words(text: str) -> list[str]:
 class MergeAutomaton:
     """labels: the bytes of each token id. Tokens of more than one byte are added in the order of their ids' ranks."""
 
-    def __init__(self, labels: list[bytes], left: np.ndarray | None = None, right: np.ndarray | None = None):
+    def __init__(self, labels: list[bytes], left: np.ndarray | None = None, right: np.ndarray | None = None, steps: tuple | None = None):
         self.labels = labels
         self.ids = {b: i for i, b in enumerate(labels)}
         self.longest = max(map(len, labels), default=1)
@@ -47,12 +49,15 @@ class MergeAutomaton:
         if left is not None:
             self.left, self.right = left.tolist(), right.tolist()
             self.pairs = {(u, v): t for t, (u, v) in enumerate(zip(self.left, self.right)) if u >= 0}
+            keys, nodes, back, ending, shorter = steps if steps is not None else self._compiled()
+            self.goto = dict(zip(keys.tolist(), nodes.tolist()))
+            self.back, self.ending, self.shorter = back.tolist(), ending.tolist(), shorter.tolist()
             return
         self.left, self.right = [-1] * len(labels), [-1] * len(labels)
         ids, self.ids = self.ids, {b: i for b, i in self.ids.items() if len(b) == 1}
         for t, label in enumerate(labels):
             if len(label) > 1:
-                parts = self.encode_word(label)
+                parts = self._parts(label)
                 if len(parts) != 2:
                     raise ValueError(f"token {t} is not made by one merge")
                 self.left[t], self.right[t] = parts
@@ -61,10 +66,46 @@ class MergeAutomaton:
                 self.allowed.clear() if len(self.allowed) > 100_000 else self.allowed.pop((parts[0], parts[1]), None)
         self.allowed.clear()
         self.ids = ids
+        keys, nodes, back, ending, shorter = self._compiled()
+        self.goto = dict(zip(keys.tolist(), nodes.tolist()))
+        self.back, self.ending, self.shorter = back.tolist(), ending.tolist(), shorter.tolist()
 
-    def tables(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    def tables(self) -> tuple:
         """What another process needs to run the automaton without building it."""
-        return self.labels, np.array(self.left, np.int32), np.array(self.right, np.int32)
+        return self.labels, np.array(self.left, np.int32), np.array(self.right, np.int32), self._compiled()
+
+    def _compiled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Transitions (node and byte to node), the node to go back to, the longest token that ends in a node, and of each token the next shorter one that ends where it does."""
+        goto: dict[int, int] = {}
+        own, last = [-1], {}
+        for t, label in enumerate(self.labels):
+            node = 0
+            for byte in label:
+                node_, key = len(own), node << 8 | byte
+                node = goto.setdefault(key, node_)
+                if node == node_:
+                    own.append(-1)
+            if label and own[node] < 0:
+                own[node], last[t] = t, node
+        children: dict[int, list[tuple[int, int]]] = {}
+        for key, node in goto.items():
+            children.setdefault(key >> 8, []).append((key & 255, node))
+        back, ending = [0] * len(own), list(own)
+        level = [0]
+        while level:
+            onward = []
+            for node in level:
+                for byte, child in children.get(node, ()):
+                    at = back[node]
+                    while node and at and (at << 8 | byte) not in goto:
+                        at = back[at]
+                    back[child] = goto.get(at << 8 | byte, 0) if node else 0
+                    if ending[child] < 0:
+                        ending[child] = ending[back[child]]
+                    onward.append(child)
+            level = onward
+        shorter = [ending[back[last[t]]] if t in last else -1 for t in range(len(self.labels))]
+        return np.fromiter(goto, np.int64, len(goto)), np.fromiter(goto.values(), np.int32, len(goto)), np.array(back, np.int32), np.array(ending, np.int32), np.array(shorter, np.int32)
 
     def follows(self, a: int, b: int) -> bool:
         """Whether the state after token a has an arc b."""
@@ -88,7 +129,28 @@ class MergeAutomaton:
         return True
 
     def encode_word(self, word: bytes) -> list[int]:
-        """Token ids of one word."""
+        """Token ids of one word, by the tables."""
+        whole = self.ids.get(word)
+        if whole is not None:
+            return [whole]
+        goto, back, ending, shorter, labels = self.goto, self.back, self.ending, self.shorter, self.labels
+        last = [-1] * (len(word) + 1)
+        node = 0
+        for end, byte in enumerate(word, 1):
+            while (step := goto.get(node << 8 | byte)) is None and node:
+                node = back[node]
+            node = step or 0
+            t = ending[node]
+            while t >= 0:
+                start = end - len(labels[t])
+                if start == 0 or last[start] >= 0 and self.follows(last[start], t):
+                    last[end] = t
+                    break
+                t = shorter[t]
+        return self._read(last)
+
+    def _parts(self, word: bytes) -> list[int]:
+        """Token ids of a word by the tokens known so far, while the automaton is built."""
         whole = self.ids.get(word)
         if whole is not None:
             return [whole]
@@ -100,6 +162,11 @@ class MergeAutomaton:
                 if t is not None and (start == 0 or (last[start] >= 0 and self.follows(last[start], t))):
                     last[end] = t
                     break
+        return self._read(last)
+
+    def _read(self, last: list[int]) -> list[int]:
+        """The tokens of a word from the last token of each of its prefixes."""
+        n = len(last) - 1
         out, end = [], n
         while end > 0:
             t = last[end]
