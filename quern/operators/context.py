@@ -24,8 +24,11 @@ def condensed(symbols: DataFrame, files: DataFrame | None = None) -> DataFrame:
 
 def detailed(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     """(symbol_id, text): signature, documentation up to 200 characters, calls, callers and lines of each symbol."""
-    out = calls.where("caller_id IS NOT NULL").groupBy(F.col("caller_id").alias("symbol_id")).agg(F.array_join(F.array_sort(F.collect_set("callee_name")), ", ").alias("calls"))
-    who = calls.join(symbols.select(F.col("symbol_id").alias("caller_id"), F.col("name").alias("caller")), "caller_id").groupBy(F.col("callee_name").alias("name")).agg(F.array_join(F.array_sort(F.collect_set("caller")), ", ").alias("called_by"))
+    # repeated edges go inside the map tasks, so that a hot name brings each of its callers once
+    out = calls.where("caller_id IS NOT NULL").select(F.col("caller_id").alias("symbol_id"), "callee_name").distinct()
+    out = out.groupBy("symbol_id").agg(F.array_join(F.array_sort(F.collect_list("callee_name")), ", ").alias("calls"))
+    who = calls.join(symbols.select(F.col("symbol_id").alias("caller_id"), F.col("name").alias("caller")), "caller_id").select(F.col("callee_name").alias("name"), "caller").distinct()
+    who = who.groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("caller")), ", ").alias("called_by"))
     rows = symbols.join(out, "symbol_id", "left").join(who, "name", "left")
     part = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"  {label}: "), c, F.lit("\n"))).otherwise("")
     doc = F.when(F.length("documentation") > 200, F.concat(F.substring("documentation", 1, 200), F.lit("..."))).otherwise(F.col("documentation"))
