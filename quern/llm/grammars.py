@@ -318,7 +318,7 @@ bin: term % op
 args: ((expr | typename | morearg) % ',')?
 place: unary* primary trailer* ('++' | '--')?
 lead: place assign
-end: bin
+end: bin | brace
 deepest: lead* end
 deep: (lead | bin '?' deepest? ':')* end
 mid: (lead | bin '?' (deep % ',')? ':')* end
@@ -362,6 +362,7 @@ moreend:
 moretest: 'NEVER'
 morehead: 'NEVER'
 moreif:
+brace: 'NEVER'
 morecore: 'NEVER'
 morefield: 'NEVER'
 morebody:
@@ -378,13 +379,13 @@ operators: '+' | '-' | '*' | '/' | '%' | '^' | '&' | '|' | '~' | '!' | '=' | '<'
 operator: 'operator' operators
 dname: '...'? qualified ('~'? name angle? | operator angle?)
 ename: qualified ('~'? name angle? | operator angle?) | prim+ | 'typename' '::'? (name angle? '::' 'template'?)* name angle?
-dotname: 'template'? qualified ('~' (name | prim) | name angle? | operator)
+dotname: 'template'? qualified ('~' (name | prim) angle? | name angle? | operator)
 tag: ('struct' | 'union' | 'class') attr* qualified name angle? 'final'? bases '{' fields '}' | ('struct' | 'union' | 'class') attr* bases '{' fields '}' | ('struct' | 'union' | 'class') attr* qualified name angle?
   | 'enum' ('class' | 'struct')? attr* (qualified name)? (':' specs)? '{' enums '}' | 'enum' ('class' | 'struct')? attr* qualified name (':' specs)?
 bases: (':' ('public' | 'private' | 'protected' | 'virtual' | attr)* base0 (',' ('public' | 'private' | 'protected' | 'virtual' | attr)* base0)*)?
 base0: 'typename'? qualified name angle? '...'? | 'decltype' '(' ANY ')'
 pointer: ('*' qual* | '&' qual* | '&&' qual* | (name angle? '::')+ '*')* '...'?
-after: ('const' | 'volatile' | '&' | '&&' | 'noexcept' ('(' ANY ')')? | 'throw' '(' ANY ')' | 'override' | 'final' | attr)* ('->' specs pointer dsuffix0?)? ('requires' requirement)?
+after: ('const' | 'volatile' | '&' | '&&' | 'noexcept' ('(' ANY ')')? | 'throw' '(' ANY ')' | 'override' | 'final' | attr)* ('->' specs pointer dsuffix0?)? ('override' | 'final')* ('requires' requirement)?
 dsuffix0: '(' params ')'
 requirement: ('!'? (qualified name angle? ('(' ANY ')')? | '(' ANY ')' | 'requires' ('(' ANY ')')? '{' ANY '}' | 'true' | 'false')) % ('&&' | '||')
 moreq: 'virtual' | 'explicit' ('(' ANY ')')? | 'constexpr' | 'consteval' | 'constinit' | 'friend' | 'mutable' | 'thread_local'
@@ -408,6 +409,7 @@ moretest: specs pointer (dname | '[' name % ',' ']') (init | ':' expr) | declara
 test2: seq | specs pointer dname init
 morehead: 'for' '(' declaration? specs pointer (dname | '[' name % ',' ']') ':' (expr | '{' inits '}') ')' | attr
 moreif: 'constexpr'?
+brace: place '=' '{' inits '}'
 catch: 'catch' '(' (specs pointer (declarator | abstract)? | '...') ')' body
 morecore: 'try' body catch+ | 'using' (('namespace' | 'typename')? qualified name angle? | name attr* '=' typename | 'enum' qualified name) ';' | 'namespace' name '=' qualified name ';' | specs pointer '[' name % ',' ']' ('=' expr | '{' inits '}' | '(' args ')') ';'
   | 'static_assert' '(' ANY ')' ';' | ('co_return') (seq | '{' inits '}')? ';' | 'throw' seq? ';' | kindly

@@ -68,6 +68,7 @@ VALID = {
         "namespace a::b { template <typename T, int N = 3> class C final : public D<T>, private E { public: explicit C(int x) : D<T>(x), y{x} {} ~C() override = default; C& operator=(const C&) = delete; operator bool() const noexcept { return y; } virtual void f() = 0; private: int y; }; }\n",
         "auto f(const std::map<int, std::vector<T>>& m, T&&... a) -> decltype(g(a...)) { auto h = [&, x = 1](auto&& y) mutable -> int { return y; }; for (auto& [k, v] : m) { if (auto it = m.find(k); it != m.end()) h(v); } return static_cast<int>(x) + new int[3][1]; }\n",
         "enum class E : int { A, B = 2 };\nusing V = std::vector<E>;\ntemplate <class... T> void g(T... t) { (h(t), ...); try { throw X{}; } catch (const Y& e) { } catch (...) { } }\nstd::ostream& operator<<(std::ostream& o, const E& e) { return o << \"a\" << e; }\n",
+        "struct S : B { auto f() const -> std::pair<int, T> override; void g() { a.b = { 1, 2 }; p->~V<int>(); } };\n",
         "A::A(int x) : b(x), c{1, 2} { }\nint A::f() const { return this->b ? c.d() : nullptr == e; }\nextern template class std::vector<int>;\nconstexpr auto s = R\"(a\"b)\"sv;\n",
     ],
     "ruby": [
