@@ -173,6 +173,7 @@ class Engine:
     def get_project_overview(self) -> DataFrame:
         """One row: numbers of files and symbols, files per language, and what is supported per language."""
         langs = stats.language_breakdown(self.files).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "n")))).alias("languages"))
+        # fixed values: what is published as supported, the same for all languages
         levels = F.struct(F.lit(True).alias("l1_ast"), F.lit(True).alias("l2_call_graph"), F.lit(False).alias("l3_cfg"), F.lit(False).alias("l4_dfg"), F.lit(False).alias("l5_pdg"))
         support = F.create_map(*[x for lang in sorted(set(LANGUAGES.values())) for x in (F.lit(lang), levels)])
         return stats.overview(self.files, self.symbols).crossJoin(F.broadcast(langs)).withColumn("language_support", support)  # one row each
