@@ -6,7 +6,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.arrow import by_slices
-
-#: Characters of prose and of source texts the potentials are estimated on, at most about so many (a bounded sample; every text is searched).
-SAMPLE, SOURCES = 8_000_000, 2_000_000
+from quern.plans.tables import cut_lineage
 
 # ---- spans of a fixed form ------------------------------------------------------------------------------
 
@@ -53,15 +51,23 @@ _LOOSE = (
 
 
 #: What a line must hold for a mention of a kind: no form of that kind can match without it.
-_NEEDS_AT = re.compile(r"[@＠]|\bat\b|\(a(?:t\))?|\[at|\{at", re.I)
+_NEEDS_AT = re.compile(r"@(?:(?<=[\w.+%-]@)|(?<=[\w.+-] @))|＠|\([aA][tT]?\)|\[[aA][tT]\]|\{[aA][tT]\}")
+_NEEDS_SPELLED_AT = re.compile(r"[ \t][aA][tT][ \t][\w-]+[ \t][(\[]?[dD][oO][tT]")
 _NEEDS_DIGITS = re.compile(r"\d(?:[^\d\n]{0,4}\d){5}")
 _NEEDS_PLACE = re.compile(rf"\d(?:[a-z]|[ ]?(?:bis|ter|quater))?,?[ ](?:[A-ZÀ-ÖØ-Þ]|{_STREET_FR})|{_CAP}[.,]?[ ](?:n\.?º[ ])?\d")
 _DIGIT = re.compile(r"\d")
+#: The first alternative of ``_NEEDS_PLACE``, from its digit.
+_BEFORE_PLACE = re.compile(rf"\d(?:[a-z]|[ ]?(?:bis|ter|quater))?,?[ ](?:[A-ZÀ-ÖØ-Þ]|{_STREET_FR})")
+#: Tables over Latin-1, in which all other characters are question marks: what may stand before the space before a number, and first in a word.
+_BEFORE_SPACE = np.array([chr(c).isalnum() or chr(c) in "_'-.,?º" for c in range(256)])
+_LETTER = np.array([chr(c).isalpha() or c == 63 for c in range(256)])
+_SMALL, _COMMA_OR_SPACE, _BTQ, _IEU = (np.array([chr(c) in some for c in range(256)]) for some in ("abcdefghijklmnopqrstuvwxyz", ", ", "btq", "ieu"))
+_ASCII = bytes(range(128))
 
 
 def possible(text: str) -> set[str]:
     """The kinds of which a line may hold a mention."""
-    may = {"email"} if _NEEDS_AT.search(text) else set()
+    may = {"email"} if _NEEDS_AT.search(text) or _NEEDS_SPELLED_AT.search(text) else set()
     if _DIGIT.search(text):
         if _NEEDS_DIGITS.search(text):
             may |= {"id_number", "phone"}
@@ -70,6 +76,48 @@ def possible(text: str) -> set[str]:
     return may
 
 
+def lines_with_forms(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the lines of a text that may hold a mention, in order; no other line has a candidate."""
+    found: dict[int, int] = {}
+
+    def add(at: int) -> int:
+        end = text.find("\n", at)
+        end = found[text.rfind("\n", 0, at) + 1] = len(text) if end < 0 else end
+        return end
+
+    low = text.lower()
+    searched = [_NEEDS_AT] * ("@" in text or "＠" in text or any(x in low for x in ("(a)", "(at)", "[at]", "{at}"))) + [_NEEDS_SPELLED_AT] * ("at" in low and "dot" in low)
+    if not text.isascii() and any(c.isdecimal() for c in text.encode("utf-8", "replace").translate(None, _ASCII).decode("utf-8", "replace")):
+        searched += [_NEEDS_DIGITS, _NEEDS_PLACE]  # digits of other scripts
+    for rx in searched:
+        m = rx.search(text)
+        while m:
+            m = rx.search(text, add(m.start()))
+    marks = np.frombuffer(b"\n\n" + text.encode("latin-1", "replace") + b"\n\n\n\n", np.uint8)
+    digits = np.flatnonzero(marks - np.uint8(48) < 10)
+    if not len(digits):
+        return sorted(found.items())
+    lines = np.searchsorted(np.flatnonzero(marks == 10), digits)
+    # six digits of a line with at most four others between each two
+    close = (np.diff(digits) <= 5) & (lines[1:] == lines[:-1])
+    if len(close) >= 5:
+        first = np.flatnonzero(close[:-4] & close[1:-3] & close[2:-2] & close[3:-1] & close[4:])
+        for at in digits[first[np.unique(lines[first], return_index=True)[1]]].tolist():
+            add(at - 2)
+    # a number behind a word with a capital
+    for at in digits[(marks[digits - 1] == 32) & _BEFORE_SPACE[marks[digits - 2]]].tolist():
+        start = max(text.rfind("\n", 0, at - 3), text.rfind(" ", 0, at - 3)) + 1
+        word = text[start : at - 3]
+        if "º" in word or word != word.lower():
+            add(at - 2)
+    # a number before a capital or a word for streets
+    a, b, c = (marks[digits + k] for k in (1, 2, 3))
+    for at in digits[(a == 32) & _LETTER[b] | (a == 44) & (b == 32) & _LETTER[c] | _SMALL[a] & _COMMA_OR_SPACE[b] | _BTQ[a] & _IEU[b]].tolist():
+        if _BEFORE_PLACE.match(text, at - 2):
+            add(at - 2)
+    return sorted(found.items())
+
+
 def candidates(text: str) -> list[tuple[int, int, str, bool]]:
     """(start, end, kind, whether its form alone is that of the kind) of what may be a mention, in order, none overlapping; forms come before loose ones, the earlier kind first."""
     taken: list[tuple[int, int, str, bool]] = []
@@ -104,7 +152,8 @@ def around(text: str, start: int, end: int) -> tuple[str, str]:
 
 # ---- potentials for names -------------------------------------------------------------------------------
 
-_TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*\.?|\d+|[^\w\s]")
+#: A final point stays with an initial only.
+_TOKEN = re.compile(r"[^\W\d_]{2,}(?:['’-][^\W\d_]+)*|[^\W\d_](?:(?:['’-][^\W\d_]+)+|\.?)|\d+|[^\w\s]")
 _INITIAL = re.compile(r"[^\W\d_]\.$")
 #: Titles that stand before a name and are not part of it.
 TITLES = frozenset("mr mrs ms miss dr prof herr frau fräulein mme mlle monsieur madame señor señora sr sra don doña sir".split())
@@ -121,6 +170,8 @@ class Potentials:
         #: Words met so often that they would be names by now if they were.
         self.refused: frozenset[str] = frozenset()
 
+        self.known_lines: dict[str, list[tuple[str, int, int, float]]] = {}
+
         #: Weights of the features of a word, of a form by kind, and of the edges; ``train`` sets them.
         self.word: list[float] = [-2.6, 4.2, 1.6, 0.4, -4.5, -1.0, 0.8, 0.56, 0.0, -1.0]
         self.form: dict[str, list[float]] = {}
@@ -130,7 +181,7 @@ class Potentials:
         self.skip: dict[str, float] = {"same": 1.2, "similar": 0.5, "form": 2.0}
 
     def state(self) -> dict:
-        return dict(self.__dict__)
+        return self.__dict__ | {"known_lines": {}}
 
     @classmethod
     def of(cls, state: dict) -> Potentials:
@@ -139,131 +190,80 @@ class Potentials:
         return p
 
     def fit(self, texts: list[str], sources: Iterable[str] = (), rounds: int = 2) -> Potentials:
-        """Piecewise estimates from texts in which the known names are the labels.
+        """Estimates from texts at hand, see ``learn``."""
+        facts: Tally = defaultdict(lambda: [0] * WIDTH)
+        for source, some in ((False, texts), (True, sources)):
+            for t in some:
+                count_text(t, source, facts)
+        return self.learn(Counts(facts), rounds)
+
+    def learn(self, counts: Counts, rounds: int = 2) -> Potentials:
+        """Piecewise estimates from the counts of all texts, in which the known names are the labels.
 
         The weight of a neighbour is the log-odds ratio of standing beside a known name against standing beside
         another capitalised word. Words that score as names again and again by their neighbours join the lexicon
         with the role of their place, and the weights are estimated once more.
         """
-        wording = ["\n".join(m.group() for m in _WORDING.finditer(t)) for t in sources]
-        lines = [line_tokens(hide(s, spans_of_form(s))) for t in [*texts, *wording] for s in t.split("\n") if s.strip()]
-        lower: Counter = Counter()
-        upper: Counter = Counter()
-        for toks in lines:
-            for i, (w, _, _) in enumerate(toks):
-                if len(w) > 1 and w[0].isalpha():
-                    (lower if w[0].islower() else upper)[w.lower().rstrip(".")] += 1
-        self.ordinary = frozenset(w for w, n in lower.items() if n >= 3 and w not in self.role and n > 0.5 * upper[w])
+        self.known_lines = {}
+        words = counts.words()
+        self.ordinary = frozenset(w for w, (low, up, *_) in words.items() if low >= 3 and up and w not in self.role and low > 0.5 * up)
         for _ in range(rounds):
-            pos_b, neg_b, pos_a, neg_a = Counter(), Counter(), Counter(), Counter()
-            for toks in lines:
-                names = [self.looks_like(w) and w.lower() in self.role for w, _, _ in toks]
-                for i, (w, _, _) in enumerate(toks):
-                    if not self.looks_like(w) or _INITIAL.match(w):
-                        continue
-                    b, a = self.context(toks, i)
-                    (pos_b if names[i] else neg_b)[b] += 1
-                    (pos_a if names[i] else neg_a)[a] += 1
-            base = math.log((sum(pos_b.values()) + 1) / (sum(neg_b.values()) + 1))
-            weigh = lambda p, n: {k: max(-2.0, min(4.0, math.log((p[k] + 0.3) / (n[k] + 1.0)) - base)) for k in {*p, *n} if p[k] + n[k] >= 3}
-            self.before, self.after = weigh(pos_b, neg_b), weigh(pos_a, neg_a)
-            votes: dict[str, list[float]] = defaultdict(list)
-            roles: dict[str, Counter] = defaultdict(Counter)
-            for toks in lines:
-                for i, (w, _, _) in enumerate(toks):
-                    if not self.looks_like(w) or _INITIAL.match(w) or w.lower() in self.role or len(w) < 3 or w.lower() in self.ordinary:
-                        continue
-                    b, a = self.context(toks, i)
-                    votes[w.lower()].append(self.before.get(b, 0.0) + self.after.get(a, 0.0))
-                    nxt, prv = (toks[i + 1][0] if i + 1 < len(toks) else ""), (toks[i - 1][0] if i else "")
-                    is_family = self.role.get(prv.lower()) == "given" or _INITIAL.match(prv)
-                    is_given = self.role.get(nxt.lower()) == "family" or (_INITIAL.match(nxt) and i + 2 < len(toks) and self.role.get(toks[i + 2][0].lower()) == "family")
-                    if is_family or is_given:
-                        roles[w.lower()]["family" if is_family else "given"] += 1
-            for w, v in votes.items():
-                r = roles.get(w, Counter())
-                if len(v) >= 3 and sorted(v)[len(v) // 2] >= 1.0 and sum(r.values()) >= 0.2 * len(v) and sum(x > 1.0 for x in v) >= 0.6 * len(v):
-                    self.role[w] = "family" if r["family"] >= r["given"] else "given"
-        often = Counter(w.lower() for toks in lines for w, _, _ in toks if self.looks_like(w) and len(w) > 2)
-        self.refused = frozenset(w for w, n in often.items() if n >= 3 and w not in self.role)
-        self.train_forms(texts)
-        self.train_words(lines)
+            beside = counts.over(count_neighbours, self, "n0 + n1 >= 3 OR key = ''")
+            pos, neg = beside.pop(("",), (0, 0))[:2]
+            base = math.log((pos + 1) / (neg + 1))
+            weigh = lambda side: {k[1]: steps(max(-2.0, min(4.0, math.log((p + 0.3) / (n + 1.0)) - base))) for k, (p, n, *_) in beside.items() if k[0] == side and p + n >= 3}  # noqa: B023, E731
+            self.before, self.after = weigh("b"), weigh("a")
+            votes = counts.over(count_votes, self, "n0 >= 3 AND n2 >= 0.6 * n0")
+            for (w,), (n, least, more, family, given) in votes.items():
+                # the upper median of the scores is at least 1
+                if n >= 3 and least >= n - n // 2 and family + given >= 0.2 * n and more >= 0.6 * n:
+                    self.role[w] = "family" if family >= given else "given"
+        self.refused = frozenset(w for w, (_, _, n, *_) in words.items() if n >= 3 and w not in self.role)
+        self.train_forms(counts)
+        self.train_words(counts.over(count_labels, self, "true", everywhere=True))
         return self
 
-    def train_forms(self, texts: list[str]) -> None:
+    def train_forms(self, counts: Counts) -> None:
         """Weights of forms: what has the form of a kind against what only may be one, by their neighbours.
 
         The form itself is hidden from a third of the rows, so that the words around get weights of their own.
         """
-        rows: dict[str, list[tuple[str, str, bool]]] = defaultdict(list)
-        pairs = Counter()
-        for t in texts:
-            seen: dict[tuple, bool] = {}
-            for line in t.split("\n"):
-                for s, e, kind, sure in candidates(line):
-                    rows[kind].append((*around(line, s, e), sure))
-                    same = (kind, value_of(kind, line[s:e]))
-                    if same in seen:
-                        pairs[seen[same] == sure] += 1
-                    seen[same] = sure
-        for kind, got in rows.items():
-            cues = []
-            for side in (0, 1):
-                good, bad = Counter(r[side] for r in got if r[2]), Counter(r[side] for r in got if not r[2])
-                base = math.log((sum(good.values()) + 1) / (sum(bad.values()) + 1))
-                cues.append({w: max(-3.0, min(3.0, math.log((good[w] + 0.5) / (bad[w] + 0.5)) - base)) for w in {*good, *bad} if good[w] + bad[w] >= 3})
+        sides, pairs = counts.form_sides()
+        total = {k[0]: n for k, n in sides.items() if len(k) == 1}
+        for kind, (good, bad, *_) in total.items():
+            base = math.log((good + 1) / (bad + 1))
+            cues = [{k[2]: steps(max(-3.0, min(3.0, math.log((g + 0.5) / (b + 0.5)) - base))) for k, (g, b, *_) in sides.items() if len(k) == 3 and k[:2] == (kind, side) and g + b >= 3} for side in "ba"]
             self.cues[kind] = (cues[0], cues[1])
-            x = np.array([[1.0, float(sure and i % 3 > 0), cues[0].get(b, 0.0), cues[1].get(a, 0.0)] for i, (b, a, sure) in enumerate(got)])
-            self.form[kind] = logistic(x, np.array([r[2] for r in got], float))
+        rows: dict[str, list[tuple[list[float], float, float]]] = defaultdict(list)
+        for (kind, left, right), (good, bad, *_) in counts.form_rows(self).items():
+            cue = [float(left), float(right)]
+            rows[kind] += [([1.0, 1.0, *cue], 1.0, good * 2 / 3), ([1.0, 0.0, *cue], 1.0, good / 3), ([1.0, 0.0, *cue], 0.0, float(bad))]
+        for kind, got in sorted(rows.items()):
+            x, y, n = (np.array(v, float) for v in zip(*sorted(r for r in got if r[2])))
+            self.form[kind] = logistic(x, y, n)
             # what only may be of the kind starts from how often it is met, not from the rows whose form was hidden
-            self.loose[kind] = -math.log(2 * sum(not r[2] for r in got) + 1)
-        self.skip["form"] = max(0.5, min(3.0, math.log((pairs[True] + 1) / (pairs[False] + 1))))
-
-    def train_words(self, lines: list) -> None:
-        """Weights of words and edges from lines in which the words of the lexicon are the labels.
+            self.loose[kind] = -math.log(2 * total[kind][1] + 1)
+        self.skip["form"] = max(0.5, min(3.0, math.log((pairs[0] + 1) / (pairs[1] + 1))))
 
-        Half of the lexicon is hidden from the features, so that the words around and the shape get weights of their own.
-        """
-        x, y = [], []
-        near, lone, alike, apart = Counter(), Counter(), Counter(), Counter()
-        for toks in lines:
-            roles = [self.role.get(w.lower()) for w, _, _ in toks]
-            # a known name in lower case is one beside a name of the other role
-            labels = [r is not None and (self.looks_like(toks[i][0]) or any(0 <= j < len(roles) and roles[j] is not None and roles[j] != r for j in (i - 1, i + 1))) for i, r in enumerate(roles)]
-            for i, (w, _, _) in enumerate(toks):
-                # an initial beside a name is part of it
-                name = labels[i] = labels[i] or bool(_INITIAL.match(w)) and (i > 0 and labels[i - 1] or i + 1 < len(toks) and labels[i + 1])
-                if self.looks_like(w) and w.lower().rstrip(".") not in TITLES or w.lower() in self.role:
-                    x.append(self.features(toks, i, hidden=zlib.crc32(w.lower().encode()) % 2 == 0))
-                    y.append(float(name))
-            for i in range(len(toks) - 1):
-                if self.looks_like(toks[i][0]) and self.looks_like(toks[i + 1][0]):
-                    near["space", labels[i], labels[i + 1]] += 1
-                elif toks[i + 1][0] == "," and i + 2 < len(toks) and self.looks_like(toks[i][0]) and self.looks_like(toks[i + 2][0]):
-                    near["comma", labels[i] and roles[i] == "family", labels[i + 2] and roles[i + 2] == "given"] += 1
-            stems: dict[str, tuple[str, bool]] = {}
-            for (w, _, _), name in zip(toks, labels):
-                if len(w) > 3 and self.looks_like(w):
-                    low = w.lower()
-                    if stem_of(low) in stems:
-                        other, was = stems[stem_of(low)]
-                        (alike if other == low else apart)[was == name] += 1
-                    stems[stem_of(low)] = (low, name)
-            lone.update(labels)
-        if len(y) < 200 or not 0 < sum(y) < len(y):
+    def train_words(self, got: dict[tuple[str, ...], list[int]]) -> None:
+        """Weights of words and edges from the counts of lines in which the words of the lexicon are the labels."""
+        rows = sorted(([float(v) for v in k[2:]], float(k[1]), float(n[0])) for k, n in got.items() if k[0] == "x")
+        if sum(r[2] for r in rows) < 200 or len({r[1] for r in rows}) < 2:
             return
-        self.word = logistic(np.array(x), np.array(y))
+        x, y, n = (np.array(v, float) for v in zip(*rows))
+        self.word = logistic(x, y, n)
         for gap in ("space", "comma"):
-            n = lambda a, b: near[gap, a, b] + 0.5  # noqa: B023, E731
+            n = lambda a, b: got.get((gap, str(a), str(b)), [0])[0] + 0.5  # noqa: B023, E731
             # half of the log-odds ratio: both words see the same cues, so each tells the other little more
-            self.chain[gap] = max(0.3, min(4.0, 0.5 * math.log(n(True, True) * n(False, False) / (n(True, False) * n(False, True)))))
+            self.chain[gap] = max(0.3, min(4.0, 0.5 * math.log(n(1, 1) * n(0, 0) / (n(1, 0) * n(0, 1)))))
         self.chain["sure"] = max(self.chain["space"], min(5.0, 2.0 * self.chain["space"]))
-        self.skip["same"] = max(0.3, min(1.5, 0.5 * math.log((alike[True] + 1) / (alike[False] + 1))))
-        self.skip["similar"] = max(0.0, min(self.skip["same"], 0.25 * math.log((apart[True] + 1) / (apart[False] + 1))))
+        alike, apart = ([got.get((k, "1"), [0])[0] + 1, got.get((k, "0"), [0])[0] + 1] for k in ("alike", "apart"))
+        self.skip["same"] = max(0.3, min(1.5, 0.5 * math.log(alike[0] / alike[1])))
+        self.skip["similar"] = max(0.0, min(self.skip["same"], 0.25 * math.log(apart[0] / apart[1])))
 
-    def features(self, toks: list, i: int, hidden: bool = False) -> list[float]:
+    def features(self, toks: list[str], i: int, hidden: bool = False) -> list[float]:
         """bias, known, known in lower case, initial, ordinary word, other word, cue before, cue after, all in capitals, met often and no name."""
-        w = toks[i][0]
+        w = toks[i]
         low = w.lower()
         known = low in self.role and not hidden
         large = self.looks_like(w)
@@ -287,34 +287,53 @@ class Potentials:
     def looks_like(w: str) -> bool:
         return w[0].isupper() and (len(w) > 1 or w.isalpha())
 
-    def context(self, toks: list, i: int) -> tuple[str, str]:
+    def context(self, toks: list[str], i: int) -> tuple[str, str]:
         """What stands before and after; parts of the same name are skipped, so that all its words see the cue.
 
         An unknown capitalised word is skipped too unless it opens a sentence.
         """
 
         def part(k: int) -> bool:
-            w = toks[k][0]
+            w = toks[k]
             low = w.lower()
             if low in self.role or _INITIAL.match(w):
                 return True
             if w == ",":
-                return 0 < k < len(toks) - 1 and self.role.get(toks[k - 1][0].lower()) == "family"
-            return self.looks_like(w) and low.rstrip(".") not in TITLES and k > 0 and toks[k - 1][0][0].isalpha() and self.before.get(low, 0.0) < 1.5
+                return 0 < k < len(toks) - 1 and self.role.get(toks[k - 1].lower()) == "family"
+            return self.looks_like(w) and low.rstrip(".") not in TITLES and k > 0 and toks[k - 1][0].isalpha() and self.before.get(low, 0.0) < 1.5
 
         b = i - 1
         while b >= 0 and i - b < 4 and part(b):
             b -= 1
         a = i + 1
-        while a < len(toks) and a - i < 4 and toks[a][0] != "," and part(a):
+        while a < len(toks) and a - i < 4 and toks[a] != "," and part(a):
             a += 1
-        left = toks[b][0].lower() if b >= 0 else "^"
+        left = toks[b].lower() if b >= 0 else "^"
         if left in (",", ":", "(") and b > 0:
-            left = toks[b - 1][0].lower() + left
-        return left, (toks[a][0].lower() if a < len(toks) else "$")
-
-    def unary(self, toks: list, i: int) -> float:
-        w = toks[i][0]
+            left = toks[b - 1].lower() + left
+        return left, (toks[a].lower() if a < len(toks) else "$")
+
+    def nodes(self, line: str) -> list[tuple[str, int, int, float]]:
+        """(word, start, end, score) of the words of a line that may be of a name; an empty word where a chain of them ends. Lines met again are remembered."""
+        got = self.known_lines.get(line)
+        if got is None:
+            row = line_tokens(line)
+            words = [w for w, _, _ in row]
+            got = []
+            for i, (w, a, b) in enumerate(row):
+                u = self.unary(words, i) if w[0].isupper() or w.lower() in self.role else -9.0
+                if u > -8.0:
+                    got.append((w, a, b, u))
+                elif w != "," and got and got[-1][0]:
+                    got.append(("", a, b, u))
+            if len(self.known_lines) >= 20_000:
+                self.known_lines.clear()
+            if len(line) < 1000:
+                self.known_lines[line] = got
+        return got
+
+    def unary(self, toks: list[str], i: int) -> float:
+        w = toks[i]
         low = w.lower()
         role = self.role.get(low)
         initial = bool(_INITIAL.match(w)) and w[0].isupper()
@@ -325,12 +344,14 @@ class Potentials:
         return float(sum(f * g for f, g in zip(self.word, self.features(toks, i))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5, rounds: int = 60) -> list[float]:
-    """Weights of a logistic regression by Newton's method, with a small ridge."""
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, ridge: float = 1e-5, rounds: int = 60) -> list[float]:
+    """Weights of a logistic regression by Newton's method, with a small ridge; each row counts n times."""
     w = np.zeros(x.shape[1])
+    n = np.ones(len(y)) if n is None else n
+    ridge *= n.sum()
     for _ in range(rounds):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * len(y) * np.eye(len(w)), x.T @ (y - p) - ridge * len(y) * w)
+        step = np.linalg.solve((x * (n * (p * (1 - p) + 1e-9))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (n * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -356,15 +377,8 @@ def hide(line: str, spans: Iterable[tuple[int, int, str]]) -> str:
 
 
 def line_tokens(line: str) -> list[tuple[str, int, int]]:
-    """(text, start, end) of the tokens of a line; a final point stays with an initial only."""
-    out = []
-    for m in _TOKEN.finditer(line):
-        w, s, e = m.group(), m.start(), m.end()
-        if len(w) > 2 and w[-1] == ".":
-            out += [(w[:-1], s, e - 1), (".", e - 1, e)]
-        else:
-            out.append((w, s, e))
-    return out
+    """(text, start, end) of the tokens of a line."""
+    return [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(line)]
 
 
 def infer(unary: list[float], edges: list[tuple[int, int, float, bool]], rounds: int = 12) -> list[float]:
@@ -396,6 +410,21 @@ def infer(unary: list[float], edges: list[tuple[int, int, float, bool]], rounds:
     return belief
 
 
+def shown(text: str, lines: list[tuple[int, int]], found: list[tuple[int, int, str, bool]]) -> Iterator[tuple[int, str]]:
+    """Start and text of each of the lines. A span of a fixed form is no word: what it covers is hidden behind one mark."""
+    taken = [x for x in found if x[3]]
+    at = 0
+    for s, e in lines:
+        line = text[s:e]
+        while at < len(taken) and taken[at][1] <= s:
+            at += 1
+        k = at
+        while k < len(taken) and taken[k][0] < e:
+            line = hide(line, [(max(taken[k][0], s) - s, min(taken[k][1], e) - s, "")])
+            k += 1
+        yield s, line
+
+
 _SPACE = re.compile(r"[ \t]+\Z")
 
 
@@ -419,24 +448,11 @@ def mentions(text: str, lines: list[tuple[int, int]], found: list[tuple[int, int
     n_forms = len(toks)
     taken = [x for x in found if x[3]]
     where: dict[str, list[tuple[int, str]]] = {}
-    at = 0
-    for s, e in lines:
-        line = text[s:e]
-        # a span of a fixed form is no word: what it covers is hidden behind one mark
-        while at < len(taken) and taken[at][1] <= s:
-            at += 1
-        k = at
-        while k < len(taken) and taken[k][0] < e:
-            line = hide(line, [(max(taken[k][0], s) - s, min(taken[k][1], e) - s, "")])
-            k += 1
-        row = line_tokens(line)
+    for s, line in shown(text, lines, found):
         base = -1
-        for i, (w, a, b) in enumerate(row):
-            u = p.unary(row, i) if w[0].isupper() or w.lower() in p.role else -9.0
-            if u <= -8.0:
-                base = -1 if w != "," or base < 0 else base
-                if w != ",":
-                    base = -1
+        for w, a, b, u in p.nodes(line):
+            if not w:
+                base = -1
                 continue
             n = len(toks)
             toks.append((w, s + a, s + b))
@@ -480,55 +496,324 @@ def mentions(text: str, lines: list[tuple[int, int]], found: list[tuple[int, int
 
 #: Comments, docstrings and string literals of any of the languages. What is left open ends with its line.
 _WORDING = re.compile(
-    r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|/\*[\s\S]*?\*/|(?m:^)=begin\b[\s\S]*?(?m:^)=end\b|<!--[\s\S]*?-->|`[^`]*`"
+    r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|/\*[\s\S]*?\*/|=(?m:(?<=^=))begin\b[\s\S]*?(?m:^)=end\b|<!--[\s\S]*?-->|`[^`]*`"
     r"|//[^\n]*|#[^\n]*|--[^\n]*|;;[^\n]*|/\*[^\n]*|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?"
 )
 
 
+def parts_of(text: str, source: bool) -> tuple[list[tuple[int, int, str, bool]], list[tuple[int, int]]]:
+    """The candidates of every line of a text, and (start, end) of the lines to be read for names: all of prose, what is not only code of source."""
+    forms = [(s + a, s + b, k, sure) for s, e in lines_with_forms(text) for a, b, k, sure in candidates(text[s:e])]
+    lines = []
+    for at, part in ((m.start(), m.group()) for m in _WORDING.finditer(text)) if source else ((0, text),):
+        for line in part.split("\n"):
+            if line and not line.isspace():
+                lines.append((at, at + len(line)))
+            at += len(line) + 1
+    return forms, lines
+
+
 def find(text: str, source: bool, p: Potentials) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all personal information of a text, in order."""
-    forms, lines = [], []
-    at = 0
-    for line in text.split("\n"):
-        if line.strip():
-            lines.append((at, at + len(line)))
-            forms += [(at + s, at + e, k, sure) for s, e, k, sure in candidates(line)]
-        at += len(line) + 1
+    forms, lines = parts_of(text, source)
     if source:
-        # forms are looked for in every line; what is only code is not read for names
-        lines = []
-        for m in _WORDING.finditer(text):
-            at = m.start()
-            for part in m.group().split("\n"):
-                if part.strip():
-                    lines.append((at, at + len(part)))
-                at += len(part) + 1
-        lines = [x for x in lines if _source_name_line(text, x, p)]
+        lines = [x for x in lines if _source_name_line(text[x[0] : x[1]], p)]
     return mentions(text, lines, forms, p)
 
 
-def _source_name_line(text: str, line: tuple[int, int], p: Potentials) -> bool:
-    return any(w.lower() in p.role or w[0].isupper() for w in re.findall(r"[^\W\d_][\w'-]+", text[line[0] : line[1]]))
+_SOURCE_WORD = re.compile(r"[^\W\d_][\w'-]+")
+
+
+def _source_name_line(line: str, p: Potentials) -> bool:
+    if line.islower() or line.isascii() and line == line.lower():
+        return not p.role.keys().isdisjoint(_SOURCE_WORD.findall(line))
+    return any(w[0].isupper() or w.lower() in p.role for w in _SOURCE_WORD.findall(line))
+
+
+# ---- counts of all texts --------------------------------------------------------------------------------
+
+#: Sums by key; a key is a tuple of strings.
+Tally = dict[tuple[str, ...], list[int]]
+WIDTH, _SEP = 5, "\x1f"
+
+
+def steps(weight: float) -> float:
+    """A weight in steps of 1/32: however many texts there are, few pairs of weights differ, and their sums are exact."""
+    return round(weight * 32) / 32
+
+
+def count_text(text: str, source: bool, out: Tally) -> None:
+    """Adds what a text tells regardless of any model: its lines, and the neighbours of candidates."""
+    forms, lines = parts_of(text, source)
+    for _, line in shown(text, lines, forms):
+        out["l", line][0] += 1
+    if source:
+        return
+    seen: dict[tuple, bool] = {}
+    for s, e, kind, sure in forms:
+        start, end = text.rfind("\n", 0, s) + 1, text.find("\n", e)
+        line = text[start : len(text) if end < 0 else end]
+        out["f", kind, *around(line, s - start, e - start)][0 if sure else 1] += 1
+        same = (kind, value_of(kind, text[s:e]))
+        if same in seen:
+            out["p",][0 if seen[same] == sure else 1] += 1
+        seen[same] = sure
+
+
+def count_tokens(line: str, n: int, words: Counter, out: Tally) -> None:
+    """Adds the words of a line as they are written, and the line as tokens: L if it holds a capitalised word, else l."""
+    toks = _TOKEN.findall(line)
+    if not toks:
+        return
+    if n == 1:
+        words.update(toks)
+    else:
+        for w in toks:
+            words[w] += n
+    out["L" if line != line.lower() and large_words(toks) else "l", *toks][0] += n
+
+
+def count_words(words: Counter, out: Tally) -> None:
+    """Adds how often words stand in small letters, in others, and capitalised."""
+    for w, n in words.items():
+        if len(w) > 1 and w[0].isalpha():
+            v = out["w", w.lower().rstrip(".")]
+            if w[0].islower():
+                v[0] += n
+            else:
+                v[1] += n
+                v[2] += n * (w[0].isupper() and len(w) > 2)
+    words.clear()
+
+
+def large_words(toks: list[str]) -> list[int]:
+    return [i for i, w in enumerate(toks) if w[0].isupper() and (len(w) > 1 or w.isalpha())]
+
+
+def count_neighbours(p: Potentials, toks: list[str], n: int, out: Tally) -> None:
+    """How often a word stands before or after a known name, and another capitalised word."""
+    for i in large_words(toks):
+        w = toks[i]
+        if _INITIAL.match(w):
+            continue
+        side = 0 if w.lower() in p.role else 1
+        b, a = p.context(toks, i)
+        out["b", b][side] += n
+        out["a", a][side] += n
+        out["",][side] += n
+
+
+def count_votes(p: Potentials, toks: list[str], n: int, out: Tally) -> None:
+    """Of each unknown capitalised word: times met, with a score of at least 1, of more, beside a given name and beside a family name."""
+    for i in large_words(toks):
+        w = toks[i]
+        low = w.lower()
+        if len(w) < 3 or low in p.role or low in p.ordinary or _INITIAL.match(w):
+            continue
+        b, a = p.context(toks, i)
+        score = p.before.get(b, 0.0) + p.after.get(a, 0.0)
+        v = out[low,]
+        v[0] += n
+        v[1] += n * (score >= 1.0)
+        v[2] += n * (score > 1.0)
+        nxt, prv = (toks[i + 1] if i + 1 < len(toks) else ""), (toks[i - 1] if i else "")
+        if p.role.get(prv.lower()) == "given" or _INITIAL.match(prv):
+            v[3] += n
+        elif p.role.get(nxt.lower()) == "family" or (_INITIAL.match(nxt) and i + 2 < len(toks) and p.role.get(toks[i + 2].lower()) == "family"):
+            v[4] += n
+
+
+def count_labels(p: Potentials, toks: list[str], n: int, out: Tally) -> None:
+    """Features and labels of words, labels of words side by side and of similar words of a line.
+
+    Half of the lexicon is hidden from the features, so that the words around and the shape get weights of their own.
+    """
+    roles = [p.role.get(w.lower()) for w in toks]
+    large = large_words(toks)
+    if not large and not any(roles):
+        return
+    big = set(large)
+    # a known name in lower case is one beside a name of the other role
+    labels = [r is not None and (i in big or any(0 <= j < len(roles) and roles[j] is not None and roles[j] != r for j in (i - 1, i + 1))) for i, r in enumerate(roles)]
+    for i, r in enumerate(roles):
+        if i not in big and r is None:
+            continue
+        w = toks[i]
+        # an initial beside a name is part of it
+        name = labels[i] = labels[i] or bool(_INITIAL.match(w)) and (i > 0 and labels[i - 1] or i + 1 < len(toks) and labels[i + 1])
+        if r is not None or w.lower().rstrip(".") not in TITLES:
+            out["x", str(int(name)), *map(str, p.features(toks, i, hidden=zlib.crc32(w.lower().encode()) % 2 == 0))][0] += n
+    stems: dict[str, tuple[str, bool]] = {}
+    for i in large:
+        if i + 1 in big:
+            out["space", str(int(labels[i])), str(int(labels[i + 1]))][0] += n
+        elif i + 2 in big and toks[i + 1] == ",":
+            out["comma", str(int(labels[i] and roles[i] == "family")), str(int(labels[i + 2] and roles[i + 2] == "given"))][0] += n
+        low = toks[i].lower()
+        if len(toks[i]) > 3:
+            stem = stem_of(low)
+            if stem in stems:
+                other, was = stems[stem]
+                out["alike" if other == low else "apart", str(int(was == labels[i]))][0] += n
+            stems[stem] = (low, labels[i])
+
+
+class Counts:
+    """The counts of texts at hand."""
+
+    def __init__(self, facts: Tally):
+        self.facts: Tally = defaultdict(lambda: [0] * WIDTH)
+        words: Counter = Counter()
+        for k, n in facts.items():
+            if k[0] == "l":
+                count_tokens(k[1], n[0], words, self.facts)
+            else:
+                self.facts[k] = n
+        count_words(words, self.facts)
+
+    def words(self) -> Tally:
+        return {k[1]: n for k, n in self.facts.items() if k[0] == "w"}
+
+    def over(self, count: Callable, p: Potentials, keep: str, everywhere: bool = False) -> Tally:
+        """Sums of what ``count`` adds for each line that holds a capital, or each line; ``keep`` tells which sums are of use."""
+        out: Tally = defaultdict(lambda: [0] * WIDTH)
+        for k, n in self.facts.items():
+            if k[0] == "L" or everywhere and k[0] == "l":
+                count(p, k[1:], n[0], out)
+        return out
+
+    def form_sides(self) -> tuple[Tally, list[int]]:
+        """By (kind), and by (kind, side, word): how often what stands there has the form, and only may have it; and the pairs of one value that agree, and not."""
+        out: Tally = defaultdict(lambda: [0] * WIDTH)
+        for k, n in self.facts.items():
+            if k[0] == "f":
+                for key in ((k[1],), (k[1], "b", k[2]), (k[1], "a", k[3])):
+                    out[key][0] += n[0]
+                    out[key][1] += n[1]
+        return out, self.facts.get(("p",), [0, 0])[:2]
+
+    def form_rows(self, p: Potentials) -> Tally:
+        """The same by (kind, cue before, cue after)."""
+        out: Tally = defaultdict(lambda: [0] * WIDTH)
+        for k, n in self.facts.items():
+            if k[0] == "f":
+                got = out[k[1], str(p.cues[k[1]][0].get(k[2], 0.0)), str(p.cues[k[1]][1].get(k[3], 0.0))]
+                got[0] += n[0]
+                got[1] += n[1]
+        return out
+
+
+_SUMS = [f"n{i}" for i in range(WIDTH)]
+_ROW = "tag string, key string, " + ", ".join(f"{c} bigint" for c in _SUMS)
+
+
+def _batches(out: Tally, tagged: bool) -> Iterator[pa.RecordBatch]:
+    """The sums as rows, and none is left: of a tagged key the first part is a column of its own."""
+    keys = list(out)
+    for at in range(0, len(keys), 20_000):
+        some = keys[at : at + 20_000]
+        sums = list(zip(*(out[k] for k in some)))
+        tags = [k[0] if tagged else "" for k in some]
+        names = [_SEP.join(k[1:] if tagged else k) for k in some]
+        yield pa.RecordBatch.from_arrays([pa.array(tags, pa.string()), pa.array(names, pa.string()), *(pa.array(s, pa.int64()) for s in sums)], ["tag", "key", *_SUMS])
+    out.clear()
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("tag", "key").agg(*(F.sum(c).alias(c) for c in _SUMS))
+
+
+class SharedCounts(Counts):
+    """The counts of a table of texts: added up by Spark; only sums over words and weights come to the driver."""
+
+    def __init__(self, documents: DataFrame):
+        def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: Tally = defaultdict(lambda: [0] * WIDTH)
+            for b in batches:
+                for source, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if t:
+                        count_text(t, bool(source), out)
+                    if len(out) > 100_000:
+                        yield from _batches(out, True)
+            yield from _batches(out, True)
+
+        def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: Tally = defaultdict(lambda: [0] * WIDTH)
+            words: Counter = Counter()
+            for b in batches:
+                for tag, k, *n in zip(*(b.column(i).to_pylist() for i in range(2 + WIDTH))):
+                    if tag == "l":
+                        count_tokens(k, n[0], words, out)
+                    else:
+                        out[tag, *k.split(_SEP)] = n
+                    if len(out) > 100_000:
+                        yield from _batches(out, True)
+                if len(words) > 200_000:
+                    count_words(words, out)
+            count_words(words, out)
+            yield from _batches(out, True)
+
+        once = _summed(documents.select((F.col("kind") == "source").alias("source"), "text").mapInArrow(texts, _ROW))
+        self.facts = cut_lineage(_summed(once.mapInArrow(lines, _ROW)))
+
+    @staticmethod
+    def _collected(rows: DataFrame) -> Tally:
+        return {tuple(r[0].split(_SEP)): list(r[1:]) for r in rows.select("key", *_SUMS).collect()}
+
+    def words(self) -> Tally:
+        return {k[0]: n for k, n in self._collected(self.facts.where("tag = 'w' AND (n0 >= 3 AND n1 > 0 AND n0 > 0.5 * n1 OR n2 >= 3)")).items()}
+
+    def _mapped(self, rows: DataFrame, p: Potentials, count: Callable) -> DataFrame:
+        shared = rows.sparkSession.sparkContext.broadcast(p.state())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mine = Potentials.of(shared.value)
+            out: Tally = defaultdict(lambda: [0] * WIDTH)
+            for b in batches:
+                for k, *n in zip(*(b.column(i).to_pylist() for i in range(1, 2 + WIDTH))):
+                    count(mine, k.split(_SEP), n, out)
+                    if len(out) > 200_000:
+                        yield from _batches(out, False)
+            yield from _batches(out, False)
+
+        return _summed(rows.mapInArrow(run, _ROW))
+
+    def over(self, count: Callable, p: Potentials, keep: str, everywhere: bool = False) -> Tally:
+        lines = self.facts.where("tag IN ('L', 'l')" if everywhere else "tag = 'L'")
+        return self._collected(self._mapped(lines, p, lambda mine, key, n, out: count(mine, key, n[0], out)).where(keep))
+
+    def form_sides(self) -> tuple[Tally, list[int]]:
+        def count(mine: Potentials, key: list[str], n: list[int], out: Tally) -> None:
+            for k in ((key[0],), (key[0], "b", key[1]), (key[0], "a", key[2])):
+                out[k][0] += n[0]
+                out[k][1] += n[1]
+
+        pairs = self.facts.where("tag = 'p'").first()
+        sides = self._mapped(self.facts.where("tag = 'f'"), Potentials((), ()), count).where(f"n0 + n1 >= 3 OR NOT contains(key, '{_SEP}')")
+        return self._collected(sides), [pairs.n0, pairs.n1] if pairs else [0, 0]
+
+    def form_rows(self, p: Potentials) -> Tally:
+        def count(mine: Potentials, key: list[str], n: list[int], out: Tally) -> None:
+            before, after = mine.cues[key[0]]
+            got = out[key[0], str(before.get(key[1], 0.0)), str(after.get(key[2], 0.0))]
+            got[0] += n[0]
+            got[1] += n[1]
+
+        return self._collected(self._mapped(self.facts.where("tag = 'f'"), p, count))
 
 
 # ---- operators ------------------------------------------------------------------------------------------
 
 
-def fit_potentials(documents: DataFrame, known_names: DataFrame, sample: int = SAMPLE) -> Potentials:
-    """Potentials from a bounded sample of prose (chosen by a hash of doc_id; texts of at most 20,000 characters, ``sample`` characters in all) and the list of known names."""
+def fit_potentials(documents: DataFrame, known_names: DataFrame) -> Potentials:
+    """Potentials from all texts and the list of known names."""
     known = known_names.select("person_name", "name_role").where("person_name IS NOT NULL").distinct().collect()  # the lexicon of the caller
-    prose = documents.where("kind <> 'source' AND length(text) <= 20000").select("doc_id", "text")
-    n = prose.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    share = 1.0 if n <= sample else sample / n
-    chosen = lambda df, share: df.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).select("doc_id", "text").orderBy("doc_id").collect()
-    code = documents.where("kind = 'source' AND length(text) <= 20000").select("doc_id", "text")
-    n_code = code.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     p = Potentials([r.person_name for r in known if r.name_role != "family"], [r.person_name for r in known if r.name_role == "family"])
-    return p.fit([r.text for r in chosen(prose, share)], [r.text for r in chosen(code, min(1.0, SOURCES / n_code) if n_code else 0.0)])
+    return p.learn(SharedCounts(documents))
 
 
 def _search(documents: DataFrame, p: Potentials, redact: bool) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(p.state())  # the lexicon and cues of a bounded sample
+    shared = documents.sparkSession.sparkContext.broadcast(p.state())  # the lexicon and the weights of words met three times or more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = Potentials.of(shared.value)
@@ -558,15 +843,15 @@ def _search(documents: DataFrame, p: Potentials, redact: bool) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, text string" if redact else "doc_id bigint, kind string, start_char bigint")
 
 
-def personal_information(documents: DataFrame, known_names: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def personal_information(documents: DataFrame, known_names: DataFrame) -> DataFrame:
     """(doc_id, kind, start_char): each mention of personal information, starts counted in code points from 0.
 
     documents: (doc_id, kind, text). Null and empty texts give no row; a repeated document repeats its rows. Texts
     are read whole where they lie, nothing is shuffled.
     """
-    return _search(documents, fit_potentials(documents, known_names, sample), False)
+    return _search(documents, fit_potentials(documents, known_names), False)
 
 
-def redacted(documents: DataFrame, known_names: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def redacted(documents: DataFrame, known_names: DataFrame) -> DataFrame:
     """(doc_id, text): the texts with [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS] and [NAME] in place of what was found; null stays null."""
-    return _search(documents, fit_potentials(documents, known_names, sample), True)
+    return _search(documents, fit_potentials(documents, known_names), True)

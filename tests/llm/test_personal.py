@@ -106,3 +106,29 @@ def test_logistic_weights():
     x = np.c_[np.ones(4000), rng.normal(size=(4000, 2))]
     y = (rng.random(4000) < 1 / (1 + np.exp(-(x @ [-1.0, 2.0, 0.0])))).astype(float)
     assert np.allclose(logistic(x, y), [-1.0, 2.0, 0.0], atol=0.2)
+
+
+def test_potentials_are_of_all_texts(spark):
+    known, learnt = ["Runa", "Ivo", "Wanda"], [("Esteban", "Tarrowby"), ("Ilvara", "Tarrowby"), ("Runa", "Kalvenda"), ("Runa", "Hastwick")]
+    line = lambda g, f: f"Reported by {g} {f}, reachable at {g.lower()}@x.example. The Event Loop is slow.\nThanks, {g}\nGrace Period and Hash Join are explained.\nPlease ask {g} {f} before changing it on +49 30 1234567.\n____\n"
+    texts = [line(g, f) for g in known for f in ("Tarrowby", "Draycombe")] * 3
+    # names met in one long text only, and words met in one long source only
+    texts.append("nothing to tell.\n" * 1500 + "".join(line(g, f) for g, f in learnt for _ in range(2)))
+    sources = ["x = 1\n" * 5000 + "# the vessel, a vessel and vessel; Vessel\n"]
+    docs = spark.createDataFrame([(i, "source" if t in sources else "page", t) for i, t in enumerate([*texts, *sources])], "doc_id long, kind string, text string")
+    names = spark.createDataFrame([*((g, "given") for g in known), ("Tarrowby", "family"), ("Draycombe", "family")], "person_name string, name_role string")
+    got = personal.fit_potentials(docs.repartition(3), names)
+    assert got.role.get("esteban") == "given" and got.role.get("hastwick") == "family" and "vessel" in got.ordinary
+    assert got.state() == Potentials(known, ["Tarrowby", "Draycombe"]).fit(texts, sources).state()
+
+
+def test_lines_that_may_hold_forms_are_found_as_line_by_line():
+    texts = ["n.º 5, Calle Mayor n.º 12\n@Override\n return 0\nf(a@b.example)\n", "٣٣٣ ٣٣٣ ٣٣\nLine٣ Rue", "no\n12 Baker Street, London\n\n x1, 2\r\n240 bis, boulevard Vauclair", "a\n+49 30\n1234567\n(884) 555-0125", "B, 7\nWeg 7\nanouk at pebble dot example", "\U0001f389 Weg 7\n\x1f3 Rue x\nfoo @bar.baz ＠x", ""]
+    for text in texts:
+        at, alone = 0, []
+        for line in text.split("\n"):
+            alone += [(at + s, at + e, k, sure) for s, e, k, sure in personal.candidates(line)]
+            may = personal.possible(line)
+            assert not may or (at, at + len(line)) in personal.lines_with_forms(text), (line, may)
+            at += len(line) + 1
+        assert personal.parts_of(text, False)[0] == alone
