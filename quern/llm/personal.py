@@ -7,6 +7,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -136,6 +138,10 @@ def candidates(text: str) -> list[tuple[int, int, str, bool]]:
     return sorted(taken)
 
 
+#: Lines of source texts repeat.
+_remembered = lru_cache(20_000)(candidates)
+
+
 def spans_of_form(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of spans recognised by their form, in order, none overlapping; the earlier kind wins."""
     return [(s, e, k) for s, e, k, sure in candidates(text) if sure]
@@ -154,7 +160,12 @@ def around(text: str, start: int, end: int) -> tuple[str, str]:
 
 #: A final point stays with an initial only.
 _TOKEN = re.compile(r"[^\W\d_]{2,}(?:['’-][^\W\d_]+)*|[^\W\d_](?:(?:['’-][^\W\d_]+)+|\.?)|\d+|[^\w\s]")
-_INITIAL = re.compile(r"[^\W\d_]\.$")
+
+
+def is_initial(w: str) -> bool:
+    return len(w) == 2 and w[1] == "." and w[0].isalpha()
+
+
 #: Titles that stand before a name and are not part of it.
 TITLES = frozenset("mr mrs ms miss dr prof herr frau fräulein mme mlle monsieur madame señor señora sr sra don doña sir".split())
 
@@ -191,11 +202,12 @@ class Potentials:
 
     def fit(self, texts: list[str], sources: Iterable[str] = (), rounds: int = 2) -> Potentials:
         """Estimates from texts at hand, see ``learn``."""
+        lines: Counter = Counter()
         facts: Tally = defaultdict(lambda: [0] * WIDTH)
         for source, some in ((False, texts), (True, sources)):
             for t in some:
-                count_text(t, source, facts)
-        return self.learn(Counts(facts), rounds)
+                count_text(t, source, lines, facts)
+        return self.learn(Counts(lines, facts), rounds)
 
     def learn(self, counts: Counts, rounds: int = 2) -> Potentials:
         """Piecewise estimates from the counts of all texts, in which the known names are the labels.
@@ -267,7 +279,7 @@ class Potentials:
         low = w.lower()
         known = low in self.role and not hidden
         large = self.looks_like(w)
-        initial = bool(_INITIAL.match(w)) and large
+        initial = is_initial(w) and large
         b, a = self.context(toks, i)
         ordinary = not known and not initial and low.rstrip(".") in self.ordinary
         refused = not known and not hidden and low in self.refused
@@ -293,20 +305,23 @@ class Potentials:
         An unknown capitalised word is skipped too unless it opens a sentence.
         """
 
+        role = self.role
+
         def part(k: int) -> bool:
             w = toks[k]
             low = w.lower()
-            if low in self.role or _INITIAL.match(w):
+            if low in role or is_initial(w):
                 return True
             if w == ",":
-                return 0 < k < len(toks) - 1 and self.role.get(toks[k - 1].lower()) == "family"
+                return 0 < k < len(toks) - 1 and role.get(toks[k - 1].lower()) == "family"
             return self.looks_like(w) and low.rstrip(".") not in TITLES and k > 0 and toks[k - 1][0].isalpha() and self.before.get(low, 0.0) < 1.5
 
+        # most neighbours are words in small letters, which need no closer look
         b = i - 1
-        while b >= 0 and i - b < 4 and part(b):
+        while b >= 0 and i - b < 4 and not (toks[b].islower() and toks[b] not in role and toks[b][-1] != ".") and part(b):
             b -= 1
         a = i + 1
-        while a < len(toks) and a - i < 4 and toks[a] != "," and part(a):
+        while a < len(toks) and a - i < 4 and toks[a] != "," and not (toks[a].islower() and toks[a] not in role and toks[a][-1] != ".") and part(a):
             a += 1
         left = toks[b].lower() if b >= 0 else "^"
         if left in (",", ":", "(") and b > 0:
@@ -320,12 +335,15 @@ class Potentials:
             row = line_tokens(line)
             words = [w for w, _, _ in row]
             got = []
-            for i, (w, a, b) in enumerate(row):
-                u = self.unary(words, i) if w[0].isupper() or w.lower() in self.role else -9.0
+            after = 0
+            for i in [i for i, w in enumerate(words) if w[0].isupper() or w.lower() in self.role]:
+                w, a, b = row[i]
+                u = self.unary(words, i)
+                if got and got[-1][0] and (u <= -8.0 or any(x != "," for x in words[after:i])):
+                    got.append(("", a, a, u))
                 if u > -8.0:
                     got.append((w, a, b, u))
-                elif w != "," and got and got[-1][0]:
-                    got.append(("", a, b, u))
+                    after = i + 1
             if len(self.known_lines) >= 20_000:
                 self.known_lines.clear()
             if len(line) < 1000:
@@ -336,12 +354,12 @@ class Potentials:
         w = toks[i]
         low = w.lower()
         role = self.role.get(low)
-        initial = bool(_INITIAL.match(w)) and w[0].isupper()
+        initial = is_initial(w) and w[0].isupper()
         if role is None and (not self.looks_like(w) or low.rstrip(".") in TITLES):
             return -9.0
         if role is None and max(self.before.get(low + end, 0.0) for end in ("", ",", ":")) >= 2.0:
             return -7.0  # a word that announces names is none
-        return float(sum(f * g for f, g in zip(self.word, self.features(toks, i))))
+        return float(sum(map(mul, self.word, self.features(toks, i))))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, ridge: float = 1e-5, rounds: int = 60) -> list[float]:
@@ -460,7 +478,7 @@ def mentions(text: str, lines: list[tuple[int, int]], found: list[tuple[int, int
             if base >= 0:
                 gap = text[toks[base][2] : s + a]
                 if _SPACE.fullmatch(gap):
-                    sure = all(x.lower() in p.role or _INITIAL.match(x) for x in (toks[base][0], w))
+                    sure = all(x.lower() in p.role or is_initial(x) for x in (toks[base][0], w))
                     edges.append((base, n, p.chain["sure" if sure else "space"], True))
                 elif re.fullmatch(r",[ \t]+", gap):
                     turned = p.role.get(toks[base][0].lower(), "family") == "family" and p.role.get(w.lower(), "given") == "given"
@@ -480,12 +498,12 @@ def mentions(text: str, lines: list[tuple[int, int]], found: list[tuple[int, int
     for n, (w, s, e) in enumerate(toks):
         if n < n_forms or belief[n] <= 0:
             continue
-        mine = p.role.get(w.lower(), "given" if _INITIAL.match(w) else "")
+        mine = p.role.get(w.lower(), "given" if is_initial(w) else "")
         gap = text[toks[last][2] : s] if last >= 0 else "\n"
         joined = last == n - 1 and last >= n_forms and (_SPACE.fullmatch(gap) or (re.fullmatch(r",[ \t]+", gap) and role in ("family", "") and mine != "family" and w.lower() != toks[last][0].lower()))
         if joined and out:
             out[-1] = (out[-1][0], e, "name")
-        elif not (_INITIAL.match(w) and len(w) == 2 and (n + 1 >= len(toks) or belief[n + 1] <= 0 or not _SPACE.fullmatch(text[e : toks[n + 1][1]]))):
+        elif not (is_initial(w) and len(w) == 2 and (n + 1 >= len(toks) or belief[n + 1] <= 0 or not _SPACE.fullmatch(text[e : toks[n + 1][1]]))):
             out.append((s, e, "name"))  # an initial alone is no name
         else:
             continue
@@ -503,7 +521,7 @@ _WORDING = re.compile(
 
 def parts_of(text: str, source: bool) -> tuple[list[tuple[int, int, str, bool]], list[tuple[int, int]]]:
     """The candidates of every line of a text, and (start, end) of the lines to be read for names: all of prose, what is not only code of source."""
-    forms = [(s + a, s + b, k, sure) for s, e in lines_with_forms(text) for a, b, k, sure in candidates(text[s:e])]
+    forms = [(s + a, s + b, k, sure) for s, e in lines_with_forms(text) for a, b, k, sure in (candidates if e - s > 500 else _remembered)(text[s:e])]
     lines = []
     for at, part in ((m.start(), m.group()) for m in _WORDING.finditer(text)) if source else ((0, text),):
         for line in part.split("\n"):
@@ -542,11 +560,10 @@ def steps(weight: float) -> float:
     return round(weight * 32) / 32
 
 
-def count_text(text: str, source: bool, out: Tally) -> None:
-    """Adds what a text tells regardless of any model: its lines, and the neighbours of candidates."""
+def count_text(text: str, source: bool, seen_lines: Counter, out: Tally) -> None:
+    """Adds what a text tells regardless of any model: its lines as they are shown, and the neighbours of candidates."""
     forms, lines = parts_of(text, source)
-    for _, line in shown(text, lines, forms):
-        out["l", line][0] += 1
+    seen_lines.update(line for _, line in shown(text, lines, forms))
     if source:
         return
     seen: dict[tuple, bool] = {}
@@ -560,17 +577,17 @@ def count_text(text: str, source: bool, out: Tally) -> None:
         seen[same] = sure
 
 
-def count_tokens(line: str, n: int, words: Counter, out: Tally) -> None:
-    """Adds the words of a line as they are written, and the line as tokens: L if it holds a capitalised word, else l."""
+def count_tokens(line: str, n: int, words: Counter) -> tuple[str, list[str]] | None:
+    """Adds the words of a line as they are written; gives the line as tokens: L if it holds a capitalised word, else l."""
     toks = _TOKEN.findall(line)
     if not toks:
-        return
+        return None
     if n == 1:
         words.update(toks)
     else:
         for w in toks:
             words[w] += n
-    out["L" if line != line.lower() and large_words(toks) else "l", *toks][0] += n
+    return "L" if line != line.lower() and large_words(toks) else "l", toks
 
 
 def count_words(words: Counter, out: Tally) -> None:
@@ -594,7 +611,7 @@ def count_neighbours(p: Potentials, toks: list[str], n: int, out: Tally) -> None
     """How often a word stands before or after a known name, and another capitalised word."""
     for i in large_words(toks):
         w = toks[i]
-        if _INITIAL.match(w):
+        if is_initial(w):
             continue
         side = 0 if w.lower() in p.role else 1
         b, a = p.context(toks, i)
@@ -608,7 +625,7 @@ def count_votes(p: Potentials, toks: list[str], n: int, out: Tally) -> None:
     for i in large_words(toks):
         w = toks[i]
         low = w.lower()
-        if len(w) < 3 or low in p.role or low in p.ordinary or _INITIAL.match(w):
+        if len(w) < 3 or low in p.role or low in p.ordinary or is_initial(w):
             continue
         b, a = p.context(toks, i)
         score = p.before.get(b, 0.0) + p.after.get(a, 0.0)
@@ -617,9 +634,9 @@ def count_votes(p: Potentials, toks: list[str], n: int, out: Tally) -> None:
         v[1] += n * (score >= 1.0)
         v[2] += n * (score > 1.0)
         nxt, prv = (toks[i + 1] if i + 1 < len(toks) else ""), (toks[i - 1] if i else "")
-        if p.role.get(prv.lower()) == "given" or _INITIAL.match(prv):
+        if p.role.get(prv.lower()) == "given" or is_initial(prv):
             v[3] += n
-        elif p.role.get(nxt.lower()) == "family" or (_INITIAL.match(nxt) and i + 2 < len(toks) and p.role.get(toks[i + 2].lower()) == "family"):
+        elif p.role.get(nxt.lower()) == "family" or (is_initial(nxt) and i + 2 < len(toks) and p.role.get(toks[i + 2].lower()) == "family"):
             v[4] += n
 
 
@@ -628,10 +645,11 @@ def count_labels(p: Potentials, toks: list[str], n: int, out: Tally) -> None:
 
     Half of the lexicon is hidden from the features, so that the words around and the shape get weights of their own.
     """
-    roles = [p.role.get(w.lower()) for w in toks]
+    lows = list(map(str.lower, toks))
     large = large_words(toks)
-    if not large and not any(roles):
+    if not large and p.role.keys().isdisjoint(lows):
         return
+    roles = list(map(p.role.get, lows))
     big = set(large)
     # a known name in lower case is one beside a name of the other role
     labels = [r is not None and (i in big or any(0 <= j < len(roles) and roles[j] is not None and roles[j] != r for j in (i - 1, i + 1))) for i, r in enumerate(roles)]
@@ -640,7 +658,7 @@ def count_labels(p: Potentials, toks: list[str], n: int, out: Tally) -> None:
             continue
         w = toks[i]
         # an initial beside a name is part of it
-        name = labels[i] = labels[i] or bool(_INITIAL.match(w)) and (i > 0 and labels[i - 1] or i + 1 < len(toks) and labels[i + 1])
+        name = labels[i] = labels[i] or is_initial(w) and (i > 0 and labels[i - 1] or i + 1 < len(toks) and labels[i + 1])
         if r is not None or w.lower().rstrip(".") not in TITLES:
             out["x", str(int(name)), *map(str, p.features(toks, i, hidden=zlib.crc32(w.lower().encode()) % 2 == 0))][0] += n
     stems: dict[str, tuple[str, bool]] = {}
@@ -661,15 +679,13 @@ def count_labels(p: Potentials, toks: list[str], n: int, out: Tally) -> None:
 class Counts:
     """The counts of texts at hand."""
 
-    def __init__(self, facts: Tally):
-        self.facts: Tally = defaultdict(lambda: [0] * WIDTH)
+    def __init__(self, lines: Counter, facts: Tally):
+        self.facts = facts
         words: Counter = Counter()
-        for k, n in facts.items():
-            if k[0] == "l":
-                count_tokens(k[1], n[0], words, self.facts)
-            else:
-                self.facts[k] = n
-        count_words(words, self.facts)
+        for line, n in lines.items():
+            if row := count_tokens(line, n, words):
+                facts[row[0], *row[1]][0] += n
+        count_words(words, facts)
 
     def words(self) -> Tally:
         return {k[1]: n for k, n in self.facts.items() if k[0] == "w"}
@@ -728,26 +744,43 @@ class SharedCounts(Counts):
 
     def __init__(self, documents: DataFrame):
         def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: Counter = Counter()
             out: Tally = defaultdict(lambda: [0] * WIDTH)
+
+            def met() -> Iterator[pa.RecordBatch]:
+                keys, none = list(seen), [0] * len(seen)
+                for at in range(0, len(keys), 20_000):
+                    some = keys[at : at + 20_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(["l"] * len(some)), pa.array(some, pa.string()), pa.array([seen[k] for k in some]), *[pa.array(none[: len(some)], pa.int64())] * (WIDTH - 1)], ["tag", "key", *_SUMS])
+                seen.clear()
+                yield from _batches(out, True)
+
+            size = 0
             for b in batches:
                 for source, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     if t:
-                        count_text(t, bool(source), out)
-                    if len(out) > 100_000:
-                        yield from _batches(out, True)
-            yield from _batches(out, True)
+                        count_text(t, bool(source), seen, out)
+                        size += len(t)
+                    if len(seen) + len(out) > 100_000 or size > 32 << 20:
+                        yield from met()
+                        size = 0
+            yield from met()
 
         def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out: Tally = defaultdict(lambda: [0] * WIDTH)
             words: Counter = Counter()
+            none = [0] * (WIDTH - 1)
             for b in batches:
-                for tag, k, *n in zip(*(b.column(i).to_pylist() for i in range(2 + WIDTH))):
-                    if tag == "l":
-                        count_tokens(k, n[0], words, out)
-                    else:
+                rows = []
+                for tag, k, *n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *(b.column(2 + i).to_numpy().tolist() for i in range(WIDTH))):
+                    if tag != "l":
                         out[tag, *k.split(_SEP)] = n
-                    if len(out) > 100_000:
-                        yield from _batches(out, True)
+                    elif row := count_tokens(k, n[0], words):
+                        rows.append((row[0], _SEP.join(row[1]), n[0], *none))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["tag", "key", *_SUMS])
+                if len(out) > 100_000:
+                    yield from _batches(out, True)
                 if len(words) > 200_000:
                     count_words(words, out)
             count_words(words, out)
@@ -770,13 +803,13 @@ class SharedCounts(Counts):
             mine = Potentials.of(shared.value)
             out: Tally = defaultdict(lambda: [0] * WIDTH)
             for b in batches:
-                for k, *n in zip(*(b.column(i).to_pylist() for i in range(1, 2 + WIDTH))):
+                for k, *n in zip(b.column(0).to_pylist(), b.column(1).to_numpy().tolist(), b.column(2).to_numpy().tolist()):
                     count(mine, k.split(_SEP), n, out)
                     if len(out) > 200_000:
                         yield from _batches(out, False)
             yield from _batches(out, False)
 
-        return _summed(rows.mapInArrow(run, _ROW))
+        return _summed(rows.select("key", "n0", "n1").mapInArrow(run, _ROW))
 
     def over(self, count: Callable, p: Potentials, keep: str, everywhere: bool = False) -> Tally:
         lines = self.facts.where("tag IN ('L', 'l')" if everywhere else "tag = 'L'")
