@@ -6,7 +6,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Set
 from functools import lru_cache
 from operator import mul
 
@@ -55,15 +55,29 @@ _LOOSE = (
 #: What a line must hold for a mention of a kind: no form of that kind can match without it.
 _NEEDS_AT = re.compile(r"@(?:(?<=[\w.+%-]@)|(?<=[\w.+-] @))|＠|\([aA][tT]?\)|\[[aA][tT]\]|\{[aA][tT]\}")
 _NEEDS_SPELLED_AT = re.compile(r"[ \t][aA][tT][ \t][\w-]+[ \t][(\[]?[dD][oO][tT]")
-_NEEDS_DIGITS = re.compile(r"\d(?:[^\d\n]{0,4}\d){5}")
+#: Eight digits with nothing but what may stand within a number between them, or six behind a capital.
+_NEEDS_DIGITS = re.compile(r"\d(?:[ ./()-]*\d){7}|[A-Z][ -]?\d(?:[ -]?\d){5}")
 _NEEDS_PLACE = re.compile(rf"\d(?:[a-z]|[ ]?(?:bis|ter|quater))?,?[ ](?:[A-ZÀ-ÖØ-Þ]|{_STREET_FR})|{_CAP}[.,]?[ ](?:n\.?º[ ])?\d")
 _DIGIT = re.compile(r"\d")
 #: The first alternative of ``_NEEDS_PLACE``, from its digit.
 _BEFORE_PLACE = re.compile(rf"\d(?:[a-z]|[ ]?(?:bis|ter|quater))?,?[ ](?:[A-ZÀ-ÖØ-Þ]|{_STREET_FR})")
-#: Tables over Latin-1, in which all other characters are question marks: what may stand before the space before a number, and first in a word.
-_BEFORE_SPACE = np.array([chr(c).isalnum() or chr(c) in "_'-.,?º" for c in range(256)])
-_LETTER = np.array([chr(c).isalpha() or c == 63 for c in range(256)])
-_SMALL, _COMMA_OR_SPACE, _BTQ, _IEU = (np.array([chr(c) in some for c in range(256)]) for some in ("abcdefghijklmnopqrstuvwxyz", ", ", "btq", "ieu"))
+
+
+def _table(some: str, *more: tuple[str, str]) -> bytes:
+    """A table over Latin-1, in which all other characters are question marks: 1 for the given characters and ranges."""
+    return bytes(c in map(ord, some) or any(ord(a) <= c <= ord(b) for a, b in more) for c in range(256))
+
+
+_CAPITALS = (("A", "Z"), ("À", "Ö"), ("Ø", "Þ"))
+_WORD = bytes(chr(c).isalnum() or chr(c) in "_?" for c in range(256))
+#: Tables for arrays of some characters: what may stand before an at sign, before the space before one, within a number, and before the space before a number.
+_BEFORE_AT, _BEFORE_SPACE_AT, _WITHIN, _BEFORE_SPACE = (np.frombuffer(t, bool) for t in (bytes(map(max, _WORD, _table(".+%-"))), bytes(map(max, _WORD, _table(".+-"))), _table(" ./()-"), bytes(map(max, _WORD, _table("'-.,º")))))
+_AZ, _SMALL, _CAPITAL = (np.frombuffer(_table("", *r), bool) for r in ((("A", "Z"),), (("a", "z"),), _CAPITALS))
+#: What opens a place behind a number: a capital, or the first two letters of a word for streets, or of bis, ter and quater.
+_OPENS_PLACE, _SECOND = np.frombuffer(_table("rabipcqst", *_CAPITALS), bool), np.frombuffer(_table("uvoldmahqei"), bool)
+_BTQ, _IEU = np.frombuffer(_table("btq"), bool), np.frombuffer(_table("ieu"), bool)
+#: Tables for whole texts: small letters and spaces for tabs, capitals and the sign for "number", ends of words.
+_PLAIN, _IS_CAPITAL, _IS_GAP = bytes(range(256)).lower().replace(b"\t", b" "), _table("º", *_CAPITALS), _table(" \n")
 _ASCII = bytes(range(128))
 
 
@@ -78,52 +92,85 @@ def possible(text: str) -> set[str]:
     return may
 
 
+def _all_at(text: bytes | str, some: bytes | str) -> Iterator[int]:
+    at = text.find(some)
+    while at >= 0:
+        yield at
+        at = text.find(some, at + 1)
+
+
+#: Bits for kinds, for lines that may hold a mention of them.
+_EMAIL, _NUMBER, _PLACE = 1, 2, 4
+_KINDS = [frozenset(k for bit, some in ((_EMAIL, ["email"]), (_NUMBER, ["id_number", "phone"]), (_PLACE, ["address"])) if bits & bit for k in some) for bits in range(8)]
+
+
+def _lines_by_kind(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, bits for kinds) of the lines that may hold a mention, in order; no other line, or kind, has a candidate."""
+    raw = text.encode("latin-1", "replace")
+    padded = b"\n\n" + raw + b"\n" * 6
+    marks = np.frombuffer(padded, np.uint8)
+    found: list[tuple[int, np.ndarray]] = []
+    hits: list[int] = []
+    plain = raw.translate(_PLAIN)
+    for some in (b"(a)", b"(at)", b"[at]", b"{at}"):
+        hits += _all_at(plain, some)
+    hits += _all_at(text, "＠")
+    if b"dot" in plain:
+        hits += (at for at in _all_at(plain, b" at ") if _NEEDS_SPELLED_AT.match(text, at))
+    at = np.flatnonzero(marks == 64)
+    before = marks[at - 1]
+    found += [(_EMAIL, np.array(hits, np.int64) + 2), (_EMAIL, at[_BEFORE_AT[before] | (before == 32) & _BEFORE_SPACE_AT[marks[at - 2]]])]
+    if not text.isascii() and _DIGIT.search(text.encode("utf-8", "replace").translate(None, _ASCII).decode("utf-8", "replace")):
+        # digits of other scripts
+        found += [(bit, np.array([m.start() + 2 for m in rx.finditer(text)], np.int64)) for bit, rx in ((_NUMBER, _NEEDS_DIGITS), (_PLACE, _NEEDS_PLACE))]
+    digits = np.flatnonzero(marks - np.uint8(48) < 10)
+    if len(digits):
+        a, before = marks[digits + 1], marks[digits - 1]
+        # numbers: digits side by side or, as it seems, with nothing between them but what may stand within a number
+        apart = np.ones(len(digits), np.int32)
+        apart[1:] = (np.diff(digits) > 1) & ~(_WITHIN[a[:-1]] & _WITHIN[before[1:]])
+        run = np.cumsum(apart)
+        found.append((_NUMBER, digits[:-7][run[7:] == run[:-7]]))
+        six = np.flatnonzero(run[5:] == run[:-5])
+        b, c = before[six], marks[digits[six] - 2]
+        found.append((_NUMBER, digits[six[_AZ[b] | ((b == 32) | (b == 45)) & _AZ[c]]]))
+        # a number behind a word with a capital
+        ends = digits[before == 32] - 1
+        ends = ends[_BEFORE_SPACE[marks[ends - 1]]]
+        if len(ends):
+            capitals, gaps = (np.flatnonzero(np.frombuffer(padded.translate(t), bool)) for t in (_IS_CAPITAL, _IS_GAP))
+            at = np.searchsorted(capitals, ends) - 1
+            ends, at = ends[at >= 0], at[at >= 0]
+            found.append((_PLACE, ends[capitals[at] > gaps[np.searchsorted(gaps, ends) - 1]]))
+        # a number before a capital or a word for streets
+        near = digits[(a == 32) | (a == 44) | _SMALL[a]]
+        a, b, c, d, e = (marks[near + k] for k in range(1, 6))
+        opens = lambda x, y: _OPENS_PLACE[x] & (_CAPITAL[x] | _SECOND[y])
+        may = (a == 32) & opens(b, c) | (a == 44) & (b == 32) & opens(c, d) | _SMALL[a] & ((b == 32) & opens(c, d) | (b == 44) & (c == 32) & opens(d, e)) | _BTQ[a] & _IEU[b]
+        found.append((_PLACE, np.array([at for at in near[may].tolist() if _BEFORE_PLACE.match(text, at - 2)], np.int64)))
+    ends = np.flatnonzero(marks == 10)
+    bits: dict[int, int] = defaultdict(int)
+    for bit, at in found:
+        for line in np.unique(np.searchsorted(ends, at)).tolist():
+            bits[line] |= bit
+    if not bits:
+        return []
+    lines = sorted(bits)
+    at = np.array(lines)
+    return list(zip((ends[at - 1] - 1).tolist(), (ends[at] - 2).tolist(), map(bits.get, lines)))
+
+
 def lines_with_forms(text: str) -> list[tuple[int, int]]:
     """(start, end) of the lines of a text that may hold a mention, in order; no other line has a candidate."""
-    found: dict[int, int] = {}
-
-    def add(at: int) -> int:
-        end = text.find("\n", at)
-        end = found[text.rfind("\n", 0, at) + 1] = len(text) if end < 0 else end
-        return end
-
-    low = text.lower()
-    searched = [_NEEDS_AT] * ("@" in text or "＠" in text or any(x in low for x in ("(a)", "(at)", "[at]", "{at}"))) + [_NEEDS_SPELLED_AT] * ("at" in low and "dot" in low)
-    if not text.isascii() and any(c.isdecimal() for c in text.encode("utf-8", "replace").translate(None, _ASCII).decode("utf-8", "replace")):
-        searched += [_NEEDS_DIGITS, _NEEDS_PLACE]  # digits of other scripts
-    for rx in searched:
-        m = rx.search(text)
-        while m:
-            m = rx.search(text, add(m.start()))
-    marks = np.frombuffer(b"\n\n" + text.encode("latin-1", "replace") + b"\n\n\n\n", np.uint8)
-    digits = np.flatnonzero(marks - np.uint8(48) < 10)
-    if not len(digits):
-        return sorted(found.items())
-    lines = np.searchsorted(np.flatnonzero(marks == 10), digits)
-    # six digits of a line with at most four others between each two
-    close = (np.diff(digits) <= 5) & (lines[1:] == lines[:-1])
-    if len(close) >= 5:
-        first = np.flatnonzero(close[:-4] & close[1:-3] & close[2:-2] & close[3:-1] & close[4:])
-        for at in digits[first[np.unique(lines[first], return_index=True)[1]]].tolist():
-            add(at - 2)
-    # a number behind a word with a capital
-    for at in digits[(marks[digits - 1] == 32) & _BEFORE_SPACE[marks[digits - 2]]].tolist():
-        start = max(text.rfind("\n", 0, at - 3), text.rfind(" ", 0, at - 3)) + 1
-        word = text[start : at - 3]
-        if "º" in word or word != word.lower():
-            add(at - 2)
-    # a number before a capital or a word for streets
-    a, b, c = (marks[digits + k] for k in (1, 2, 3))
-    for at in digits[(a == 32) & _LETTER[b] | (a == 44) & (b == 32) & _LETTER[c] | _SMALL[a] & _COMMA_OR_SPACE[b] | _BTQ[a] & _IEU[b]].tolist():
-        if _BEFORE_PLACE.match(text, at - 2):
-            add(at - 2)
-    return sorted(found.items())
-
-
-def candidates(text: str) -> list[tuple[int, int, str, bool]]:
+    return [(s, e) for s, e, _ in _lines_by_kind(text)]
+
+
+def candidates(text: str, may: Set[str] | None = None) -> list[tuple[int, int, str, bool]]:
     """(start, end, kind, whether its form alone is that of the kind) of what may be a mention, in order, none overlapping; forms come before loose ones, the earlier kind first."""
     taken: list[tuple[int, int, str, bool]] = []
-    may = possible(text)
+    may = possible(text) if may is None else may
+    if "phone" in may and not _NEEDS_DIGITS.search(text):
+        may = may - _KINDS[_NUMBER]
     if not may:
         return taken
     for sure, forms in ((True, _FORMS), (False, _LOOSE)):
@@ -170,6 +217,20 @@ def is_initial(w: str) -> bool:
 TITLES = frozenset("mr mrs ms miss dr prof herr frau fräulein mme mlle monsieur madame señor señora sr sra don doña sir".split())
 
 
+class Memo(dict):
+    """What a function gives, remembered; all is forgotten when there are too many."""
+
+    def __init__(self, f: Callable, most: int = 100_000):
+        super().__init__()
+        self.f, self.most = f, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        got = self[key] = self.f(key)
+        return got
+
+
 class Potentials:
     """Log-odds that a token belongs to a person's name, given the lexicon, its shape and its neighbours."""
 
@@ -181,8 +242,6 @@ class Potentials:
         #: Words met so often that they would be names by now if they were.
         self.refused: frozenset[str] = frozenset()
 
-        self.known_lines: dict[str, list[tuple[str, int, int, float]]] = {}
-
         #: Weights of the features of a word, of a form by kind, and of the edges; ``train`` sets them.
         self.word: list[float] = [-2.6, 4.2, 1.6, 0.4, -4.5, -1.0, 0.8, 0.56, 0.0, -1.0]
         self.form: dict[str, list[float]] = {}
@@ -190,9 +249,18 @@ class Potentials:
         self.cues: dict[str, tuple[dict[str, float], dict[str, float]]] = {}
         self.chain: dict[str, float] = {"sure": 4.0, "space": 2.2, "comma": 1.0}
         self.skip: dict[str, float] = {"same": 1.2, "similar": 0.5, "form": 2.0}
+        self.forget()
+
+    def forget(self) -> None:
+        """To be called when the lexicon or the weights have changed: what follows from them is remembered."""
+        self.known_lines: dict[str, list[tuple[str, int, int, float]]] = {}
+        #: By line of source: whether it may hold names.
+        self.named = Memo(lambda line: _source_name_line(line, self), 20_000)
+        #: By word: how it may be part of a name beside others; its score, where it is fixed, and its features without those of cues; the same, as written by ``count_labels``.
+        self.parts, self.looks, self.written = Memo(self._part), Memo(self._look), Memo(self._write)
 
     def state(self) -> dict:
-        return self.__dict__ | {"known_lines": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known_lines", "named", "parts", "looks", "written")}
 
     @classmethod
     def of(cls, state: dict) -> Potentials:
@@ -204,9 +272,8 @@ class Potentials:
         """Estimates from texts at hand, see ``learn``."""
         lines: Counter = Counter()
         facts: Tally = defaultdict(lambda: [0] * WIDTH)
-        for source, some in ((False, texts), (True, sources)):
-            for t in some:
-                count_text(t, source, lines, facts)
+        for t, source, parts in all_parts([*((t, False) for t in texts), *((t, True) for t in sources)]):
+            count_text(t, source, parts, lines, facts)
         return self.learn(Counts(lines, facts), rounds)
 
     def learn(self, counts: Counts, rounds: int = 2) -> Potentials:
@@ -216,7 +283,7 @@ class Potentials:
         another capitalised word. Words that score as names again and again by their neighbours join the lexicon
         with the role of their place, and the weights are estimated once more.
         """
-        self.known_lines = {}
+        self.forget()
         words = counts.words()
         self.ordinary = frozenset(w for w, (low, up, *_) in words.items() if low >= 3 and up and w not in self.role and low > 0.5 * up)
         for _ in range(rounds):
@@ -225,14 +292,18 @@ class Potentials:
             base = math.log((pos + 1) / (neg + 1))
             weigh = lambda side: {k[1]: steps(max(-2.0, min(4.0, math.log((p + 0.3) / (n + 1.0)) - base))) for k, (p, n, *_) in beside.items() if k[0] == side and p + n >= 3}  # noqa: B023, E731
             self.before, self.after = weigh("b"), weigh("a")
+            self.forget()
             votes = counts.over(count_votes, self, "n0 >= 3 AND n2 >= 0.6 * n0")
             for (w,), (n, least, more, family, given) in votes.items():
                 # the upper median of the scores is at least 1
                 if n >= 3 and least >= n - n // 2 and family + given >= 0.2 * n and more >= 0.6 * n:
                     self.role[w] = "family" if family >= given else "given"
+            self.forget()
         self.refused = frozenset(w for w, (_, _, n, *_) in words.items() if n >= 3 and w not in self.role)
+        self.forget()
         self.train_forms(counts)
         self.train_words(counts.over(count_labels, self, "true", everywhere=True))
+        self.forget()
         return self
 
     def train_forms(self, counts: Counts) -> None:
@@ -273,18 +344,25 @@ class Potentials:
         self.skip["same"] = max(0.3, min(1.5, 0.5 * math.log(alike[0] / alike[1])))
         self.skip["similar"] = max(0.0, min(self.skip["same"], 0.25 * math.log(apart[0] / apart[1])))
 
-    def features(self, toks: list[str], i: int, hidden: bool = False) -> list[float]:
-        """bias, known, known in lower case, initial, ordinary word, other word, cue before, cue after, all in capitals, met often and no name."""
-        w = toks[i]
+    def shape(self, w: str, hidden: bool = False) -> tuple[list[float], list[float]]:
+        """The features of a word without those of its cues: bias, known, known in lower case, initial, ordinary word, other word; all in capitals, met often and no name."""
         low = w.lower()
         known = low in self.role and not hidden
         large = self.looks_like(w)
         initial = is_initial(w) and large
-        b, a = self.context(toks, i)
         ordinary = not known and not initial and low.rstrip(".") in self.ordinary
         refused = not known and not hidden and low in self.refused
         other = not known and not initial and not ordinary and not refused
-        return [1.0, float(known and large), float(known and not large), float(initial and not known), float(ordinary), float(other), max(-2.0, min(4.5, self.before.get(b, -0.5))), max(-2.0, min(4.5, self.after.get(a, 0.0))), float(len(w) > 3 and w.isupper() and not known), float(refused)]
+        return [1.0, float(known and large), float(known and not large), float(initial and not known), float(ordinary), float(other)], [float(len(w) > 3 and w.isupper() and not known), float(refused)]
+
+    def _write(self, w: str) -> tuple[list[str], list[str]]:
+        head, tail = self.shape(w, hidden=zlib.crc32(w.lower().encode()) % 2 == 0)
+        return list(map(str, head)), list(map(str, tail))
+
+    def cues_of(self, toks: list[str], i: int) -> tuple[float, float]:
+        """The features of a word that come between those of its shape: cue before, cue after."""
+        b, a = self.context(toks, i)
+        return max(-2.0, min(4.5, self.before.get(b, -0.5))), max(-2.0, min(4.5, self.after.get(a, 0.0)))
 
     def form_score(self, text: str, start: int, end: int, kind: str, sure: bool) -> float:
         """Log-odds that a candidate is a mention of its kind."""
@@ -305,44 +383,52 @@ class Potentials:
         An unknown capitalised word is skipped too unless it opens a sentence.
         """
 
-        role = self.role
-
-        def part(k: int) -> bool:
-            w = toks[k]
-            low = w.lower()
-            if low in role or is_initial(w):
-                return True
-            if w == ",":
-                return 0 < k < len(toks) - 1 and role.get(toks[k - 1].lower()) == "family"
-            return self.looks_like(w) and low.rstrip(".") not in TITLES and k > 0 and toks[k - 1][0].isalpha() and self.before.get(low, 0.0) < 1.5
-
-        # most neighbours are words in small letters, which need no closer look
+        parts = self.parts
         b = i - 1
-        while b >= 0 and i - b < 4 and not (toks[b].islower() and toks[b] not in role and toks[b][-1] != ".") and part(b):
+        while b >= 0 and i - b < 4 and (how := parts[toks[b]]) and (how == 1 or self._joins(toks, b, how)):
             b -= 1
         a = i + 1
-        while a < len(toks) and a - i < 4 and toks[a] != "," and not (toks[a].islower() and toks[a] not in role and toks[a][-1] != ".") and part(a):
+        while a < len(toks) and a - i < 4 and toks[a] != "," and (how := parts[toks[a]]) and (how == 1 or self._joins(toks, a, how)):
             a += 1
         left = toks[b].lower() if b >= 0 else "^"
         if left in (",", ":", "(") and b > 0:
             left = toks[b - 1].lower() + left
         return left, (toks[a].lower() if a < len(toks) else "$")
 
+    def _part(self, w: str) -> int:
+        """Whether a word is part of a name beside others: 0 never, 1 always, 2 a comma behind a family name, 3 behind a word."""
+        low = w.lower()
+        if low in self.role or is_initial(w):
+            return 1
+        if w == ",":
+            return 2
+        return 3 if self.looks_like(w) and low.rstrip(".") not in TITLES and self.before.get(low, 0.0) < 1.5 else 0
+
+    def _joins(self, toks: list[str], k: int, how: int) -> bool:
+        if how == 2:
+            return 0 < k < len(toks) - 1 and self.role.get(toks[k - 1].lower()) == "family"
+        return k > 0 and toks[k - 1][0].isalpha()
+
     def nodes(self, line: str) -> list[tuple[str, int, int, float]]:
         """(word, start, end, score) of the words of a line that may be of a name; an empty word where a chain of them ends. Lines met again are remembered."""
         got = self.known_lines.get(line)
         if got is None:
-            row = line_tokens(line)
-            words = [w for w, _, _ in row]
+            words = _TOKEN.findall(line)
             got = []
-            after = 0
-            for i in [i for i, w in enumerate(words) if w[0].isupper() or w.lower() in self.role]:
-                w, a, b = row[i]
+            after = at = k = 0
+            looks = self.looks
+            for i in [i for i, w in enumerate(words) if looks[w] is not None]:
+                # between two tokens there is nothing that a token may hold
+                while k < i:
+                    at = line.index(words[k], at) + len(words[k])
+                    k += 1
+                w = words[i]
+                a = line.index(w, at)
                 u = self.unary(words, i)
                 if got and got[-1][0] and (u <= -8.0 or any(x != "," for x in words[after:i])):
                     got.append(("", a, a, u))
                 if u > -8.0:
-                    got.append((w, a, b, u))
+                    got.append((w, a, a + len(w), u))
                     after = i + 1
             if len(self.known_lines) >= 20_000:
                 self.known_lines.clear()
@@ -350,16 +436,21 @@ class Potentials:
                 self.known_lines[line] = got
         return got
 
-    def unary(self, toks: list[str], i: int) -> float:
-        w = toks[i]
+    def _look(self, w: str) -> tuple[float | None, list[float], list[float]] | None:
+        """None for a word that can't be of a name. Else its score if that is fixed, and its shape."""
         low = w.lower()
-        role = self.role.get(low)
-        initial = is_initial(w) and w[0].isupper()
-        if role is None and (not self.looks_like(w) or low.rstrip(".") in TITLES):
-            return -9.0
-        if role is None and max(self.before.get(low + end, 0.0) for end in ("", ",", ":")) >= 2.0:
-            return -7.0  # a word that announces names is none
-        return float(sum(map(mul, self.word, self.features(toks, i))))
+        if low not in self.role:
+            if not w[0].isupper():
+                return None
+            if not self.looks_like(w) or low.rstrip(".") in TITLES:
+                return -9.0, [], []
+            if max(self.before.get(low + end, 0.0) for end in ("", ",", ":")) >= 2.0:
+                return -7.0, [], []  # a word that announces names is none
+        return None, *self.shape(w)
+
+    def unary(self, toks: list[str], i: int) -> float:
+        score, head, tail = self.looks[toks[i]] or (-9.0, [], [])
+        return float(sum(map(mul, self.word, [*head, *self.cues_of(toks, i), *tail]))) if score is None else score
 
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, ridge: float = 1e-5, rounds: int = 60) -> list[float]:
@@ -394,11 +485,6 @@ def hide(line: str, spans: Iterable[tuple[int, int, str]]) -> str:
     return line
 
 
-def line_tokens(line: str) -> list[tuple[str, int, int]]:
-    """(text, start, end) of the tokens of a line."""
-    return [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(line)]
-
-
 def infer(unary: list[float], edges: list[tuple[int, int, float, bool]], rounds: int = 12) -> list[float]:
     """Loopy belief propagation on binary labels: log-odds of each node.
 
@@ -431,6 +517,9 @@ def infer(unary: list[float], edges: list[tuple[int, int, float, bool]], rounds:
 def shown(text: str, lines: list[tuple[int, int]], found: list[tuple[int, int, str, bool]]) -> Iterator[tuple[int, str]]:
     """Start and text of each of the lines. A span of a fixed form is no word: what it covers is hidden behind one mark."""
     taken = [x for x in found if x[3]]
+    if not taken:
+        yield from ((s, text[s:e]) for s, e in lines)
+        return
     at = 0
     for s, e in lines:
         line = text[s:e]
@@ -464,7 +553,6 @@ def mentions(text: str, lines: list[tuple[int, int]], found: list[tuple[int, int
         edges += [(m, n, p.skip["form"], False) for m in {*held[:1], *held[-1:]}]
         held.append(n)
     n_forms = len(toks)
-    taken = [x for x in found if x[3]]
     where: dict[str, list[tuple[int, str]]] = {}
     for s, line in shown(text, lines, found):
         base = -1
@@ -508,7 +596,8 @@ def mentions(text: str, lines: list[tuple[int, int]], found: list[tuple[int, int
         else:
             continue
         last, role = n, mine
-    loose = [x for x in forms if (x[0], x[1], x[2], True) not in taken]
+    sure = {x[:3] for x in found if x[3]}
+    loose = [x for x in forms if x not in sure]
     return sorted(forms + [x for x in out if all(x[1] <= s or x[0] >= e for s, e, _ in loose)])
 
 
@@ -519,23 +608,73 @@ _WORDING = re.compile(
 )
 
 
-def parts_of(text: str, source: bool) -> tuple[list[tuple[int, int, str, bool]], list[tuple[int, int]]]:
-    """The candidates of every line of a text, and (start, end) of the lines to be read for names: all of prose, what is not only code of source."""
-    forms = [(s + a, s + b, k, sure) for s, e in lines_with_forms(text) for a, b, k, sure in (candidates if e - s > 500 else _remembered)(text[s:e])]
-    lines = []
-    for at, part in ((m.start(), m.group()) for m in _WORDING.finditer(text)) if source else ((0, text),):
-        for line in part.split("\n"):
-            if line and not line.isspace():
-                lines.append((at, at + len(line)))
-            at += len(line) + 1
-    return forms, lines
+Parts = tuple[list[tuple[int, int, str, bool]], list[tuple[int, int]]]
 
 
-def find(text: str, source: bool, p: Potentials) -> list[tuple[int, int, str]]:
+def forms_of(texts: list[str], piece: int = 1 << 20) -> list[list[tuple[int, int, str, bool]]]:
+    """The candidates of every line of each text. Lines are looked at as one text, cut into pieces at line ends: no mention goes over a line."""
+    out: list[list[tuple[int, int, str, bool]]] = [[] for _ in texts]
+    whole = "\n".join(texts)
+    own, begin, end = -1, 0, -1
+    at = 0
+    while at < len(whole):
+        to = whole.find("\n", at + piece)
+        to = len(whole) if to < 0 else to
+        part = whole[at:to]
+        for s, e, bits in _lines_by_kind(part):
+            if got := (candidates if e - s > 500 else _remembered)(part[s:e], _KINDS[bits]):
+                s += at
+                while s > end:  # the text that has the line
+                    own += 1
+                    begin, end = end + 1, end + 1 + len(texts[own])
+                out[own] += [(s - begin + a, s - begin + b, k, sure) for a, b, k, sure in got]
+        at = to + 1
+    return out
+
+
+def name_lines(text: str, source: bool) -> list[tuple[int, int]]:
+    """(start, end) of the lines to be read for names: all of prose, what is not only code of source."""
+    lines = []
+    for start, end in (m.span() for m in _WORDING.finditer(text)) if source else ((0, len(text)),):
+        to = text.find("\n", start, end)
+        while to >= 0:
+            if start < to and not text[start:to].isspace():
+                lines.append((start, to))
+            start = to + 1
+            to = text.find("\n", start, end)
+        if start < end and not text[start:end].isspace():
+            lines.append((start, end))
+    return lines
+
+
+def all_parts(texts: Iterable[tuple[str, bool]], most: int = 1 << 20) -> Iterator[tuple[str, bool, Parts]]:
+    """Each text with its parts, as ``parts_of`` has them; texts of about ``most`` characters are taken together."""
+    held: list[tuple[str, bool]] = []
+    size = 0
+
+    def given() -> Iterator[tuple[str, bool, Parts]]:
+        for (t, source), forms in zip(held, forms_of([t for t, _ in held])):
+            yield t, source, (forms, name_lines(t, source))
+
+    for x in texts:
+        held.append(x)
+        size += len(x[0])
+        if size >= most:
+            yield from given()
+            held, size = [], 0
+    yield from given()
+
+
+def parts_of(text: str, source: bool) -> Parts:
+    """The candidates of every line of a text, and the lines to be read for names."""
+    return forms_of([text])[0], name_lines(text, source)
+
+
+def find(text: str, source: bool, p: Potentials, parts: Parts | None = None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all personal information of a text, in order."""
-    forms, lines = parts_of(text, source)
+    forms, lines = parts or parts_of(text, source)
     if source:
-        lines = [x for x in lines if _source_name_line(text[x[0] : x[1]], p)]
+        lines = [x for x in lines if (p.named[text[x[0] : x[1]]] if x[1] - x[0] < 1000 else _source_name_line(text[x[0] : x[1]], p))]
     return mentions(text, lines, forms, p)
 
 
@@ -560,9 +699,9 @@ def steps(weight: float) -> float:
     return round(weight * 32) / 32
 
 
-def count_text(text: str, source: bool, seen_lines: Counter, out: Tally) -> None:
+def count_text(text: str, source: bool, parts: Parts, seen_lines: Counter, out: Tally) -> None:
     """Adds what a text tells regardless of any model: its lines as they are shown, and the neighbours of candidates."""
-    forms, lines = parts_of(text, source)
+    forms, lines = parts
     seen_lines.update(line for _, line in shown(text, lines, forms))
     if source:
         return
@@ -578,7 +717,7 @@ def count_text(text: str, source: bool, seen_lines: Counter, out: Tally) -> None
 
 
 def count_tokens(line: str, n: int, words: Counter) -> tuple[str, list[str]] | None:
-    """Adds the words of a line as they are written; gives the line as tokens: L if it holds a capitalised word, else l."""
+    """Adds the words of a line as they are written; gives the line as the places of its capitalised words, and tokens: L if it holds such a word, else l."""
     toks = _TOKEN.findall(line)
     if not toks:
         return None
@@ -587,7 +726,8 @@ def count_tokens(line: str, n: int, words: Counter) -> tuple[str, list[str]] | N
     else:
         for w in toks:
             words[w] += n
-    return "L" if line != line.lower() and large_words(toks) else "l", toks
+    large = large_words(toks) if line != line.lower() or not line.isascii() else []
+    return "L" if large else "l", [" ".join(map(str, large)), *toks]
 
 
 def count_words(words: Counter, out: Tally) -> None:
@@ -607,9 +747,10 @@ def large_words(toks: list[str]) -> list[int]:
     return [i for i, w in enumerate(toks) if w[0].isupper() and (len(w) > 1 or w.isalpha())]
 
 
-def count_neighbours(p: Potentials, toks: list[str], n: int, out: Tally) -> None:
+def count_neighbours(p: Potentials, toks: list[str], large: list[int], n: int, out: Tally) -> None:
     """How often a word stands before or after a known name, and another capitalised word."""
-    for i in large_words(toks):
+    total = out["",]
+    for i in large:
         w = toks[i]
         if is_initial(w):
             continue
@@ -617,12 +758,12 @@ def count_neighbours(p: Potentials, toks: list[str], n: int, out: Tally) -> None
         b, a = p.context(toks, i)
         out["b", b][side] += n
         out["a", a][side] += n
-        out["",][side] += n
+        total[side] += n
 
 
-def count_votes(p: Potentials, toks: list[str], n: int, out: Tally) -> None:
+def count_votes(p: Potentials, toks: list[str], large: list[int], n: int, out: Tally) -> None:
     """Of each unknown capitalised word: times met, with a score of at least 1, of more, beside a given name and beside a family name."""
-    for i in large_words(toks):
+    for i in large:
         w = toks[i]
         low = w.lower()
         if len(w) < 3 or low in p.role or low in p.ordinary or is_initial(w):
@@ -640,13 +781,12 @@ def count_votes(p: Potentials, toks: list[str], n: int, out: Tally) -> None:
             v[4] += n
 
 
-def count_labels(p: Potentials, toks: list[str], n: int, out: Tally) -> None:
+def count_labels(p: Potentials, toks: list[str], large: list[int], n: int, out: Tally) -> None:
     """Features and labels of words, labels of words side by side and of similar words of a line.
 
     Half of the lexicon is hidden from the features, so that the words around and the shape get weights of their own.
     """
     lows = list(map(str.lower, toks))
-    large = large_words(toks)
     if not large and p.role.keys().isdisjoint(lows):
         return
     roles = list(map(p.role.get, lows))
@@ -659,8 +799,9 @@ def count_labels(p: Potentials, toks: list[str], n: int, out: Tally) -> None:
         w = toks[i]
         # an initial beside a name is part of it
         name = labels[i] = labels[i] or is_initial(w) and (i > 0 and labels[i - 1] or i + 1 < len(toks) and labels[i + 1])
-        if r is not None or w.lower().rstrip(".") not in TITLES:
-            out["x", str(int(name)), *map(str, p.features(toks, i, hidden=zlib.crc32(w.lower().encode()) % 2 == 0))][0] += n
+        if r is not None or lows[i].rstrip(".") not in TITLES:
+            head, tail = p.written[w]
+            out["x", "1" if name else "0", *head, *map(str, p.cues_of(toks, i)), *tail][0] += n
     stems: dict[str, tuple[str, bool]] = {}
     for i in large:
         if i + 1 in big:
@@ -695,7 +836,7 @@ class Counts:
         out: Tally = defaultdict(lambda: [0] * WIDTH)
         for k, n in self.facts.items():
             if k[0] == "L" or everywhere and k[0] == "l":
-                count(p, k[1:], n[0], out)
+                count(p, k[2:], list(map(int, k[1].split())), n[0], out)
         return out
 
     def form_sides(self) -> tuple[Tally, list[int]]:
@@ -757,10 +898,10 @@ class SharedCounts(Counts):
 
             size = 0
             for b in batches:
-                for source, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    if t:
-                        count_text(t, bool(source), seen, out)
-                        size += len(t)
+                rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+                for t, source, parts in all_parts((t, bool(source)) for source, t in rows if t):
+                    count_text(t, source, parts, seen, out)
+                    size += len(t)
                     if len(seen) + len(out) > 100_000 or size > 32 << 20:
                         yield from met()
                         size = 0
@@ -813,7 +954,7 @@ class SharedCounts(Counts):
 
     def over(self, count: Callable, p: Potentials, keep: str, everywhere: bool = False) -> Tally:
         lines = self.facts.where("tag IN ('L', 'l')" if everywhere else "tag = 'L'")
-        return self._collected(self._mapped(lines, p, lambda mine, key, n, out: count(mine, key, n[0], out)).where(keep))
+        return self._collected(self._mapped(lines, p, lambda mine, key, n, out: count(mine, key[1:], list(map(int, key[0].split())), n[0], out)).where(keep))
 
     def form_sides(self) -> tuple[Tally, list[int]]:
         def count(mine: Potentials, key: list[str], n: list[int], out: Tally) -> None:
@@ -853,8 +994,10 @@ def _search(documents: DataFrame, p: Potentials, redact: bool) -> DataFrame:
 
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             ids, kinds, starts, texts = [], [], [], []
-            for doc, source, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                found = find(t, bool(source), mine) if t else []
+            sources = map(bool, b.column(1).to_pylist())
+            rows = all_parts(zip((t or "" for t in b.column(2).to_pylist()), sources))
+            for doc, t, (_, source, parts) in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), rows):
+                found = find(t, source, mine, parts) if t else []
                 if redact:
                     out, at = [], 0
                     for s, e, k in found:

@@ -132,3 +132,18 @@ def test_lines_that_may_hold_forms_are_found_as_line_by_line():
             assert not may or (at, at + len(line)) in personal.lines_with_forms(text), (line, may)
             at += len(line) + 1
         assert personal.parts_of(text, False)[0] == alone
+
+
+def test_lines_of_numbers_are_no_candidates_and_wide_gaps_are_seen():
+    assert personal.lines_with_forms("1.56853, 6.56896, 3.47104,\nlead240 = get_value(state198, 683)\nWorker 5\nat 22 ms before 7 rows\n@bar\n8, 251, 59, 185, 139\n") == [(62, 70)]
+    wide = "call\n+4930 ...... 1234\n"
+    assert personal.possible(wide) >= {"phone"} and [(wide[s:e], k) for s, e, k, _ in personal.parts_of(wide, False)[0]] == [("+4930 ...... 1234", "phone")]
+
+
+def test_texts_taken_together_have_the_parts_of_each_alone():
+    texts = ["", "a\n+49 30 1234567", "", "\n\n", "mail a@b.example", "\U0001f389 Weg 7\n12b, Rue Haute 5\n", "12 bis, boulevard Vauclair\n\nQQ 34 73 84 C\n", "at at pebble dot example x at at pebble dot example", "٠٣٠١٢٣٤٥٦٧٨ 030/23125-372", "NIF 99869622B", "to\tAT pebble\tdot example", "Calle Mayor n.º 12, 3.º B"]
+    alone = [[(s + a, s + b, k, sure) for s, e in [(m.start(), m.end()) for m in personal.re.finditer(r"[^\n]+", t)] for a, b, k, sure in personal.candidates(t[s:e])] for t in texts]
+    assert sum(map(len, alone)) >= 8
+    for piece in (1, 10, 1 << 20):
+        assert personal.forms_of(texts, piece) == alone
+    assert [p for *_, p in personal.all_parts([(t, False) for t in texts], 20)] == [personal.parts_of(t, False) for t in texts]
