@@ -147,3 +147,23 @@ def test_texts_taken_together_have_the_parts_of_each_alone():
     for piece in (1, 10, 1 << 20):
         assert personal.forms_of(texts, piece) == alone
     assert [p for *_, p in personal.all_parts([(t, False) for t in texts], 20)] == [personal.parts_of(t, False) for t in texts]
+
+
+def test_no_candidate_is_lost_by_looking_for_lines_first():
+    import random
+
+    some = ["@", "＠", " at ", "(at)", "[at]", " dot ", ".", "anouk", "Baker", "Street", "rue ", "allée ", "Calle ", "n.º ", " bis", "b", ", ", ",", " ", "  ", "\t", "\n", "-", "/", "(0)", "+", "00", "03", "1", "12", "123", "12345", "٣٤", "é", "Œ", "AB", "Z", "_", "\U0001f389", "Rue"]
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(some) for _ in range(40)) for _ in range(2000)]
+    every = []
+    for text in texts:
+        every.append([])
+        for line in personal.re.finditer(r"[^\n]+", text):
+            taken = []
+            for sure, forms in ((True, personal._FORMS), (False, personal._LOOSE)):
+                for kind, rx in forms:
+                    for m in rx.finditer(line.group()):
+                        if (kind != "phone" or 8 <= sum(c.isdigit() for c in m.group()) <= 15) and all(m.end() <= s or m.start() >= e for s, e, _, _ in taken):
+                            taken.append((m.start(), m.end(), kind, sure))
+            every[-1] += [(line.start() + s, line.start() + e, kind, sure) for s, e, kind, sure in sorted(taken)]
+    assert sum(map(len, every)) > 50 and personal.forms_of(texts) == every
